@@ -26,12 +26,6 @@ from quarrylens.operators.cleaning import parsed_timestamp
 from quarrylens.operators.quantiles import exact_quantiles, medians
 from quarrylens.session import is_datetime, is_numeric, quoted
 
-STAT_FIELDS = (
-    "column string, position int, dtype string, kind string, n_rows bigint, n bigint, "
-    "nunique bigint, min double, max double, mean double, std double, variance double, "
-    "sum double, skewness double, kurtosis double, min_date string, max_date string, "
-    "year_share double, date_share double, upper_share double, phone_share double"
-)
 PHONE = r"^\+?[0-9][0-9 ()./-]{6,}$"
 
 
@@ -48,53 +42,108 @@ def is_year_name(name: str) -> bool:
     return any(cn == p or cn.endswith("_" + p) or cn.startswith(p + "_") for p in YEAR_WORDS)
 
 
+def _number(field: T.StructField):
+    c = quoted(field.name)
+    return c.cast("int").cast("double") if isinstance(field.dataType, T.BooleanType) else c.cast("double")
+
+
+def _melt_stats(
+    df: DataFrame, fields: list[T.StructField], approx_distinct: bool, shape: bool, text: bool
+) -> DataFrame:
+    """One row per column position, from one pass with a partial aggregate per task.
+
+    Columns are turned into rows first: a few aggregates over a long table compile
+    to one tight loop, several per column over a wide one do not.
+    """
+    cells = []
+    for i, f in enumerate(fields):
+        c, kind = quoted(f.name), kind_of(f)
+        cell = {
+            "position": F.lit(i),
+            "present": c.isNotNull(),
+            "x": _number(f) if kind == "numeric" else F.lit(None).cast("double"),
+            "d": c.cast("timestamp_ntz") if kind == "datetime" else F.lit(None).cast("timestamp_ntz"),
+            "s": c if kind == "string" else F.lit(None).cast("string"),
+        }
+        if approx_distinct:
+            cell["h"] = F.when(c.isNotNull(), F.xxhash64(c))
+        cells.append(F.struct(*[e.alias(k) for k, e in cell.items()]))
+    x, s = F.col("x"), F.col("s")
+    aggs = {
+        "n_rows": F.count(F.lit(1)),
+        "n": F.count_if("present"),
+        "min": F.min(x), "max": F.max(x), "mean": F.avg(x), "std": F.sqrt(F.var_samp(x)),
+        "variance": F.var_samp(x), "sum": F.sum(x),
+        "min_date": F.min("d"), "max_date": F.max("d"),
+    }
+    if shape:
+        aggs |= {"skewness": adjusted_skewness(x), "kurtosis": adjusted_kurtosis(x)}
+    if any(is_year_name(f.name) for f in fields):
+        aggs["year_share"] = F.avg(x.between(1800, 2100).cast("int"))
+    if text and any(kind_of(f) == "string" for f in fields):
+        aggs["date_share"] = F.count_if(parsed_timestamp(s).isNotNull()) / F.count(F.lit(1))
+        aggs["upper_share"] = F.avg(F.when(s != "", s.rlike(r"^\p{Lu}").cast("int")))
+        aggs["phone_share"] = F.avg((F.length(s).between(7, 40) & s.rlike(PHONE)).cast("int"))
+    if approx_distinct:
+        aggs["nunique"] = F.approx_count_distinct("h")
+    melted = df.select(F.inline(F.array(*cells)))
+    return melted.groupBy("position").agg(*[e.alias(k) for k, e in aggs.items()])
+
+
+def _distinct_counts(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """Exact distinct counts of all columns in one shuffle of already deduplicated values."""
+    row = df.agg(*[F.count_distinct(quoted(f.name)).alias(f"n{i}") for i, f in enumerate(fields)])
+    cells = [F.struct(F.lit(i).alias("position"), F.col(f"n{i}").alias("nunique")) for i in range(len(fields))]
+    return row.select(F.inline(F.array(*cells)))
+
+
+STAT_FIELDS = (
+    "n_rows bigint, n bigint, nunique bigint, min double, max double, mean double, std double, "
+    "variance double, sum double, skewness double, kurtosis double, min_date string, "
+    "max_date string, year_share double, date_share double, upper_share double, phone_share double"
+)
+
+
 def column_stats(
-    df: DataFrame, columns: Sequence[str] | None = None, exact_distinct: bool = True
+    df: DataFrame,
+    distinct: str | None = "exact",
+    shape: bool = False,
+    text: bool = False,
 ) -> DataFrame:
-    """One row per column with every statistic the profile layers need.
+    """One row per column with the statistics the profile layers need.
 
-    ``exact_distinct=False`` counts distinct values with a sketch: no shuffle at
-    all beyond the partial aggregates, for tables too wide or too long to
-    deduplicate.
+    ``distinct`` is "exact", "approx" (a sketch, which leaves nothing to shuffle but
+    one row per column and task) or None; ``shape`` adds skewness and kurtosis;
+    ``text`` adds the shares of date-like, phone-like and capitalised strings.
     """
-    fields = [f for f in df.schema if columns is None or f.name in columns]
-    distinct = F.count_distinct if exact_distinct else F.approx_count_distinct
-    null = F.lit(None)
-    aggs, rows = [F.count(F.lit(1)).alias("n_rows")], []
-    for i, field in enumerate(fields):
-        c, kind, name = quoted(field.name), kind_of(field), field.name
-        stats = {"n": F.count(c), "nunique": distinct(c)}
-        if kind == "numeric":
-            x = c.cast("double") if not isinstance(field.dataType, T.BooleanType) else c.cast("int").cast("double")
-            stats |= {
-                "min": F.min(x), "max": F.max(x), "mean": F.avg(x), "std": F.stddev_samp(x),
-                "variance": F.var_samp(x), "sum": F.sum(x),
-                "skewness": adjusted_skewness(x), "kurtosis": adjusted_kurtosis(x),
-            }
-            if is_year_name(name):
-                stats["year_share"] = F.avg(F.when(x.isNotNull(), x.between(1800, 2100).cast("int")))
-        elif kind == "datetime":
-            stats |= {"min_date": F.min(c).cast("string"), "max_date": F.max(c).cast("string")}
-        elif kind == "string":
-            stats["upper_share"] = F.avg(F.when(c != "", c.rlike(r"^\p{Lu}").cast("int")))
-            stats["phone_share"] = F.avg(c.rlike(PHONE).cast("int"))
-            stats["date_share"] = F.avg(parsed_timestamp(c).isNotNull().cast("int"))
-        aggs += [e.alias(f"{k}_{i}") for k, e in stats.items()]
-        cell = [
-            F.lit(name).alias("column"), F.lit(i).alias("position"),
-            F.lit(field.dataType.simpleString()).alias("dtype"), F.lit(kind).alias("kind"),
-            F.col("n_rows"),
-        ]
-        for spec in T.StructType.fromDDL(STAT_FIELDS).fields[5:]:
-            value = F.col(f"{spec.name}_{i}") if spec.name in stats else null
-            cell.append(value.cast(spec.dataType).alias(spec.name))
-        rows.append(F.struct(*cell))
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
-
-
-def stat_rows(df: DataFrame, columns: Sequence[str] | None = None, exact_distinct: bool = True) -> list[Row]:
+    fields = df.schema.fields
+    meta = df.sparkSession.createDataFrame(
+        [(f.name, i, f.dataType.simpleString(), kind_of(f)) for i, f in enumerate(fields)],
+        "column string, position int, dtype string, kind string",
+    )
+    stats = _melt_stats(df, fields, distinct == "approx", shape, text)
+    if distinct == "exact":
+        stats = stats.join(F.broadcast(_distinct_counts(df, fields)), "position", "left")
+    joined = meta.join(F.broadcast(stats), "position", "left")  # one row per column
+    out = []
+    for spec in T.StructType.fromDDL(STAT_FIELDS).fields:
+        value = F.col(spec.name) if spec.name in stats.columns else F.lit(None)
+        if spec.name in ("n_rows", "n", "nunique"):
+            value = F.coalesce(value, F.lit(0))
+        elif spec.name in ("min_date", "max_date"):
+            label = value.cast("string")
+            value = F.when(F.col("dtype") == "date", F.substring(label, 1, 10)).otherwise(label)
+        out.append(value.cast(spec.dataType).alias(spec.name))
+    return joined.select("column", "position", "dtype", "kind", *out)
+
+
+def stat_rows(df: DataFrame, exact_distinct: bool = True, shape: bool = False, text: bool = False) -> list[Row]:
     """The statistics on the driver: one small row per column."""
-    return column_stats(df, columns, exact_distinct).orderBy("position").collect()
+    return column_stats(df, _how(exact_distinct), shape, text).orderBy("position").collect()
+
+
+def _how(exact_distinct: bool) -> str:
+    return "exact" if exact_distinct else "approx"
 
 
 def _local(df: DataFrame, rows: list, schema: str) -> DataFrame:
@@ -145,17 +194,18 @@ def detect_roles(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
         .when(F.col("nunique") < 20, "Categorical Feature")
         .otherwise("Text / Identifier")
     )
-    return column_stats(df, exact_distinct=exact_distinct).select("column", role.alias("role"))
+    return column_stats(df, _how(exact_distinct)).select("column", role.alias("role"))
 
 
-def quality(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
-    """Missing and unique shares, adjusted skewness and variance, 4 decimals."""
-    return column_stats(df, exact_distinct=exact_distinct).select(
+def quality(df: DataFrame, exact_distinct: bool = True, digits: int | None = 4) -> DataFrame:
+    """Missing and unique shares, adjusted skewness and variance."""
+    shown = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
+    return column_stats(df, _how(exact_distinct), shape=True).select(
         "column",
-        F.round(1 - ratio("n", "n_rows"), 4).alias("missing_ratio"),
-        F.round(ratio("nunique", "n_rows"), 4).alias("unique_ratio"),
-        F.round("skewness", 4).alias("skewness"),
-        F.round("variance", 4).alias("variance"),
+        shown(1 - ratio("n", "n_rows")).alias("missing_ratio"),
+        shown(ratio("nunique", "n_rows")).alias("unique_ratio"),
+        shown(F.col("skewness")).alias("skewness"),
+        shown(F.col("variance")).alias("variance"),
     )
 
 
@@ -163,7 +213,7 @@ def feature_ranking(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
     """Numeric columns by variance times unique share, descending."""
     score = F.col("variance") * F.col("nunique") / F.col("n_rows")
     return (
-        column_stats(df, exact_distinct=exact_distinct)
+        column_stats(df, _how(exact_distinct))
         .where((F.col("kind") == "numeric") & F.col("variance").isNotNull())
         .select("column", score.alias("score"))
         .orderBy(F.desc("score"), "column")
@@ -224,7 +274,7 @@ class Profile(list):
 def semantic_profile(df: DataFrame, exact_distinct: bool = True) -> Profile:
     """Role and aggregation rule of every column, with its statistics."""
     profile = Profile()
-    for s in stat_rows(df, exact_distinct=exact_distinct):
+    for s in stat_rows(df, exact_distinct, text=True):
         role = semantic_role(s)
         rule = agg_type(s["column"], s) if role == "measure" else ("mean" if role == "year_col" else "sum")
         profile.append({**s.asDict(), "role": role, "agg": rule})
@@ -345,7 +395,7 @@ def semantic_type(s: Mapping | Row) -> str:
 
 def semantic_types(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
     """identifier, datetime, monetary, percentage, phone, numeric_metric or categorical_or_text."""
-    rows = [(s["column"], semantic_type(s)) for s in stat_rows(df, exact_distinct=exact_distinct)]
+    rows = [(s["column"], semantic_type(s)) for s in stat_rows(df, exact_distinct, text=True)]
     return _local(df, rows, "column string, semantic_type string")
 
 
@@ -353,7 +403,7 @@ def insights(
     df: DataFrame, max_skew: float = 2.0, min_std: float = 2.0, exact_distinct: bool = True
 ) -> DataFrame:
     """Rule findings: duplicate identifiers, high skew, low variability, completeness."""
-    stats, rows = stat_rows(df, exact_distinct=exact_distinct), []
+    stats, rows = stat_rows(df, exact_distinct, shape=True, text=True), []
     for s in stats:
         if semantic_type(s) == "identifier" and s["nunique"] < s["n_rows"]:
             rows.append((s["column"], "duplicate_identifier", s["nunique"] / s["n_rows"]))
@@ -377,7 +427,7 @@ def structure(
     outcome is the metric with the largest variance, the drivers are the others.
     """
     rows = []
-    for s in stat_rows(df, exact_distinct=exact_distinct):
+    for s in stat_rows(df, exact_distinct, text=True):
         kind = semantic_type(s)
         low = s["nunique"] / max(s["n_rows"], 1) < low_information
         if kind == "identifier":
@@ -425,7 +475,7 @@ def trust(
     100 less the share of values beyond 3 robust deviations; relationship: share of
     reference values found in their parent table; overall: the mean.
     """
-    stats = stat_rows(df, exact_distinct=exact_distinct)
+    stats = stat_rows(df, exact_distinct)
     rows = stats[0]["n_rows"] if stats else 0
     typed = [s for s in stats if s["kind"] in ("numeric", "datetime") or s["nunique"] < 20]
     schema_score = 100.0 * len(typed) / max(len(stats), 1)
@@ -451,7 +501,7 @@ def trust(
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """N, mean, median, deviation, range, adjusted skewness and kurtosis per column."""
-    stats = column_stats(df.select(*[quoted(c) for c in cols]), exact_distinct=False)
+    stats = column_stats(df.select(*[quoted(c) for c in cols]), distinct=None, shape=True)
     middle = exact_quantiles(df, cols, [0.5]).select("column", F.col("value").alias("median"))
     return stats.join(middle, "column", "left").select(
         "column", "n", "mean", "median", F.col("std").alias("sd"), "min", "max", "skewness", "kurtosis"

@@ -49,14 +49,13 @@ def detect_roles(t):
 
 
 @query("c3_quality", "\nUNION ALL ".join(f"""
-SELECT '{c}' AS "column", round(1 - count({c}) / count(*), 4) AS missing_ratio,
-       round(count(DISTINCT {c}) / count(*), 4) AS unique_ratio,
-       {f'round(skewness({c}), 4)' if c in LINE_NUMERIC else 'NULL'} AS skewness,
-       {f'round(var_samp({c}), 4)' if c in LINE_NUMERIC else 'NULL'} AS variance FROM lineitem
-""" for c in LINE_ALL), approx="variance")
+SELECT '{c}' AS "column", 1 - count({c}) / count(*) AS missing_ratio, count(DISTINCT {c}) / count(*) AS unique_ratio,
+       {f'round(skewness({c}), 8)' if c in LINE_NUMERIC else 'NULL'} AS skewness,
+       {f'var_samp({c})' if c in LINE_NUMERIC else 'NULL'} AS variance FROM lineitem
+""" for c in LINE_ALL), approx="missing_ratio unique_ratio variance")
 def quality(t):
-    out = profiling.quality(t.lineitem)
-    return out.withColumn("skewness", F.col("skewness") + F.lit(0.0))
+    out = profiling.quality(t.lineitem, digits=None)
+    return out.withColumn("skewness", F.round("skewness", 8) + F.lit(0.0))
 
 
 @query("c4_fingerprint", per_column(LINE_NUMERIC, """
