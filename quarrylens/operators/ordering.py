@@ -140,3 +140,69 @@ def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     return running_totals(counts, [value], {"_upto": "_n"}).select(
         value, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name)
     )
+
+
+def carry_forward(
+    indexed: DataFrame,
+    columns: Mapping[str, str],
+    partition_by: Sequence[str] = (),
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Last non-NULL value up to and including each row, per key in ``idx`` order.
+
+    ``columns`` maps an output name to its input column.
+    """
+    keys = [*partition_by, "_block"]
+    blocked = indexed.withColumn("_block", F.floor(F.col("idx") / block_rows))
+    lasts = blocked.groupBy(*keys).agg(
+        *[
+            F.max_by(c, F.when(F.col(c).isNotNull(), F.col("idx"))).alias(f"_l_{out}")
+            for out, c in columns.items()
+        ]
+    )
+    earlier = (
+        Window.partitionBy(*partition_by)
+        .orderBy("_block")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    bases = lasts.select(
+        *keys, *[F.last(f"_l_{out}", True).over(earlier).alias(f"_b_{out}") for out in columns]
+    )
+    here = (
+        Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    condition = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    based = blocked.alias("l").join(bases.alias("r"), condition).select(
+        "l.*", *[f"r._b_{out}" for out in columns]
+    )
+    return based.withColumns(
+        {
+            out: F.coalesce(F.last(c, True).over(here), F.col(f"_b_{out}"))
+            for out, c in columns.items()
+        }
+    ).drop("_block", *[f"_b_{out}" for out in columns])
+
+
+def asof_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: str,
+    by: Sequence[str],
+    values: Sequence[str],
+    tie: Sequence[str] = (),
+) -> DataFrame:
+    """Each left row with the latest right ``values`` at or before its ``on``, per ``by`` key.
+
+    Both sides are ordered together once and right values are carried forward, so a
+    hot key is split across blocks like any other stretch of rows. ``tie`` names left
+    columns that make the left order unique.
+    """
+    kept = left.withColumn("_side", F.lit(1))
+    # wrapped, so that a NULL right value counts as the latest value, too
+    rows = right.select(*by, on, F.lit(0).alias("_side"), F.struct(*values).alias("_row"))
+    merged = kept.unionByName(rows, allowMissingColumns=True)
+    indexed = with_index(merged, [on, "_side", *tie], by)
+    filled = carry_forward(indexed, {"_latest": "_row"}, by)
+    return filled.where("_side = 1").select(
+        *left.columns, *[F.col(f"_latest.{v}").alias(v) for v in values]
+    )
