@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
@@ -47,13 +48,15 @@ def vectors(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> Dat
 # --- clusters ----------------------------------------------------------------------------
 
 
-def kmeans_elbow(df: DataFrame, cols: Sequence[str], kmax: int = 10, seed: int = 42) -> DataFrame:
-    """Inertia for k = 2 .. min(kmax, n / 5)."""
+def kmeans_elbow(
+    df: DataFrame, cols: Sequence[str], kmax: int = 10, seed: int = 42, parallel: int = 4
+) -> DataFrame:
+    """Inertia for k = 2 .. min(kmax, n / 5). Fits are independent jobs over one cached table."""
     data = vectors(df, cols).select("features").persist()
-    top = min(kmax, data.count() // 5)
-    rows = [
-        (k, float(KMeans(k=k, seed=seed).fit(data).summary.trainingCost)) for k in range(2, top + 1)
-    ]
+    sizes = range(2, min(kmax, data.count() // 5) + 1)
+    inertia = lambda k: float(KMeans(k=k, seed=seed).fit(data).summary.trainingCost)
+    with ThreadPoolExecutor(parallel) as pool:
+        rows = list(zip(sizes, pool.map(inertia, sizes)))
     data.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, inertia double")
 

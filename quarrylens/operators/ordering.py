@@ -65,24 +65,28 @@ def key_position(indexed: DataFrame, partition_by: Sequence[str], name: str = "p
     )
 
 
-def preceding(
+def neighbours(
     indexed: DataFrame,
-    before: int,
     columns: Callable[[WindowSpec], Mapping[str, Column]],
+    before: int = 0,
+    after: int = 0,
     partition_by: Sequence[str] = (),
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Window columns that look at most ``before`` rows back, in ``idx`` order.
+    """Window columns that look at most ``before`` rows back and ``after`` ahead, in ``idx`` order.
 
-    Each block also receives the last ``before`` rows of the block before it, so
+    Each block also receives the rows next to its edges from the blocks around it, so
     results equal those of one window over the whole key.
     """
-    size = max(block_rows, 4 * before)
-    block = F.floor(F.col("idx") / size)
-    tail = F.col("idx") % size >= size - before
-    copies = F.when(tail, F.array(block, block + 1)).otherwise(F.array(block))
+    size = max(block_rows, 4 * max(before, after))
+    block, place = F.floor(F.col("idx") / size), F.col("idx") % size
+    copies = F.array(
+        block,
+        F.when(place >= size - before, block + 1),
+        F.when((place < after) & (block > 0), block - 1),
+    )
     window = Window.partitionBy(*partition_by, "_block").orderBy("idx")
-    blocked = indexed.withColumn("_block", F.explode(copies))
+    blocked = indexed.withColumn("_block", F.explode(F.filter(copies, lambda b: b.isNotNull())))
     return (
         blocked.withColumns(dict(columns(window)))
         .where(F.col("_block") == block)
@@ -90,6 +94,17 @@ def preceding(
     )
 
 
+def preceding(
+    indexed: DataFrame,
+    before: int,
+    columns: Callable[[WindowSpec], Mapping[str, Column]],
+    partition_by: Sequence[str] = (),
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """:func:`neighbours` looking back only."""
+    return neighbours(indexed, columns, before, 0, partition_by, block_rows)
+
+
 def running_totals(
     df: DataFrame,
     order_by: Sequence[str],
@@ -142,6 +157,30 @@ def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     )
 
 
+def rank_rows(
+    df: DataFrame,
+    order_by: str,
+    partition_by: Sequence[str] = (),
+    tie: Sequence[str] = (),
+    tiles: int = 4,
+) -> DataFrame:
+    """row_number, rank, dense_rank and ntile for keys too large for one task."""
+    keys = list(partition_by)
+    placed = key_position(with_index(df, [order_by, *tie], keys), keys)
+    size, extra = F.floor(F.col("key_rows") / tiles), F.col("key_rows") % tiles
+    wide = extra * (size + 1)  # rows in the tiles that hold one row more
+    tile = F.when(F.col("pos") < wide, F.floor(F.col("pos") / (size + 1))).otherwise(
+        extra + F.floor((F.col("pos") - wide) / F.when(size > 0, size))
+    )
+    rows = placed.withColumns(
+        {"row_number": F.col("pos") + 1, "ntile": tile + 1}
+    ).drop("idx", "pos", "key_rows")
+    values = df.groupBy(*keys, order_by).agg(F.count(F.lit(1)).alias("_n"))
+    upto = running_totals(values, [order_by], {"_upto": "_n", "dense_rank": F.lit(1)}, keys)
+    ranks = upto.withColumn("rank", F.col("_upto") - F.col("_n") + 1).drop("_n", "_upto")
+    return rows.join(ranks, [*keys, order_by])
+
+
 def carry_forward(
     indexed: DataFrame,
     columns: Mapping[str, str],

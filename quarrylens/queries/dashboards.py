@@ -55,7 +55,7 @@ def find_target(t):
 
 
 @query("d4_kpi_trend", """
-WITH i AS (SELECT *, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS idx,
+WITH i AS (SELECT *, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS idx,
                   greatest(count(*) OVER () // 10, 1) AS seg, count(*) OVER () AS n FROM lineitem),
 m AS (SELECT avg(l_quantity) FILTER (idx < seg) AS qa, avg(l_quantity) FILTER (idx >= n - seg) AS qb,
              avg(l_extendedprice) FILTER (idx < seg) AS pa, avg(l_extendedprice) FILTER (idx >= n - seg) AS pb FROM i)
@@ -65,7 +65,7 @@ UNION ALL SELECT 'l_extendedprice', pa, pb, round((pb - pa) / abs(pa) * 100, 6),
 """, approx="first_mean last_mean")
 def kpi_trend(t):
     out = charts.kpi_trend(
-        t.lineitem, ["l_quantity", "l_extendedprice"], ["l_shipdate", "l_orderkey", "l_linenumber"]
+        t.lineitem, ["l_quantity", "l_extendedprice"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
     )
     return out.withColumn("trend_pct", F.round("trend_pct", 6))
 
@@ -158,7 +158,7 @@ def scatter_ols(t):
 
 @query("d13_scatter_points")
 def scatter_points(t):
-    return charts.scatter_points(t.lineitem, ["l_quantity", "l_extendedprice"], ["l_orderkey", "l_linenumber"])
+    return charts.scatter_points(t.lineitem, ["l_quantity", "l_extendedprice"], ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
 CORR = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -348,7 +348,7 @@ def default_chart(t):
 @query("d26_dashboard")
 def full_dashboard(t):
     """Names and row counts of every chart of the whole dashboard of lineitem."""
-    made = dashboard(t.lineitem, ["l_shipdate", "l_orderkey", "l_linenumber"])
+    made = dashboard(t.lineitem, ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"])
     source = made.pop("source")
     parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("chart"), "rows") for n, df in made.items()]
     rows = [(r["chart"], r["rows"]) for p in parts for r in p.collect()]

@@ -27,9 +27,14 @@ class Tables:
         return self.spark.sql(text, **{n: getattr(self, n) for n in names})
 
 
+# A hair more than rounding noise: keeps decimals that end in 5 off the rounding edge.
+NUDGE = 1.000000000001
+
+
 def significant(column, digits: int):
     """Round a double to ``digits`` decimals of its scientific form."""
-    return F.when(column.isNotNull(), F.format_string(f"%.{digits}e", column).cast("double"))
+    text = F.format_string(f"%.{digits}e", column * F.lit(NUDGE))
+    return F.when(column.isNotNull(), text.cast("double"))
 
 
 def query(name: str, sql: str | None = None, approx: str = "", digits: int = 9):
@@ -54,7 +59,7 @@ def query(name: str, sql: str | None = None, approx: str = "", digits: int = 9):
             text = sql.strip()
             if columns:
                 replaced = ", ".join(
-                    f"CAST(printf('%.{digits}e', CAST(\"{c}\" AS DOUBLE)) AS DOUBLE) AS \"{c}\"" for c in columns
+                    f"CAST(printf('%.{digits}e', CAST(\"{c}\" AS DOUBLE) * CAST({NUDGE} AS DOUBLE)) AS DOUBLE) AS \"{c}\"" for c in columns
                 )
                 text = f"SELECT * REPLACE ({replaced}) FROM (\n{text}\n) AS result"
             ORACLES[name] = text

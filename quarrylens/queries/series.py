@@ -56,11 +56,11 @@ def xbar_chart_parity(t):
 
 
 @query("q3_trend", """
-WITH i AS (SELECT l_quantity AS y, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS x FROM lineitem)
+WITH i AS (SELECT l_quantity AS y, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS x FROM lineitem)
 SELECT count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2 FROM i
 """, approx="slope intercept r2", digits=4)
 def trend(t):
-    out = series.trend(t.lineitem, "l_quantity", ["l_shipdate", "l_orderkey", "l_linenumber"])
+    out = series.trend(t.lineitem, "l_quantity", ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"])
     return out.select("n", "slope", "intercept", "r2")
 
 
