@@ -67,7 +67,9 @@ def kmeans(df: DataFrame, cols: Sequence[str], k: int = 4, seed: int = 42, key:
     raw = complete_rows(df.select(*[quoted(c) for c in names]), cols)
     scaled = standardize(raw.withColumns({f"_z_{c}": quoted(c) for c in cols}), [f"_z_{c}" for c in cols])
     data = VectorAssembler(inputCols=[f"_z_{c}" for c in cols], outputCol="features").transform(scaled)
-    model = KMeans(k=k, seed=seed).fit(data)
+    points = data.select("features").persist()
+    model = KMeans(k=k, seed=seed).fit(points)
+    points.unpersist()
     return model.transform(data).select(*names, "prediction")
 
 

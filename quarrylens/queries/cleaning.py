@@ -149,13 +149,13 @@ SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_tax FROM scored
 WHERE score <= (SELECT quantile_cont(score, 0.98) FROM scored)
 """, approx="l_quantity l_extendedprice l_tax")
 def drop_outliers(t):
-    df = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax")
+    df = t.spread("lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax")
     return cleaning.drop_outliers(df, cols=["l_quantity", "l_extendedprice", "l_tax"])
 
 
 @query("b12_drop_outliers_iforest")
 def drop_outliers_iforest(t):
-    df = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax")
+    df = t.spread("lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax")
     kept = cleaning.drop_outliers(df, method="iforest", cols=["l_quantity", "l_extendedprice", "l_tax"])
     return kept.select("l_orderkey", "l_linenumber")
 

@@ -329,7 +329,7 @@ SELECT l_returnflag, min(l_extendedprice) AS min, quantile_cont(l_extendedprice,
        max(l_extendedprice) AS max FROM lineitem GROUP BY l_returnflag
 """, approx="min q1 median q3 max")
 def chart_box(t):
-    return charts.chart(t.lineitem, {"x": "l_returnflag", "y": "l_extendedprice", "type": "box"})
+    return charts.chart(t.spread("lineitem", "l_returnflag", "l_extendedprice"), {"x": "l_returnflag", "y": "l_extendedprice", "type": "box"})
 
 
 @query("d24_chart_first_rows", "SELECT p_name, p_brand FROM part ORDER BY p_partkey LIMIT 12")

@@ -93,19 +93,19 @@ SELECT {key}, CASE WHEN {best} = 0 THEN 'statistics' {pick} END AS domain, CAST(
 
 @query("g4_route_turns", _route_sql("conversations", "conv_id, turn"))
 def route_turns(t):
-    return catalog.route(t.conversations, "text").select("conv_id", "turn", "domain", "domain_score")
+    return catalog.route(t.spread("conversations"), "text").select("conv_id", "turn", "domain", "domain_score")
 
 
 @query("g4_route_documents", _route_sql("documents", "doc_id"))
 def route_documents(t):
-    return catalog.route(t.documents, "text").select("doc_id", "domain", "domain_score")
+    return catalog.route(t.spread("documents"), "text").select("doc_id", "domain", "domain_score")
 
 
 BASES_SQL = "b AS (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents)"
 
 
 def bases(t):
-    return t.documents.select("doc_id", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
+    return t.spread("documents", "doc_id", "text").select("doc_id", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
 
 
 def _count(b):

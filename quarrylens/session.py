@@ -77,6 +77,15 @@ def drop_scratch(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table read from fewer files than there are cores.
+
+    For callers with small inputs; a large table comes in many files and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Missing numbers are NULL everywhere in this package, never NaN."""
     floats = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
