@@ -22,7 +22,7 @@ from quarrylens.operators.cleaning import map_country
 from quarrylens.operators.ordering import preceding, with_index
 from quarrylens.operators.profiling import Profile
 from quarrylens.operators.quantiles import quantile_columns
-from quarrylens.session import quoted
+from quarrylens.session import materialize, quoted
 
 LABELS = {"mean": "Avg", "sum": "Total", "rate": "Rate %"}
 
@@ -181,6 +181,7 @@ def crosstab(df: DataFrame, a: str, b: str, n: int = 10) -> DataFrame:
     """Counts of the first ``n`` x ``n`` labels in label order; absent pairs are 0."""
     both = df.where(quoted(a).isNotNull() & quoted(b).isNotNull())
     counted = both.groupBy(quoted(a).alias("a"), quoted(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    counted = materialize(counted)  # used three times; the table is read once
     columns = [r["b"] for r in counted.select("b").distinct().orderBy("b").limit(n).collect()]
     rows = counted.select("a").distinct().orderBy("a").limit(n)
     return (

@@ -13,6 +13,7 @@ from quarrylens.operators.ordering import carry_forward, preceding, with_index
 from quarrylens.session import quoted
 
 TRADING_DAYS = 252
+PERIOD_CHUNK = 1024
 RATE_GRID = tuple(0.01 + k * (0.35 - 0.01) / 199 for k in range(200))
 
 
@@ -58,18 +59,24 @@ def npv_curve(
 ) -> DataFrame:
     """Net present value of each project over a grid of discount rates.
 
-    Flows of a project are gathered only after they are summed per period; the grid
-    is applied to that short list, so no row is multiplied before the shuffle.
+    Flows are gathered only after they are summed per whole period, and at most
+    ``PERIOD_CHUNK`` periods at a time; the grid is applied to that short list, so no
+    row is multiplied before the shuffle.
     """
-    flows = cash_flows(df, project, t, cf)
-    lists = flows.groupBy("project").agg(F.collect_list(F.struct("t", "cf")).alias("flows"))
+    chunk = F.floor(F.col("t") / PERIOD_CHUNK).alias("chunk")
+    flows = cash_flows(df.withColumn(t, quoted(t).cast("bigint")), project, t, cf)
+    lists = flows.groupBy("project", chunk).agg(F.collect_list(F.struct("t", "cf")).alias("flows"))
+    grid = F.array(*[F.lit(float(r)) for r in rates])
     value = lambda r: F.aggregate(
         "flows", F.lit(0.0), lambda acc, f: acc + f["cf"] / F.pow(1 + r, f["t"])
     )
-    grid = F.transform(
-        F.array(*[F.lit(r) for r in rates]), lambda r: F.struct(r.alias("rate"), value(r).alias("npv"))
-    )
-    return lists.select("project", F.inline(grid))
+    partial = lists.select("project", F.transform(grid, value).alias("values"))
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    zeros = F.array_repeat(F.lit(0.0), len(rates))
+    total = F.aggregate(F.collect_list("values"), zeros, add)
+    summed = partial.groupBy("project").agg(total.alias("values"))
+    pairs = F.zip_with(grid, "values", lambda r, v: F.struct(r.alias("rate"), v.alias("npv")))
+    return summed.select("project", F.inline(pairs))
 
 
 def asset_returns(df: DataFrame, order_by: Sequence[str], cols: Sequence[str]) -> DataFrame:

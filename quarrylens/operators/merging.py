@@ -62,15 +62,20 @@ def shared_values(parts: Sequence[DataFrame]) -> DataFrame:
     return pairs.groupBy("owner", "other").agg(F.count(F.lit(1)).alias("shared"))
 
 
-def best_pair(left: DataFrame, right: DataFrame, symmetric: bool = False) -> tuple[float, str, str] | None:
-    """Best (score, left column, right column) by name likeness and value overlap, half each."""
+def best_pair(
+    left: DataFrame, right: DataFrame, symmetric: bool = False
+) -> tuple[float, str, str, bool, bool] | None:
+    """Best column pair by name likeness and value overlap, half each.
+
+    Returns the score, both names, and whether each is unique in its table.
+    """
     overlap = {
         (r["owner"], r["other"]): r["shared"]
         for r in shared_values([column_values(left, "l"), column_values(right, "r")])
         .where(F.col("owner").startswith("l:") & F.col("other").startswith("r:"))
         .collect()  # one row per column pair
     }
-    size_l, size_r = _distinct_counts(left), _distinct_counts(right)
+    (rows_l, size_l), (rows_r, size_r) = _distinct_counts(left), _distinct_counts(right)
     best = None
     for lf in _scalar_fields(left):
         for rf in _scalar_fields(right):
@@ -81,19 +86,18 @@ def best_pair(left: DataFrame, right: DataFrame, symmetric: bool = False) -> tup
             name = SequenceMatcher(None, lf.name.lower(), rf.name.lower()).ratio()
             score = 0.5 * name + 0.5 * overlap.get(pair, 0) / base
             if best is None or score > best[0]:
-                best = (score, lf.name, rf.name)
+                best = (score, lf.name, rf.name, size_l[lf.name] == rows_l, size_r[rf.name] == rows_r)
     return best
 
 
-def _distinct_counts(df: DataFrame) -> dict[str, int]:
+def _distinct_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
+    """Rows of a table and distinct values per scalar column, in one pass."""
     names = [f.name for f in _scalar_fields(df)]
-    row = df.agg(*[F.count_distinct(quoted(c)).alias(f"n{i}") for i, c in enumerate(names)]).first()
-    return {c: row[f"n{i}"] for i, c in enumerate(names)}
-
-
-def _unique_key(df: DataFrame, key: str) -> bool:
-    row = df.agg(F.count_distinct(quoted(key)).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    return row["d"] == row["n"]
+    row = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count_distinct(quoted(c)).alias(f"n{i}") for i, c in enumerate(names)],
+    ).first()
+    return row["rows"], {c: row[f"n{i}"] for i, c in enumerate(names)}
 
 
 HOW = {(True, True): "inner", (True, False): "left", (False, True): "right", (False, False): "left"}
@@ -115,9 +119,8 @@ def smart_merge(
     for right, name in zip(dfs[1:], names[1:]):
         best = best_pair(merged, right, symmetric)
         if best is not None and best[0] > threshold:
-            _, lk, rk = best
-            how = HOW[(_unique_key(merged, lk), _unique_key(right, rk))]
-            merged = _join(merged, right, lk, rk, how, name)
+            _, lk, rk, unique_l, unique_r = best
+            merged = _join(merged, right, lk, rk, HOW[(unique_l, unique_r)], name)
         else:
             merged = merged.unionByName(right, allowMissingColumns=True)
     return merged
@@ -151,14 +154,11 @@ def relationships(tables: Mapping[str, DataFrame], threshold: float = 0.95) -> D
         ]
         keys = df.select(*[quoted(f.name) for f in fields])
         parts.append(column_values(keys, name))
-        row = keys.agg(
-            F.count(F.lit(1)).alias("rows"),
-            *[F.count_distinct(quoted(f.name)).alias(f"d{i}") for i, f in enumerate(fields)],
-        ).first()
+        total, distinct = _distinct_counts(keys)
         for i, f in enumerate(fields):
             owner = f"{name}:{i}"
-            owners[owner] = (name, f.name, row[f"d{i}"])
-            if row["rows"] and row[f"d{i}"] == row["rows"]:
+            owners[owner] = (name, f.name, distinct[f.name])
+            if total and distinct[f.name] == total:
                 unique.add(owner)
     found = []
     for r in shared_values(parts).collect():  # one row per column pair

@@ -12,8 +12,9 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarrylens.session import materialize
+from quarrylens.session import materialize, quoted
 
 SLOT_BITS = 33  # monotonically_increasing_id(): partition number above, row below
 BLOCK_ROWS = 1 << 18
@@ -25,12 +26,17 @@ def with_index(
     """Add the 0-based position of each row in (partition_by, order_by) order.
 
     The position runs over the whole table; keys are contiguous in it. One range
-    shuffle; the only thing gathered is one row count per partition.
+    shuffle; the only thing gathered is one row count per partition. A hash of the
+    row breaks ties, so rows that share an order value can still be split and the
+    result does not depend on their placement.
     """
-    keys = [*partition_by, *order_by]
+    hashable = [f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]
+    keys = [*partition_by, *order_by, "_tie"]
     placed = materialize(
-        df.repartitionByRange(*keys)
+        df.withColumn("_tie", F.xxhash64(*[quoted(c) for c in hashable]))
+        .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
+        .drop("_tie")
         .withColumn("_slot", F.monotonically_increasing_id())
     )
     part = F.shiftright("_slot", SLOT_BITS)

@@ -12,14 +12,15 @@ from quarrylens.session import string_columns
 
 
 def dashboard(df: DataFrame, order_by: Sequence[str], profile: Profile | None = None) -> dict[str, DataFrame]:
-    """Name -> chart dataset, lazily planned over a cached table.
+    """Name -> chart dataset.
 
-    ``order_by`` is the row order that trend and price charts refer to. Call
-    ``df.unpersist()`` on the returned ``"source"`` when done.
+    ``order_by`` is the row order that trend and price charts refer to. Each chart
+    reads only the columns it needs; cache ``df`` before the call when it is small or
+    expensive to derive.
     """
     profile = profile if profile is not None else semantic_profile(df)
-    source = df.persist()
-    out = {"source": source, "records": charts.record_count(source)}
+    source = df
+    out = {"records": charts.record_count(source)}
     measures, binaries = profile.role("measure"), profile.role("binary")
     entities, dimensions = profile.role("entity"), profile.role("dimension")
     times = profile.role("year_col") + profile.role("temporal")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quarrylens.operators.profiling import quality
+from quarrylens.plans.report import write_report
 from quarrylens.queries.registry import query
 from quarrylens.session import scratch_root
 from quarrylens.sources.files import export, load, load_many, parse_json
@@ -116,3 +117,12 @@ def parquet_scan(t):
     return df.where(
         (F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz")) & F.col("l_discount").between(0.05, 0.07)
     ).select("l_shipdate", "l_extendedprice")
+
+
+@query("a7_table_report")
+def full_report(t):
+    """The whole command-line flow on a table, written and read back: rows per section."""
+    df = t.spread("lineitem", "l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate")
+    paths = write_report(df, fresh_path(t.spark, "lineitem"), trees=10)
+    report = t.spark.read.schema("section string, entry string").json(paths["report"])
+    return report.groupBy("section").agg(F.count(F.lit(1)).alias("entries"))

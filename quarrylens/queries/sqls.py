@@ -144,7 +144,7 @@ SELECT kind, count(*) AS n, sum(balance) AS balance FROM (
 """, "balance")
 
 shared("s13_intersect", "customer orders", "SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders")
-shared("s13_except", "customer orders", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 100000")
+shared("s13_except", "customer orders", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 400000")
 shared("s13_except_all", "orders", """
 SELECT o_custkey, o_orderstatus FROM orders EXCEPT ALL SELECT o_custkey, o_orderstatus FROM orders WHERE o_orderpriority = '1-URGENT'
 """)
