@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from quarrylens.session import materialize, quoted
 
 SLOT_BITS = 33  # monotonically_increasing_id(): partition number above, row below
-BLOCK_ROWS = 1 << 18
+BLOCK_ROWS = 1 << 16
 
 
 def with_index(
@@ -151,15 +151,19 @@ def running_totals(
     ).drop("_block", "idx", *inputs, *[f"_b_{out}" for out in sums])
 
 
-def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """One row per distinct ``value``: its average rank (1-based) and its row count.
+def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per column and distinct value: column, value, average rank (1-based).
 
-    Ties are collapsed before anything is ordered, so a value shared by a third of
-    the rows is one row here.
+    All columns share one pass and one sort. Ties are collapsed before anything is
+    ordered, so a value shared by a third of the rows is one row here.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    return running_totals(counts, [value], {"_upto": "_n"}).select(
-        value, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name)
+    cells = [
+        F.struct(F.lit(c).alias("column"), quoted(c).cast("double").alias("value")) for c in columns
+    ]
+    long = df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull())
+    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
+    return running_totals(counts, ["value"], {"_upto": "_n"}, ["column"]).select(
+        "column", "value", (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias("rank")
     )
 
 

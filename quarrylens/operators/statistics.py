@@ -14,7 +14,7 @@ from quarrylens.operators.charts import box as five_number  # noqa: F401
 from quarrylens.operators.charts import histogram
 from quarrylens.operators.ordering import average_ranks, running_totals
 from quarrylens.operators.quantiles import exact_quantiles
-from quarrylens.session import quoted
+from quarrylens.session import materialize, quoted
 
 
 def grade(value, *levels: tuple[float, str], otherwise: str):
@@ -71,6 +71,7 @@ def anova(df: DataFrame, group: str, col: str, min_rows: int = 3) -> DataFrame:
         F.count(F.lit(1)).alias("rows"), F.count(x).alias("n"), F.avg(x).alias("m"),
         F.coalesce(F.var_samp(x), F.lit(0.0)).alias("v"),
     )
+    groups = materialize(groups)  # read twice below, aggregated from the table once
     kept = F.col("g").isNotNull() & (F.col("rows") >= min_rows) & (F.col("n") > 0)
     mean = lambda cond: F.sum(F.when(cond, F.col("n") * F.col("m"))) / F.sum(F.when(cond, F.col("n")))
     centers = groups.agg(F.struct(mean(F.lit(True)).alias("all"), mean(kept).alias("kept")).alias("c")).scalar()
@@ -146,10 +147,10 @@ def _pearson(df: DataFrame, pairs: Sequence[tuple[str, str]], names: Sequence[tu
 def _ranked(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Replace each column by its average rank. Joins are on values; rows keep their side."""
     out = df.select(*[quoted(c).cast("double").alias(c) for c in cols])
-    base = out
+    ranks = average_ranks(out, cols)
     for i, c in enumerate(cols):
-        ranks = average_ranks(base.select(quoted(c).alias("_v")), "_v", f"_r{i}")
-        out = out.join(ranks, quoted(c) == F.col("_v"), "left").drop("_v")
+        mine = ranks.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("rank").alias(f"_r{i}"))
+        out = out.join(mine, quoted(c) == F.col("_v"), "left").drop("_v")
     return out.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(cols)])
 
 
@@ -209,8 +210,7 @@ def mutual_information(df: DataFrame, cols: Sequence[str], bins: int = 10) -> Da
 
     def binned(c):
         x = quoted(c).cast("double")
-        above = F.filter(F.array(*[F.lit(e) for e in sorted(edges[c])]), lambda e: x > e)
-        return F.when(x.isNotNull(), F.size(above))
+        return F.when(x.isNotNull(), sum([(x > e).cast("int") for e in edges[c]], F.lit(0)))
 
     codes = df.select(*[binned(c).alias(f"b{i}") for i, c in enumerate(cols)])
     cells = []

@@ -7,7 +7,7 @@ from quarrylens.functions import tails
 from quarrylens.functions.lexicon import CODONS
 from quarrylens.operators import catalog, charts, cleaning, finance, merging, profiling, series, statistics
 from quarrylens.session import nan_to_null
-from quarrylens.sources.files import flatten_struct, load, sniff_separator
+from quarrylens.sources.files import flatten_struct, load, sniff_encoding, sniff_separator
 from quarrylens.sources.text_table import text_to_table
 
 
@@ -97,6 +97,15 @@ def test_flatten_and_separators(spark, tmp_path):
         load(spark, path, "xlsx")
 
 
+def test_encodings(spark, tmp_path):
+    for encoding, sniffed in (("utf-8", "UTF-8"), ("latin-1", "ISO-8859-1")):
+        path = str(tmp_path / f"{encoding}.csv")
+        with open(path, "w", encoding=encoding) as f:
+            f.write("id,name\n1,Müller\n2,Peña\n")
+        assert sniff_encoding(spark, path) == sniffed
+        assert [r["name"] for r in load(spark, path, "csv").orderBy("id").collect()] == ["Müller", "Peña"]
+
+
 def test_unstructured_text(spark):
     with pytest.raises(ValueError):
         text_to_table(strings(spark, ["no keys here", "none either"]), "v")

@@ -74,7 +74,7 @@ def test_carry_forward_across_blocks(table, skewed):
 
 
 def test_average_ranks(table, skewed):
-    got = ordering.average_ranks(table, "x", "r").toPandas().set_index("x")["r"]
+    got = ordering.average_ranks(table, ["id", "x"]).where("column = 'x'").toPandas().set_index("value")["rank"]
     want = skewed["x"].dropna().rank()
     for value, rank in zip(skewed["x"].dropna(), want):
         assert got[value] == rank
