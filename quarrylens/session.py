@@ -83,7 +83,10 @@ def spread(df: DataFrame) -> DataFrame:
     For callers with small inputs; a large table comes in many files and is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+    if not 0 < len(df.inputFiles()) < cores:
+        return df
+    # by row hash: repeatable, and without the sort a round-robin placement needs
+    return df.repartition(cores, F.xxhash64(*[quoted(c) for c in df.columns]))
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
