@@ -29,6 +29,8 @@ def main() -> None:
     directory = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
+    budget = float(os.environ.get("BENCH_BUDGET", "480"))  # past it, one warm run per query
+    began = time.perf_counter()
     names = os.environ.get("BENCH_QUERIES", "").split() or HEADLINE
     spark = get_session(
         f"local[{cpus}]",
@@ -44,7 +46,9 @@ def main() -> None:
     seconds = {}
     for name in names:
         times = []
-        for _ in range(runs + 1):  # the first run warms up
+        for run in range(runs + 1):  # the first run warms up
+            if run > 1 and time.perf_counter() - began > budget:
+                break
             start = time.perf_counter()
             queries[name](spark, directory).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - start)

@@ -34,8 +34,8 @@ def _scalar_fields(df: DataFrame) -> list[T.StructField]:
     return [f for f in df.schema if not isinstance(f.dataType, nested)]
 
 
-def column_values(df: DataFrame, side: str) -> DataFrame:
-    """Distinct (family, value, "side:position") of every scalar column, in one pass."""
+def column_values(df: DataFrame, side: str, repeated: bool = False) -> DataFrame:
+    """(family, value, "side:position") of every scalar column, in one pass; distinct unless ``repeated``."""
     cells = [
         F.struct(
             F.lit(type_family(f)).alias("family"),
@@ -44,26 +44,46 @@ def column_values(df: DataFrame, side: str) -> DataFrame:
         )
         for f in _scalar_fields(df)
     ]
-    return df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull()).distinct()
+    values = df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull())
+    return values if repeated else values.distinct()
 
 
-def shared_values(parts: Sequence[DataFrame]) -> DataFrame:
+def shared_values(parts: Sequence[DataFrame], approx: bool = False) -> DataFrame:
     """How many distinct values each (owner, other) column pair has in common.
 
     Values are deduplicated per column first, so a group holds at most one row per
     column and the pairs formed per value are bounded by the number of columns.
+    ``approx`` estimates the same from one sketch per column, without a shuffle of
+    values; its error is a few percent of the larger column.
     """
     values = parts[0]
     for part in parts[1:]:
         values = values.unionAll(part)
+    if approx:
+        return _shared_estimates(values)
     owners = values.groupBy("family", "value").agg(F.collect_list("owner").alias("owners"))
     pairs = owners.where(F.size("owners") > 1).select(F.explode("owners").alias("owner"), "owners")
     pairs = pairs.select("owner", F.explode("owners").alias("other")).where(F.col("owner") != F.col("other"))
     return pairs.groupBy("owner", "other").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def _shared_estimates(values: DataFrame) -> DataFrame:
+    sketch = F.hll_sketch_agg("value", 14).alias("sketch")
+    columns = values.groupBy("family", "owner").agg(sketch)
+    peers = columns.groupBy("family").agg(F.collect_list(F.struct("owner", "sketch")).alias("peers"))
+    pairs = peers.select("peers", F.inline("peers")).select(
+        "owner", "sketch", F.explode("peers").alias("peer")
+    )
+    both = F.hll_sketch_estimate(F.hll_union("sketch", "peer.sketch"))
+    size = lambda c: F.hll_sketch_estimate(c)
+    shared = F.greatest(size("sketch") + size("peer.sketch") - both, F.lit(0))
+    return pairs.where(F.col("owner") != F.col("peer.owner")).select(
+        "owner", F.col("peer.owner").alias("other"), shared.alias("shared")
+    )
+
+
 def best_pair(
-    left: DataFrame, right: DataFrame, symmetric: bool = False
+    left: DataFrame, right: DataFrame, symmetric: bool = False, approx: bool = False
 ) -> tuple[float, str, str, bool, bool] | None:
     """Best column pair by name likeness and value overlap, half each.
 
@@ -71,7 +91,7 @@ def best_pair(
     """
     overlap = {
         (r["owner"], r["other"]): r["shared"]
-        for r in shared_values([column_values(left, "l"), column_values(right, "r")])
+        for r in shared_values([column_values(left, "l", approx), column_values(right, "r", approx)], approx)
         .where(F.col("owner").startswith("l:") & F.col("other").startswith("r:"))
         .collect()  # one row per column pair
     }
@@ -108,6 +128,7 @@ def smart_merge(
     names: Sequence[str] | None = None,
     threshold: float = 0.3,
     symmetric: bool = False,
+    approx: bool = False,
 ) -> DataFrame:
     """Fold tables together: join on the best column pair, else stack the rows.
 
@@ -117,7 +138,7 @@ def smart_merge(
     names = list(names) if names else [f"t{i + 1}" for i in range(len(dfs))]
     merged = dfs[0]
     for right, name in zip(dfs[1:], names[1:]):
-        best = best_pair(merged, right, symmetric)
+        best = best_pair(merged, right, symmetric, approx)
         if best is not None and best[0] > threshold:
             _, lk, rk, unique_l, unique_r = best
             merged = _join(merged, right, lk, rk, HOW[(unique_l, unique_r)], name)
@@ -141,7 +162,9 @@ def _join(left: DataFrame, right: DataFrame, lk: str, rk: str, how: str, name: s
     return both.select(*out)
 
 
-def relationships(tables: Mapping[str, DataFrame], threshold: float = 0.95) -> DataFrame:
+def relationships(
+    tables: Mapping[str, DataFrame], threshold: float = 0.95, approx: bool = False
+) -> DataFrame:
     """Child columns whose distinct values are contained in a unique column of another table.
 
     Only whole-number and text columns take part. All pairs above the threshold are
@@ -153,7 +176,7 @@ def relationships(tables: Mapping[str, DataFrame], threshold: float = 0.95) -> D
             f for f in _scalar_fields(df) if isinstance(f.dataType, (T.IntegralType, T.StringType))
         ]
         keys = df.select(*[quoted(f.name) for f in fields])
-        parts.append(column_values(keys, name))
+        parts.append(column_values(keys, name, approx))
         total, distinct = _distinct_counts(keys)
         for i, f in enumerate(fields):
             owner = f"{name}:{i}"
@@ -161,9 +184,9 @@ def relationships(tables: Mapping[str, DataFrame], threshold: float = 0.95) -> D
             if total and distinct[f.name] == total:
                 unique.add(owner)
     found = []
-    for r in shared_values(parts).collect():  # one row per column pair
+    for r in shared_values(parts, approx).collect():  # one row per column pair
         child, parent = owners[r["owner"]], owners[r["other"]]
-        contained = r["shared"] / child[2]
+        contained = min(r["shared"] / max(child[2], 1), 1.0)
         if r["other"] in unique and child[0] != parent[0] and contained >= threshold:
             found.append((child[0], child[1], parent[0], parent[1], contained))
     spark = next(iter(tables.values())).sparkSession

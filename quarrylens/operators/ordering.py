@@ -20,6 +20,13 @@ SLOT_BITS = 33  # monotonically_increasing_id(): partition number above, row bel
 BLOCK_ROWS = 1 << 16
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join that lets NULL keys match, keeping the left key columns."""
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    added = [F.col(f"r.{c}") for c in right.columns if c not in keys]
+    return left.alias("l").join(right.alias("r"), same, how).select("l.*", *added)
+
+
 def with_index(
     df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (), name: str = "idx"
 ) -> DataFrame:
@@ -64,11 +71,8 @@ def key_position(indexed: DataFrame, partition_by: Sequence[str], name: str = "p
     starts = indexed.groupBy(*keys).agg(
         F.min("idx").alias("_start"), F.count(F.lit(1)).alias("key_rows")
     )
-    return (
-        indexed.join(starts, keys)
-        .withColumn(name, F.col("idx") - F.col("_start"))
-        .drop("_start")
-    )
+    placed = join_keys(indexed, starts, keys)
+    return placed.withColumn(name, F.col("idx") - F.col("_start")).drop("_start")
 
 
 def neighbours(
@@ -139,14 +143,7 @@ def running_totals(
         .orderBy("idx")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    if keys:
-        condition = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_block"]]
-        based = blocked.alias("l").join(bases.alias("r"), condition).select(
-            "l.*", *[f"r._b_{out}" for out in sums]
-        )
-    else:
-        based = blocked.join(bases, "_block")
-    return based.withColumns(
+    return join_keys(blocked, bases, [*keys, "_block"]).withColumns(
         {out: F.col(f"_b_{out}") + F.sum(f"_in_{out}").over(here) for out in sums}
     ).drop("_block", "idx", *inputs, *[f"_b_{out}" for out in sums])
 
@@ -188,7 +185,7 @@ def rank_rows(
     values = df.groupBy(*keys, order_by).agg(F.count(F.lit(1)).alias("_n"))
     upto = running_totals(values, [order_by], {"_upto": "_n", "dense_rank": F.lit(1)}, keys)
     ranks = upto.withColumn("rank", F.col("_upto") - F.col("_n") + 1).drop("_n", "_upto")
-    return rows.join(ranks, [*keys, order_by])
+    return join_keys(rows, ranks, [*keys, order_by])
 
 
 def carry_forward(
@@ -220,11 +217,7 @@ def carry_forward(
     here = (
         Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     )
-    condition = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    based = blocked.alias("l").join(bases.alias("r"), condition).select(
-        "l.*", *[f"r._b_{out}" for out in columns]
-    )
-    return based.withColumns(
+    return join_keys(blocked, bases, keys).withColumns(
         {
             out: F.coalesce(F.last(c, True).over(here), F.col(f"_b_{out}"))
             for out, c in columns.items()

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.functions.tails import chi2_sf, normal_sf, t_two_sided, tail_udf
-from quarrylens.operators.ordering import key_position, preceding, with_index
+from quarrylens.operators.ordering import join_keys, key_position, preceding, with_index
 from quarrylens.operators.statistics import fit
 from quarrylens.session import quoted
 
@@ -37,7 +37,7 @@ def detrended(df: DataFrame, col: str, order_by: Sequence[str], by: Sequence[str
     rows = positioned(df, col, order_by, by)
     line = fit(rows, "pos", col, by)
     if by:
-        fitted = rows.join(line.select(*by, "slope", "intercept"), list(by))
+        fitted = join_keys(rows, line.select(*by, "slope", "intercept"), by)
     else:
         fitted = rows.withColumn("_f", line.select(F.struct("slope", "intercept").alias("f")).scalar())
         fitted = fitted.withColumns({"slope": F.col("_f.slope"), "intercept": F.col("_f.intercept")})
@@ -252,7 +252,7 @@ def xbar_chart(
     spread = df.groupBy(*by).agg(F.stddev_pop(x).alias("std"))
     center = groups.groupBy(*by).agg(F.avg("mean").alias("center"))
     if by:
-        joined = groups.join(center.join(spread, list(by)), list(by))
+        joined = join_keys(groups, join_keys(center, spread, by), by)
     else:
         joined = groups.withColumn("_c", center.scalar()).withColumn("_s", spread.scalar())
         joined = joined.withColumns({"center": F.col("_c"), "std": F.col("_s")}).drop("_c", "_s")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quarrylens.functions import tails
 from quarrylens.functions.lexicon import CODONS
 from quarrylens.operators import catalog, charts, cleaning, finance, merging, profiling, series, statistics
+from quarrylens.operators.ordering import rank_rows
 from quarrylens.session import nan_to_null
 from quarrylens.sources.files import flatten_struct, load, sniff_encoding, sniff_separator
 from quarrylens.sources.text_table import text_to_table
@@ -84,6 +85,33 @@ def test_merge_matches_missing_keys(spark):
     }
 
 
+def test_sketched_overlap_finds_the_same_keys(spark):
+    orders = spark.range(3000).select("id", (F.col("id") % 500).alias("buyer"))
+    buyers = spark.range(500).select(F.col("id").alias("buyer"), (F.col("id") * 1000 + 7).alias("code"))
+    found = [
+        {(r["child_table"], r["child_column"], r["parent_column"]) for r in merging.relationships(
+            {"orders": orders, "buyers": buyers}, 0.9, approx
+        ).collect()}
+        for approx in (False, True)
+    ]
+    assert found[0] == found[1] == {("orders", "buyer", "buyer"), ("buyers", "buyer", "id")}
+    assert merging.best_pair(orders, buyers, approx=True)[1:3] == ("buyer", "buyer")
+
+
+def test_missing_keys_keep_their_rows(spark):
+    rows = [(None, 1.0), (None, 3.0), ("a", 2.0), ("a", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {(r["k"], r["x"]): (r["row_number"], r["rank"]) for r in rank_rows(df, "x", ["k"]).collect()}
+    assert got == {(None, 1.0): (1, 1), (None, 3.0): (2, 2), ("a", None): (1, 1), ("a", 2.0): (2, 2)}
+
+
+def test_isolation_forest_finds_the_odd_row(spark):
+    df = spark.range(200).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+    odd = df.unionAll(spark.createDataFrame([(999, 500.0, -500.0)], df.schema))
+    best = cleaning.isolation_scores(odd, ["a", "b"]).orderBy(F.desc("isolation_score")).first()
+    assert best["id"] == 999
+
+
 def test_flatten_and_separators(spark, tmp_path):
     df = spark.createDataFrame([((1, ("x",)),)], "o struct<a: int, b: struct<c: string>>")
     assert flatten_struct(df).columns == ["o.a", "o.b.c"]
