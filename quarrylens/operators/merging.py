@@ -24,9 +24,9 @@ def comparable(field: T.StructField) -> Column:
     if not is_numeric(field):
         return c.cast("string")
     if isinstance(field.dataType, T.IntegralType):
-        return c.cast("decimal(38,0)").cast("string")
-    whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
-    return F.when(whole, c.cast("decimal(38,0)").cast("string")).otherwise(c.cast("double").cast("string"))
+        return c.cast("string")
+    whole = (F.abs(c) < 1e15) & (c == F.floor(c))
+    return F.when(whole, c.cast("bigint").cast("string")).otherwise(c.cast("double").cast("string"))
 
 
 def _scalar_fields(df: DataFrame) -> list[T.StructField]:

@@ -345,7 +345,18 @@ def default_chart(t):
     return charts.default_chart(df, semantic_profile(df))
 
 
-@query("d26_dashboard")
+@query("d26_dashboard", """
+WITH n AS (SELECT count(DISTINCT l_shipdate) AS days, count(DISTINCT l_returnflag) AS flags, count(DISTINCT l_linestatus) AS states FROM lineitem),
+h AS (""" + "\nUNION ALL ".join(
+    HISTOGRAM_SQL.replace("{c}", c).replace("{bins}", "25") for c in ("l_orderkey", "l_partkey", "l_suppkey")
+) + """)
+SELECT 'records' AS chart, CAST(1 AS BIGINT) AS rows UNION ALL SELECT 'kpi', 4 UNION ALL SELECT 'kpi_trend', 4
+UNION ALL SELECT 'target_over_time', days FROM n UNION ALL SELECT 'target_by', least(flags, 15) FROM n
+UNION ALL SELECT 'donut', least(flags, 8) FROM n UNION ALL SELECT 'treemap', least(flags, 20) FROM n
+UNION ALL SELECT 'target_by_second', least(states, 15) FROM n UNION ALL SELECT 'scatter_line', flags FROM n
+UNION ALL SELECT 'correlation', 64 UNION ALL SELECT 'waterfall', least(days, 12) FROM n
+UNION ALL SELECT 'histograms', (SELECT count(*) FROM h)
+""")
 def full_dashboard(t):
     """Names and row counts of every chart of the whole dashboard of lineitem."""
     source = t.lineitem.persist()

@@ -122,7 +122,10 @@ def parquet_scan(t):
 @query("a7_table_report")
 def full_report(t):
     """The whole command-line flow on a table, written and read back: rows per section."""
-    df = t.spread("lineitem", "l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate")
-    paths = write_report(df, fresh_path(t.spark, "lineitem"), trees=10)
+    part = t.part.select("p_partkey", F.col("p_retailprice").alias("unit_price"))
+    lines = t.spread("lineitem", "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
+    df = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey")
+    sales = F.col("l_quantity") * F.col("unit_price") * (1 - F.col("l_discount"))
+    paths = write_report(df.withColumn("sales", sales), fresh_path(t.spark, "lineitem"), trees=10)
     report = t.spark.read.schema("section string, entry string").json(paths["report"])
     return report.groupBy("section").agg(F.count(F.lit(1)).alias("entries"))
