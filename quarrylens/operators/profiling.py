@@ -25,7 +25,7 @@ from quarrylens.functions.lexicon import (
 from quarrylens.functions.moments import adjusted_kurtosis, adjusted_skewness, ratio
 from quarrylens.operators.cleaning import parsed_timestamp
 from quarrylens.operators.quantiles import exact_quantiles, medians
-from quarrylens.session import is_datetime, is_numeric, quoted
+from quarrylens.session import is_datetime, is_numeric, materialize, quoted
 
 PHONE = r"^\+?[0-9][0-9 ()./-]{6,}$"
 
@@ -156,13 +156,21 @@ def column_stats(
     return joined.select("column", "position", "dtype", "kind", *out)
 
 
-def stat_rows(df: DataFrame, exact_distinct: bool = True, shape: bool = False, text: bool = False) -> list[Row]:
-    """The statistics on the driver: one small row per column."""
-    return column_stats(df, _how(exact_distinct), shape, text).orderBy("position").collect()
+def table_stats(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
+    """All statistics, computed once and stored, to share among the functions below as ``stats``."""
+    how = "exact" if exact_distinct else "approx"
+    return materialize(column_stats(df, how, shape=True, text=True))
+
 
+def _stats(df: DataFrame, given: DataFrame | None, exact_distinct: bool, shape=False, text=False) -> DataFrame:
+    if given is not None:
+        return given
+    return column_stats(df, "exact" if exact_distinct else "approx", shape, text)
 
-def _how(exact_distinct: bool) -> str:
-    return "exact" if exact_distinct else "approx"
+
+def stat_rows(stats: DataFrame) -> list[Row]:
+    """The statistics on the driver: one small row per column."""
+    return stats.orderBy("position").collect()
 
 
 def _local(df: DataFrame, rows: list, schema: str) -> DataFrame:
@@ -172,9 +180,9 @@ def _local(df: DataFrame, rows: list, schema: str) -> DataFrame:
 # --- physical schema, relational roles, quality ------------------------------------------
 
 
-def detect_schema(df: DataFrame, max_values: int = 20) -> DataFrame:
+def detect_schema(df: DataFrame, max_values: int = 20, stats: DataFrame | None = None) -> DataFrame:
     """Physical type per column with its describing values."""
-    stats = stat_rows(df)
+    stats = stat_rows(_stats(df, stats, True))
     middle = medians(df, [s["column"] for s in stats if s["kind"] == "numeric"])
     listed = [s["column"] for s in stats if s["kind"] == "string" and s["nunique"] < max_values]
     values = {}
@@ -203,7 +211,7 @@ def detect_schema(df: DataFrame, max_values: int = 20) -> DataFrame:
     )
 
 
-def detect_roles(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
+def detect_roles(df: DataFrame, exact_distinct: bool = True, stats: DataFrame | None = None) -> DataFrame:
     """Relational role per column, by uniqueness, tested in a fixed order."""
     share = F.col("nunique") / F.col("n_rows")
     role = (
@@ -213,13 +221,15 @@ def detect_roles(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
         .when(F.col("nunique") < 20, "Categorical Feature")
         .otherwise("Text / Identifier")
     )
-    return column_stats(df, _how(exact_distinct)).select("column", role.alias("role"))
+    return _stats(df, stats, exact_distinct).select("column", role.alias("role"))
 
 
-def quality(df: DataFrame, exact_distinct: bool = True, digits: int | None = 4) -> DataFrame:
+def quality(
+    df: DataFrame, exact_distinct: bool = True, digits: int | None = 4, stats: DataFrame | None = None
+) -> DataFrame:
     """Missing and unique shares, adjusted skewness and variance."""
     shown = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
-    return column_stats(df, _how(exact_distinct), shape=True).select(
+    return _stats(df, stats, exact_distinct, shape=True).select(
         "column",
         shown(1 - ratio("n", "n_rows")).alias("missing_ratio"),
         shown(ratio("nunique", "n_rows")).alias("unique_ratio"),
@@ -228,11 +238,11 @@ def quality(df: DataFrame, exact_distinct: bool = True, digits: int | None = 4)
     )
 
 
-def feature_ranking(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
+def feature_ranking(df: DataFrame, exact_distinct: bool = True, stats: DataFrame | None = None) -> DataFrame:
     """Numeric columns by variance times unique share, descending."""
     score = F.col("variance") * F.col("nunique") / F.col("n_rows")
     return (
-        column_stats(df, _how(exact_distinct))
+        _stats(df, stats, exact_distinct)
         .where((F.col("kind") == "numeric") & F.col("variance").isNotNull())
         .select("column", score.alias("score"))
         .orderBy(F.desc("score"), "column")
@@ -290,10 +300,10 @@ class Profile(list):
         return next(p for p in self if p["column"] == column)
 
 
-def semantic_profile(df: DataFrame, exact_distinct: bool = True) -> Profile:
+def semantic_profile(df: DataFrame, exact_distinct: bool = True, stats: DataFrame | None = None) -> Profile:
     """Role and aggregation rule of every column, with its statistics."""
     profile = Profile()
-    for s in stat_rows(df, exact_distinct, text=True):
+    for s in stat_rows(_stats(df, stats, exact_distinct, text=True)):
         role = semantic_role(s)
         rule = agg_type(s["column"], s) if role == "measure" else ("mean" if role == "year_col" else "sum")
         profile.append({**s.asDict(), "role": role, "agg": rule})
@@ -330,7 +340,7 @@ def fingerprint(df: DataFrame, sample_size: int = 5, exact_distinct: bool = True
 
 def aggregation_rules(df: DataFrame) -> DataFrame:
     """Aggregation rule (year, mean, sum) of every numeric column."""
-    rows = [(s["column"], agg_type(s["column"], s)) for s in stat_rows(df) if s["kind"] == "numeric"]
+    rows = [(s["column"], agg_type(s["column"], s)) for s in stat_rows(_stats(df, None, True)) if s["kind"] == "numeric"]
     return _local(df, rows, "column string, agg string")
 
 
@@ -412,17 +422,18 @@ def semantic_type(s: Mapping | Row) -> str:
     return "categorical_or_text"
 
 
-def semantic_types(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
+def semantic_types(df: DataFrame, exact_distinct: bool = True, stats: DataFrame | None = None) -> DataFrame:
     """identifier, datetime, monetary, percentage, phone, numeric_metric or categorical_or_text."""
-    rows = [(s["column"], semantic_type(s)) for s in stat_rows(df, exact_distinct, text=True)]
+    rows = [(s["column"], semantic_type(s)) for s in stat_rows(_stats(df, stats, exact_distinct, text=True))]
     return _local(df, rows, "column string, semantic_type string")
 
 
 def insights(
-    df: DataFrame, max_skew: float = 2.0, min_std: float = 2.0, exact_distinct: bool = True
+    df: DataFrame, max_skew: float = 2.0, min_std: float = 2.0, exact_distinct: bool = True,
+    stats: DataFrame | None = None,
 ) -> DataFrame:
     """Rule findings: duplicate identifiers, high skew, low variability, completeness."""
-    stats, rows = stat_rows(df, exact_distinct, shape=True, text=True), []
+    stats, rows = stat_rows(_stats(df, stats, exact_distinct, shape=True, text=True)), []
     for s in stats:
         if semantic_type(s) == "identifier" and s["nunique"] < s["n_rows"]:
             rows.append((s["column"], "duplicate_identifier", s["nunique"] / s["n_rows"]))
@@ -438,7 +449,8 @@ def insights(
 
 
 def structure(
-    df: DataFrame, low_information: float = 0.01, exact_distinct: bool = True
+    df: DataFrame, low_information: float = 0.01, exact_distinct: bool = True,
+    stats: DataFrame | None = None,
 ) -> DataFrame:
     """Split columns into identifiers, dimensions, metrics and derived metrics.
 
@@ -446,7 +458,7 @@ def structure(
     outcome is the metric with the largest variance, the drivers are the others.
     """
     rows = []
-    for s in stat_rows(df, exact_distinct, text=True):
+    for s in stat_rows(_stats(df, stats, exact_distinct, text=True)):
         kind = semantic_type(s)
         low = s["nunique"] / max(s["n_rows"], 1) < low_information
         if kind == "identifier":
@@ -487,6 +499,7 @@ def trust(
     references: Sequence[tuple[str, DataFrame, str]] = (),
     text_confidence: float = 1.0,
     exact_distinct: bool = True,
+    stats: DataFrame | None = None,
 ) -> DataFrame:
     """Scores from 0 to 100 (own definition; only perfect scores are published).
 
@@ -494,7 +507,7 @@ def trust(
     100 less the share of values beyond 3 robust deviations; relationship: share of
     reference values found in their parent table; overall: the mean.
     """
-    stats = stat_rows(df, exact_distinct)
+    stats = stat_rows(_stats(df, stats, exact_distinct))
     rows = stats[0]["n_rows"] if stats else 0
     typed = [s for s in stats if s["kind"] in ("numeric", "datetime") or s["nunique"] < 20]
     schema_score = 100.0 * len(typed) / max(len(stats), 1)
