@@ -1,6 +1,10 @@
 """Edge cases: empty, constant, all-missing, thresholds, ties, odd names."""
 
+import subprocess
+import sys
+
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from quarrylens.functions import tails
@@ -216,3 +220,11 @@ def test_tails():
     assert tails.t_quantile(0.975, 10) == pytest.approx(2.228138852, rel=1e-8)
     assert tails.f_sf(3.0, 2, 20) == pytest.approx(0.0725381503, rel=1e-8)
     assert tails.chi2_sf(31.410432844, 20) == pytest.approx(0.05, rel=1e-8)
+
+
+def test_udf_helpers_travel_by_value(tmp_path):
+    code = "import pickle, sys; print(pickle.load(open(sys.argv[1], 'rb'))(3.0, 2.0, 20.0))"
+    path = tmp_path / "f.pkl"
+    path.write_bytes(cloudpickle.dumps(tails.f_sf))
+    done = subprocess.run([sys.executable, "-c", code, str(path)], cwd=tmp_path, capture_output=True, text=True)
+    assert float(done.stdout) == pytest.approx(0.0725381503, rel=1e-8), done.stderr
