@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.llm.license_scan import scan_licenses
+from quarrylens.llm.near_dedup import near_duplicates
 from quarrylens.llm.packing import pack
 from quarrylens.llm.token_counts import count_tokens
 from quarrylens.llm.token_files import token_table
@@ -53,3 +54,9 @@ def op8_packing(spark: SparkSession, directory: str) -> DataFrame:
     return found.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query
+def op10_near_duplicates(spark: SparkSession, directory: str) -> DataFrame:
+    """Shingles, component and verdict of every document, at 2-word shingles and 80 percent."""
+    return near_duplicates(table(spark, directory, "documents"), size=2, percent=80)
