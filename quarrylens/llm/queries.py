@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarrylens.llm.license_scan import scan_licenses
 from quarrylens.llm.near_dedup import near_duplicates
 from quarrylens.llm.packing import pack
+from quarrylens.llm.scoring import score_documents
 from quarrylens.llm.token_counts import count_tokens
 from quarrylens.llm.token_files import token_table
 from quarrylens.session import table
@@ -23,6 +24,12 @@ def query(function):
     return function
 
 
+@query
+def op1_lm_scoring(spark: SparkSession, directory: str) -> DataFrame:
+    """Word unigram and subword lattice score of every document."""
+    return score_documents(table(spark, directory, "documents"))
+
+
 @query
 def op3_token_files(spark: SparkSession, directory: str) -> DataFrame:
     """Start, length and checksum of every document, from the token files."""
