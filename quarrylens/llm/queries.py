@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylens.llm.decontaminate import find_leaks
 from quarrylens.llm.license_scan import scan_licenses
 from quarrylens.llm.near_dedup import near_duplicates
 from quarrylens.llm.packing import pack
@@ -63,6 +64,12 @@ def op8_packing(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+@query
+def op9_benchmark_leaks(spark: SparkSession, directory: str) -> DataFrame:
+    """Every document and benchmark item of which it holds a passage."""
+    return find_leaks(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+
+
 @query
 def op10_near_duplicates(spark: SparkSession, directory: str) -> DataFrame:
     """Shingles, component and verdict of every document, at 2-word shingles and 80 percent."""
