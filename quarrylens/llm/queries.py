@@ -11,6 +11,7 @@ from quarrylens.llm.decontaminate import find_leaks
 from quarrylens.llm.license_scan import scan_licenses
 from quarrylens.llm.near_dedup import near_duplicates
 from quarrylens.llm.packing import pack
+from quarrylens.llm.quality import quality
 from quarrylens.llm.scoring import score_documents
 from quarrylens.llm.token_counts import count_tokens
 from quarrylens.llm.token_files import token_table
@@ -55,6 +56,15 @@ def op6_token_counts(spark: SparkSession, directory: str) -> DataFrame:
     return count_tokens(table(spark, directory, "documents"))
 
 
+@query
+def op7_quality(spark: SparkSession, directory: str) -> DataFrame:
+    """Base figures and verdict of every document."""
+    found = quality(table(spark, directory, "documents"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 @query
 def op8_packing(spark: SparkSession, directory: str) -> DataFrame:
     """Every piece of every document, by sequence."""
