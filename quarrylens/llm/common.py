@@ -53,3 +53,11 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             held += size
         if start < len(sizes):
             yield batch.slice(start)
+
+
+BROADCAST_BYTES = 16 << 20
+
+
+def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (already written) marked for broadcast if its rows fit in ``limit``; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df

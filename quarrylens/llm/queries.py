@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.llm.decontaminate import find_leaks
 from quarrylens.llm.license_scan import scan_licenses
+from quarrylens.llm.line_dedup import dedup_lines
 from quarrylens.llm.near_dedup import near_duplicates
 from quarrylens.llm.packing import pack
 from quarrylens.llm.quality import quality
@@ -32,6 +33,13 @@ def op1_lm_scoring(spark: SparkSession, directory: str) -> DataFrame:
     return score_documents(table(spark, directory, "documents"))
 
 
+@query
+def op2_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    """Lines, dropped lines and checksum of what is left, of every document."""
+    found = dedup_lines(table(spark, directory, "documents"))
+    return found.select("doc_id", "lines", "dropped_lines", F.md5("text").alias("kept_md5"))
+
+
 @query
 def op3_token_files(spark: SparkSession, directory: str) -> DataFrame:
     """Start, length and checksum of every document, from the token files."""
