@@ -14,6 +14,7 @@ from quarrylens.llm.near_dedup import near_duplicates
 from quarrylens.llm.packing import pack
 from quarrylens.llm.quality import quality
 from quarrylens.llm.scoring import score_documents
+from quarrylens.llm.suffix_dedup import remove_repeats
 from quarrylens.llm.token_counts import count_tokens
 from quarrylens.llm.token_files import token_table
 from quarrylens.session import table
@@ -58,6 +59,16 @@ def op4_license_scan(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+@query
+def op5_suffix_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    """Bytes, removed bytes and runs, and checksum of what is left, of every document."""
+    found = remove_repeats(table(spark, directory, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op6_token_counts(spark: SparkSession, directory: str) -> DataFrame:
     """Bytes and tokens of every document."""
