@@ -5,9 +5,48 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quarrylens.llm.common import small
+from quarrylens.llm.decontaminate import find_leaks
+from quarrylens.llm.line_dedup import dedup_lines
+from quarrylens.llm.near_dedup import near_duplicates
 from quarrylens.llm.packing import pack
-from quarrylens.session import scratch_root, table
+from quarrylens.llm.quality import keep_good
+from quarrylens.session import materialize, scratch_root, table
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` less those whose id is in ``ids``; rows with a null id stay."""
+    return docs.join(small(materialize(ids.select("doc_id").distinct()), 16), "doc_id", "left_anti").select(docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    return keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts less their duplicate lines; a document that loses all its lines goes."""
+    found = dedup_lines(docs.withColumnsRenamed({"lines": "_lines_", "dropped_lines": "_dropped_lines_"}))
+    found = found.where("lines = 0 OR dropped_lines < lines").drop("lines", "dropped_lines")
+    found = found.withColumnsRenamed({"_lines_": "lines", "_dropped_lines_": "dropped_lines"})
+    if "n_chars" in found.columns:
+        found = found.withColumn("n_chars", F.char_length("text").cast(found.schema["n_chars"].dataType))
+    return found.select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, at five-word shingles and 0.8; of rows with equal ids, one."""
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    if not repeated.isEmpty():
+        docs = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    return without(docs, near_duplicates(docs, size=5, percent=80).where("NOT kept"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return without(docs, find_leaks(docs, table(spark, sf_dir, "benchmark")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,9 +54,15 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
-#: Packing runs a tokenizer's merges and a greedy assignment, which SQL cannot express.
+#: Packing encodes with a tokenizer's merges and assigns greedily, which SQL cannot express.
 ORACLE_SQL = None
 
 
