@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import json
 import os
-import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 from quarrylens.llm.common import per_worker, tokenizer_path
 
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 800_000
 LONG_CHUNK = 64
-#: White space on either side of a space, or the mark used for cutting.
-UNEVEN = re.compile(r"\s | \s|\0")
+BARE = "\0"
+#: Punctuation after a letter is a token boundary for the pattern; words share what precedes it.
+TAIL = ".,;:!?"
 
 
 class Encoder:
@@ -20,7 +24,7 @@ class Encoder:
     A byte-level tokenizer's pattern always breaks between a non-space character and a
     single space that another non-space character follows, and nothing left of that break
     changes the tokens right of it. Texts in which every space is such a break are cut
-    there; equal chunks are encoded once. Any other text, and any other kind of
+    there; the distinct chunks of a slice are encoded once, and kept. Any other text, and any other kind of
     tokenizer, goes to the library whole.
     """
 
@@ -50,29 +54,83 @@ class Encoder:
 
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _chunks(self, keys: list[str]) -> list[bytes]:
+        """Ids of chunks; a key is a chunk without its space, or BARE and a chunk that has none."""
+        out = list(map(self.known.get, keys))
+        holes = [i for i, ids in enumerate(out) if ids is None]
+        if not holes:
+            return out
+        missing = [keys[i] for i in holes]
+        # one call with all of them as the words of one input; every token names its word
+        found = self.tokenizer.encode([k[1:] if k[:1] == BARE else " " + k for k in missing], is_pretokenized=True, add_special_tokens=False)
+        tokens = np.array(found.ids, "<u4").tobytes()
+        cuts = (np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(missing))) * 4).tolist()
+        new = [tokens[i:j] for i, j in zip([0, *cuts], cuts)]
+        for i, ids in zip(holes, new):
+            out[i] = ids
+        if len(self.known) + len(new) > KEPT_CHUNKS:
+            self.known = {}
+        self.known.update((k, ids) for k, ids in zip(missing, new) if len(k) <= LONG_CHUNK)
+        return out
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of every text of a string array without nulls."""
+        if not len(texts) or not self.cuts:
+            return self._library(texts.to_pylist())
+        pc = pa.compute
+        parts = pc.split_pattern(texts, " ")
+        ends = parts.offsets.to_numpy()
+        coded = parts.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+        ends = ends - ends[0]
+        chunks, index = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        # white space next to a space, or the mark of a chunk without one: not a plain break
+        trimmed = pc.utf8_trim_whitespace(chunks)
+        odd = pc.or_(pc.not_equal(trimmed, chunks), pc.equal(trimmed, ""))
+        odd = pc.or_(odd, pc.starts_with(trimmed, BARE)).to_numpy(zero_copy_only=False)
+        whole = np.logical_or.reduceat(odd[index], ends[:-1])
+        starts = np.flatnonzero(~whole)
+
+        stems = pc.utf8_rtrim(chunks, TAIL)
+        size = pc.binary_length(chunks).to_numpy()
+        tail = size - pc.binary_length(stems).to_numpy()
+        letter = pc.utf8_is_alpha(pc.utf8_slice_codeunits(stems, -1)).to_numpy(zero_copy_only=False)
+        tail[~letter | odd | (tail > 7)] = 0
+        stems = pc.if_else(pa.array(tail > 0), stems, chunks).dictionary_encode()
+        # a tail as a number, its last character lowest
+        data = np.frombuffer(chunks.buffers()[2], np.uint8)
+        stop = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset + 1 : chunks.offset + 1 + len(chunks)].astype(np.int64)
+        number = np.zeros(len(chunks), np.int64)
+        for j in range(int(tail.max(initial=0))):
+            has = np.flatnonzero(tail > j)
+            number[has] |= data[stop[has] - 1 - j].astype(np.int64) << 8 * j
+        numbers, which = np.unique(number, return_inverse=True)
+        tails = [int(n).to_bytes(7, "big").lstrip(b"\0").decode() for n in numbers]
+
+        # keys: stems, then tails, then the texts' first chunks; a text is two places per chunk
+        first = [chunks[i].as_py() for i in index[ends[:-1]][starts].tolist()]
+        keys = [*stems.dictionary.to_pylist(), *(BARE + t for t in tails), *(BARE + c for c in first)]
+        n = len(stems.dictionary)
+        place = np.zeros((len(chunks) + len(texts), 2), np.int64)
+        place[: len(chunks), 0] = stems.indices.to_numpy()
+        place[: len(chunks), 1] = n + which
+        place[len(chunks) :, 1] = n + int(np.flatnonzero(numbers == 0)[0]) if (numbers == 0).any() else len(keys)
+        place[len(chunks) + starts, 0] = n + len(tails) + np.arange(len(starts))
+        index[ends[:-1]] = len(chunks) + np.arange(len(texts))
+        ids = [*self._chunks(keys), b""]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        tokens = np.frombuffer(b"".join(ids), "<u4")
+        begin = np.cumsum(sizes) - sizes
+        chosen = place[index[np.repeat(~whole, np.diff(ends))]].ravel()
+        many = sizes[chosen]
+        stop = np.cumsum(many)
+        flat = tokens[np.repeat(begin[chosen] - stop + many, many) + np.arange(stop[-1] if len(stop) else 0)]
+        cuts = np.r_[0, stop][np.r_[0, 2 * np.cumsum(np.diff(ends)[~whole])]]
         out: list[bytes] = [b""] * len(texts)
-        cut, whole = [], []
-        for i, text in enumerate(texts):
-            if self.cuts and not UNEVEN.search(text):
-                cut.append((i, text.replace(" ", "\0 ").split("\0")))
-            else:
-                whole.append(i)
-        if whole:
-            for i, ids in zip(whole, self._library([texts[i] for i in whole])):
-                out[i] = ids
-        if cut:
-            needed = set().union(*(parts for _, parts in cut))
-            missing = list(needed - self.known.keys())
-            if len(self.known) + len(missing) > KEPT_CHUNKS:
-                self.known, missing = {}, list(needed)
-            known = self.known
-            known.update(zip(missing, self._library(missing)))
-            for i, parts in cut:
-                out[i] = b"".join(map(known.__getitem__, parts))
-            for chunk in missing:
-                if len(chunk) > LONG_CHUNK:
-                    del known[chunk]
+        for i, a, b in zip(starts.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+            out[i] = flat[a:b].tobytes()
+        rest = np.flatnonzero(whole).tolist()
+        for i, ids in zip(rest, self._library([texts[i].as_py() for i in rest]) if rest else []):
+            out[i] = ids
         return out
 
 

@@ -116,7 +116,7 @@ def pack(
         ids, texts, held = [], [], 0
         for part in slices(batches):
             ids += part.column("doc_id").to_pylist()
-            new = [t + end for t in encode(part.column("text").to_pylist())]
+            new = [t + end for t in encode(part.column("text"))]
             texts += new
             held += sum(map(len, new)) // 4
             if held >= group_tokens:
