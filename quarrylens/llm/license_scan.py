@@ -96,10 +96,11 @@ class Scanner:
                 place = a
                 while (m := fuzzy.search(text, place, b)) is not None:
                     start, stop = m.start(), m.end()
-                    first = text.count(" ", 0, start + 1) - (text[start] != " ")
                     found = m.group().strip()
+                    # the words joined by spaces, with one space before the first
+                    first = text.count(" ", 0, text.index(found, start)) - 1
                     out.append(
-                        dict(notice=notice, label=label, first_word=max(0, first), last_word=max(0, first) + found.count(" "),
+                        dict(notice=notice, label=label, first_word=first, last_word=first + found.count(" "),
                              edits=sum(m.fuzzy_counts), matched=found)
                     )
                     place = max(stop, place + 1)
