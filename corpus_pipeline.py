@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import small
+from quarrylens.llm.common import fresh, small
 from quarrylens.llm.decontaminate import find_leaks
 from quarrylens.llm.line_dedup import dedup_lines
 from quarrylens.llm.near_dedup import near_duplicates
@@ -28,9 +28,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts less their duplicate lines; a document that loses all its lines goes."""
-    found = dedup_lines(docs.withColumnsRenamed({"lines": "_lines_", "dropped_lines": "_dropped_lines_"}))
-    found = found.where("lines = 0 OR dropped_lines < lines").drop("lines", "dropped_lines")
-    found = found.withColumnsRenamed({"_lines_": "lines", "_dropped_lines_": "dropped_lines"})
+    lines, dropped = fresh(docs, "lines"), fresh(docs, "dropped_lines")
+    found = dedup_lines(docs, lines_column=lines, dropped_column=dropped)
+    found = found.where((F.col(lines) == 0) | (F.col(dropped) < F.col(lines)))
     if "n_chars" in found.columns:
         found = found.withColumn("n_chars", F.char_length("text").cast(found.schema["n_chars"].dataType))
     return found.select(docs.columns)

@@ -33,6 +33,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until ``df`` has no such column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def per_worker(key: tuple, make: Callable):
     """An object that one Python worker builds once and keeps across tasks."""
     kept = sys.__dict__.setdefault("_quarrylens_kept", {})
