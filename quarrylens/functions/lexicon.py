@@ -95,54 +95,86 @@ TRUSTED_DOMAINS = (
 ).split()
 TITLE_HINTS = "dataset data statistics csv download indicator open".split()
 
-# Routing keywords of the domains this package has operators for.
-# Other vocabularies are passed to ``route`` as a parameter.
+# Routing keywords. A domain listed earlier wins a tie; a keyword given twice counts twice.
 DOMAIN_KEYWORDS = {
     "powerbi": [
-        "dashboard", "kpi", "report", "scorecard", "looker", "power bi", "tableau",
-        "visualization", "visual", "metric", "drill", "slicer", "filter", "treemap", "funnel",
-        "gauge", "pivot",
+        "dashboard", "kpi", "report", "scorecard", "looker", "power bi", "tableau", "visualization", "visual", "metric",
+        "drill", "slicer", "filter", "treemap", "funnel", "gauge", "pivot",
+    ],
+    "structural": [
+        "beam", "deflect", "shear", "moment", "column", "buckling", "truss", "foundation", "bearing capacity", "steel",
+        "concrete", "sap2000", "staad", "autocad", "dxf", "rebar", "footing", "rcc", "weld", "terzaghi", "euler",
+    ],
+    "chemical": [
+        "distillation", "mccabe", "thiele", "heat exchanger", "lmtd", "reactor", "cstr", "pfr", "chemcad", "aspen",
+        "hysys", "molar", "enthalpy", "entropy", "vapor", "liquid", "chemical", "boiling", "condensation", "pvt",
+        "molecular", "formula", "chempy",
     ],
     "statistics": [
-        "regression", "anova", "t-test", "p-value", "chi-square", "shapiro", "normality",
-        "confidence interval", "hypothesis", "pearson", "spearman", "mann-whitney", "kruskal",
-        "wilcoxon", "binomial", "poisson", "spss", "sas", "stata", "minitab", "jmp",
+        "regression", "anova", "t-test", "p-value", "chi-square", "shapiro", "normality", "confidence interval",
+        "hypothesis", "pearson", "spearman", "mann-whitney", "kruskal", "wilcoxon", "binomial", "poisson", "spss",
+        "sas", "stata", "minitab", "jmp",
     ],
     "ml": [
-        "machine learning", "neural network", "random forest", "decision tree", "svm", "knn",
-        "gradient boost", "xgboost", "deep learning", "cluster", "pca", "dimensionality",
-        "automl", "feature importance", "train test", "cross validation", "sklearn",
+        "machine learning", "neural network", "random forest", "decision tree", "svm", "knn", "gradient boost",
+        "xgboost", "deep learning", "cluster", "pca", "dimensionality", "automl", "feature importance", "train test",
+        "cross validation", "sklearn",
     ],
     "financial": [
-        "npv", "irr", "dcf", "cash flow", "wacc", "option", "black-scholes", "portfolio",
-        "sharpe", "markowitz", "bond", "yield", "dividend", "bloomberg", "roi", "payback",
-        "amortization", "depreciation", "capex", "beta", "var", "stock", "equity", "ticker",
+        "npv", "irr", "dcf", "cash flow", "wacc", "option", "black-scholes", "portfolio", "sharpe", "markowitz",
+        "bond", "yield", "dividend", "bloomberg", "roi", "payback", "amortization", "depreciation", "capex", "beta",
+        "var", "stock", "equity", "ticker",
+    ],
+    "signal": [
+        "fft", "fourier", "frequency spectrum", "bode", "transfer function", "pid", "control system", "butterworth",
+        "filter", "matlab", "simulink", "labview", "step response", "pole", "zero", "nyquist", "laplace", "dsp", "pwm",
+    ],
+    "symbolic": [
+        "derivative", "integral", "differential equation", "ode", "pde", "eigenvalue", "determinant",
+        "laplace transform", "taylor series", "mathematica", "maple", "wolfram", "calculus", "solve equation",
+        "simplify", "factor", "expand", "limit",
     ],
     "biology": [
-        "dna", "rna", "protein", "sequence", "nucleotide", "genome", "bioinformatics", "blast",
-        "gc content", "pcr", "codon", "transcription", "translation", "biopython",
-        "dose response", "ic50", "ec50", "pharmacokinetics", "roc auc", "survival",
+        "dna", "rna", "protein", "sequence", "nucleotide", "genome", "bioinformatics", "blast", "gc content", "pcr",
+        "codon", "transcription", "translation", "biopython", "dose response", "ic50", "ec50", "pharmacokinetics",
+        "roc auc", "survival",
+    ],
+    "physics": [
+        "projectile", "velocity", "acceleration", "gravity", "newton", "quantum", "wave", "optics", "lens", "snell",
+        "electromagnetic", "thermodynamics", "carnot", "entropy", "schrodinger", "photon", "particle in a box",
+    ],
+    "fluid": [
+        "pipe flow", "reynolds", "darcy", "moody", "friction factor", "bernoulli", "flow rate", "viscosity",
+        "turbulent", "laminar", "pump", "pressure drop", "head loss", "hydraulics",
+    ],
+    "electrical": [
+        "circuit", "resistor", "capacitor", "inductor", "rlc", "impedance", "resonance", "power factor", "3-phase",
+        "transformer", "voltage", "current", "ohm", "kirchhoff", "thevenin", "pspice", "ltspice", "ac circuit",
+        "dc circuit",
     ],
     "geospatial": [
-        "map", "gis", "geographic", "latitude", "longitude", "arcgis", "qgis", "shapefile",
-        "country map", "choropleth", "spatial",
+        "map", "gis", "geographic", "latitude", "longitude", "arcgis", "qgis", "shapefile", "country map",
+        "choropleth", "spatial",
     ],
     "sql": [
-        "select ", "from ", "where ", "group by", "having ", "join ", "union ", "cte",
-        "window function", "duckdb", "sql query", "database",
+        "select ", "from ", "where ", "group by", "having ", "join ", "union ", "cte", "window function", "duckdb",
+        "sql query", "database",
     ],
     "manufacturing": [
-        "six sigma", "cpk", "dpmo", "control chart", "ucl", "lcl", "x-bar", "spc",
-        "process capability", "minitab quality", "defect", "tolerance",
+        "six sigma", "cpk", "cpk", "dpmo", "control chart", "ucl", "lcl", "x-bar", "spc", "process capability",
+        "minitab quality", "defect", "tolerance",
     ],
     "econometrics": [
-        "time series", "arima", "autocorrelation", "acf", "pacf", "stationarity", "adf",
-        "unit root", "granger", "panel data", "fixed effects", "eviews", "garch", "var model",
-        "forecast arima",
+        "time series", "arima", "autocorrelation", "acf", "pacf", "stationarity", "adf", "unit root", "granger",
+        "panel data", "fixed effects", "eviews", "garch", "var model", "forecast arima",
     ],
     "environmental": [
-        "carbon footprint", "co2 emission", "greenhouse gas", "water quality", "bod",
-        "dissolved oxygen", "wastewater treatment", "hydrology", "watershed",
+        "carbon footprint", "co2 emission", "greenhouse gas", "water quality", "bod", "dissolved oxygen",
+        "wastewater treatment", "hydrology", "watershed",
+    ],
+    "code": [
+        "```python", "```r\n", "```c++", "```sql", "```julia", "```bash", "run python", "execute code",
+        "python script", "r script", "compile c++",
     ],
 }
 

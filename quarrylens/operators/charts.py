@@ -141,8 +141,8 @@ def value_counts_of(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def top_values(df: DataFrame, cols: Sequence[str], n: int = 4) -> DataFrame:
-    """Most frequent value of each of the first ``n`` columns, ties to the smaller value."""
+def top_values(df: DataFrame, cols: Sequence[str], n: int | None = None) -> DataFrame:
+    """Most frequent value of each column (of the first ``n`` if given), ties to the smaller value."""
     best = F.min_by(F.struct("value", "count"), F.struct(-F.col("count"), F.col("value")))
     rows = value_counts_of(df, list(cols)[:n]).groupBy("column").agg(best.alias("b"))
     return rows.select("column", F.col("b.value").alias("value"), F.col("b.count").alias("count"))
@@ -206,25 +206,25 @@ def target_over_time(df: DataFrame, t: str, target: str, rule: str) -> DataFrame
 
 
 def target_by(df: DataFrame, dim: str, target: str, rule: str, n: int = 15) -> DataFrame:
-    """Target per dimension value by the target's rule, largest first; labels cut for display."""
+    """Target per dimension value by the target's rule, largest first."""
     value = rule_value(target, rule)
-    grouped = df.where(quoted(dim).isNotNull()).groupBy(quoted(dim).alias("_label"))
+    grouped = df.where(quoted(dim).isNotNull()).groupBy(quoted(dim).alias(dim))
     return (
         grouped.agg((value if rule == "rate" else F.round(value, 2)).alias(target))
-        .orderBy(F.desc(target), "_label")
+        .orderBy(F.desc(target), quoted(dim))
         .limit(n)
-        .select(F.substring(F.col("_label").cast("string"), 1, 20).alias(dim), target)
+        .select(quoted(dim).cast("string").alias(dim), quoted(target))
     )
 
 
 def treemap(df: DataFrame, dim: str, col: str, n: int = 20) -> DataFrame:
     return (
         df.where(quoted(dim).isNotNull() & quoted(col).isNotNull())
-        .groupBy(quoted(dim).alias("_label"))
+        .groupBy(quoted(dim).alias(dim))
         .agg(F.sum(quoted(col).cast("double")).alias(col))
-        .orderBy(F.desc(col), "_label")
+        .orderBy(F.desc(col), quoted(dim))
         .limit(n)
-        .select(F.substring(F.col("_label").cast("string"), 1, 25).alias(dim), col)
+        .select(quoted(dim).cast("string").alias(dim), quoted(col))
     )
 
 
@@ -272,8 +272,8 @@ def scatter_points(df: DataFrame, cols: Sequence[str], key: Sequence[str], n: in
     return complete.orderBy(F.xxhash64(*[quoted(k) for k in key]), *key).limit(n).select(*cols)
 
 
-def corr_matrix(df: DataFrame, cols: Sequence[str], max_columns: int = 10) -> DataFrame:
-    """Pairwise Pearson correlation as (x, y, r), both triangles and the diagonal."""
+def corr_matrix(df: DataFrame, cols: Sequence[str], max_columns: int | None = None) -> DataFrame:
+    """Pairwise Pearson correlation as (x, y, r), both triangles and the diagonal; all columns unless limited."""
     cols = list(cols)[:max_columns]
     xs = {c: quoted(c).cast("double") for c in cols}
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
@@ -376,14 +376,16 @@ def returns(
 # --- maps --------------------------------------------------------------------------------
 
 
-def country_column(df: DataFrame, columns: Sequence[str], sample: int = 30, matches: int = 5) -> str | None:
-    """First text column of which more than ``matches`` of ``sample`` values are countries."""
-    for c in columns:
-        some = df.where(quoted(c).isNotNull()).select(quoted(c).cast("string").alias("v")).limit(sample)
-        hits = map_country(some, "v").agg(F.count("iso3").alias("n")).first()["n"]
-        if hits > matches:
-            return c
-    return None
+def country_column(df: DataFrame, columns: Sequence[str], share: float = 1 / 6) -> str | None:
+    """First text column of whose values more than ``share`` are countries; all rows, one pass."""
+    columns = list(columns)
+    if not columns:
+        return None
+    cells = [F.struct(F.lit(i).alias("i"), quoted(c).cast("string").alias("v")) for i, c in enumerate(columns)]
+    values = df.select(F.inline(F.array(*cells))).where(F.col("v").isNotNull())
+    found = map_country(values, "v").groupBy("i").agg(F.count("iso3").alias("hits"), F.count(F.lit(1)).alias("n"))
+    best = found.where(F.col("hits") > share * F.col("n")).agg(F.min("i")).first()[0]
+    return None if best is None else columns[best]
 
 
 def by_country(df: DataFrame, country: str, col: str) -> DataFrame:
@@ -436,7 +438,8 @@ def chart(df: DataFrame, spec: Mapping, key: Sequence[str] = ()) -> DataFrame:
         return box(df, x, y)
     if kind == "scatter":
         names = [c for c in (x, y, spec.get("color")) if c]
-        return df.orderBy(*key).select(*[quoted(c) for c in names]).limit(500)
+        order = list(key) or [quoted(c) for c in dict.fromkeys(names)]
+        return df.orderBy(*order).select(*[quoted(c) for c in dict.fromkeys(names)]).limit(spec.get("top_n", 500))
     how = AGGREGATES.get(spec.get("agg", "sum"))
     if how is not None and dict(df.dtypes)[y] not in ("string", "date", "timestamp", "timestamp_ntz", "boolean"):
         out = (

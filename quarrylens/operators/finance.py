@@ -93,8 +93,8 @@ def asset_returns(df: DataFrame, order_by: Sequence[str], cols: Sequence[str]) -
 def return_stats(
     df: DataFrame, order_by: Sequence[str], cols: Sequence[str], periods: int = TRADING_DAYS
 ) -> tuple[DataFrame, DataFrame]:
-    """Yearly mean return (asset, mu) and covariance (a, b, cov) of up to five assets."""
-    cols = list(cols)[:5]
+    """Yearly mean return (asset, mu) and covariance (a, b, cov) of the assets."""
+    cols = list(cols)
     rows = asset_returns(df, order_by, cols)
     pairs = list(combinations_with_replacement(cols, 2))
     means = [(F.avg(quoted(c)) * periods).alias(f"m{i}") for i, c in enumerate(cols)]

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylens.session import is_datetime, is_numeric, quoted
+from quarrylens.operators.profiling import distinct_counts, short_form
+from quarrylens.session import is_datetime, is_numeric, materialize, quoted
 
 
 def type_family(field: T.StructField) -> str:
@@ -21,6 +22,8 @@ def type_family(field: T.StructField) -> str:
 def comparable(field: T.StructField) -> Column:
     """Text form under which equal values of one family are equal, whatever their width."""
     c = quoted(field.name)
+    if isinstance(field.dataType, T.StringType):
+        return short_form(c)
     if not is_numeric(field):
         return c.cast("string")
     if isinstance(field.dataType, T.IntegralType):
@@ -111,13 +114,10 @@ def best_pair(
 
 
 def _distinct_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
-    """Rows of a table and distinct values per scalar column, in one pass."""
-    names = [f.name for f in _scalar_fields(df)]
-    row = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count_distinct(quoted(c)).alias(f"n{i}") for i, c in enumerate(names)],
-    ).first()
-    return row["rows"], {c: row[f"n{i}"] for i, c in enumerate(names)}
+    """Rows of a table and distinct values per scalar column, values deduplicated before the shuffle."""
+    fields = _scalar_fields(df)
+    counts = {r["position"]: r["nunique"] for r in distinct_counts(df, fields).collect()} if fields else {}
+    return df.count(), {f.name: counts.get(i, 0) for i, f in enumerate(fields)}
 
 
 HOW = {(True, True): "inner", (True, False): "left", (False, True): "right", (False, False): "left"}
@@ -129,11 +129,16 @@ def smart_merge(
     threshold: float = 0.3,
     symmetric: bool = False,
     approx: bool = False,
+    match_nulls: bool = False,
+    max_pairs: int | None = None,
 ) -> DataFrame:
     """Fold tables together: join on the best column pair, else stack the rows.
 
-    The join type follows the cardinality of the keys; NULL keys match each other;
-    clashing right columns get the suffix ``_<name>``.
+    The join type follows the cardinality of the keys; clashing right columns get the
+    suffix ``_<name>``. A NULL key matches nothing: such rows stay only where the join
+    type keeps unmatched rows. ``match_nulls`` pairs every NULL key with every other.
+    With ``max_pairs`` the pairs of a join are counted first, and more are an error.
+    Each fold but the last is stored, so that the next one does not repeat it.
     """
     names = list(names) if names else [f"t{i + 1}" for i in range(len(dfs))]
     merged = dfs[0]
@@ -141,19 +146,32 @@ def smart_merge(
         best = best_pair(merged, right, symmetric, approx)
         if best is not None and best[0] > threshold:
             _, lk, rk, unique_l, unique_r = best
-            merged = _join(merged, right, lk, rk, HOW[(unique_l, unique_r)], name)
+            if max_pairs is not None and (pairs := pair_count(merged, right, lk, rk, match_nulls)) > max_pairs:
+                raise ValueError(f"joining on {lk!r} and {rk!r} makes {pairs} pairs, over {max_pairs}")
+            merged = _join(merged, right, lk, rk, HOW[(unique_l, unique_r)], name, match_nulls)
         else:
             merged = merged.unionByName(right, allowMissingColumns=True)
+        if right is not dfs[-1]:
+            merged = materialize(merged)
     return merged
 
 
-def _join(left: DataFrame, right: DataFrame, lk: str, rk: str, how: str, name: str) -> DataFrame:
+def pair_count(left: DataFrame, right: DataFrame, lk: str, rk: str, match_nulls: bool = False) -> int:
+    """How many row pairs share a key, from the key counts of both sides."""
+    a = left.groupBy(quoted(lk).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    b = right.groupBy(quoted(rk).alias("q")).agg(F.count(F.lit(1)).alias("m"))
+    same = F.col("k").eqNullSafe(F.col("q")) if match_nulls else F.col("k") == F.col("q")
+    return a.join(b, same).agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+
+
+def _join(left: DataFrame, right: DataFrame, lk: str, rk: str, how: str, name: str, match_nulls: bool) -> DataFrame:
     same = lk == rk
     renamed = {
         c: f"{c}_{name}" if c in left.columns and not (same and c == rk) else c for c in right.columns
     }
     l, r = left.alias("l"), right.alias("r")
-    both = l.join(r, F.col(f"l.`{lk}`").eqNullSafe(F.col(f"r.`{rk}`")), how)
+    a, b = F.col(f"l.`{lk}`"), F.col(f"r.`{rk}`")
+    both = l.join(r, a.eqNullSafe(b) if match_nulls else a == b, how)
     side = "r" if how == "right" else "l"
     out = [
         F.col(f"{side if same and c == lk else 'l'}.`{c}`").alias(c) for c in left.columns

@@ -84,14 +84,22 @@ def _melt_stats(
     if text and any(kind_of(f) == "string" for f in fields):
         aggs["date_share"] = F.count_if(parsed_timestamp(s).isNotNull()) / F.count(F.lit(1))
         aggs["upper_share"] = F.avg(F.when(s != "", s.rlike(r"^\p{Lu}").cast("int")))
-        aggs["phone_share"] = F.avg((F.length(s).between(7, 40) & s.rlike(PHONE)).cast("int"))
+        aggs["phone_share"] = F.avg(F.trim(s).rlike(PHONE).cast("int"))
     if approx_distinct:
         aggs["nunique"] = F.approx_count_distinct("h")
     melted = df.select(F.inline(F.array(*cells)))
     return melted.groupBy("position").agg(*[e.alias(k) for k, e in aggs.items()])
 
 
-def _distinct_counts(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+LONG_TEXT = 64
+
+
+def short_form(c):
+    """A text, or the digest of a long one: equal exactly when the texts are, and short to shuffle."""
+    return F.when(F.octet_length(c) > LONG_TEXT, F.concat(F.lit("\0sha256:"), F.sha2(c.cast("binary"), 256))).otherwise(c)
+
+
+def distinct_counts(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
     """Exact distinct counts of all columns, from values deduplicated before the shuffle.
 
     Columns of one storage type form one narrow (position, value) table, so each group
@@ -107,7 +115,7 @@ def _distinct_counts(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
         elif is_datetime(f):
             family, value = "timestamp_ntz", c.cast("timestamp_ntz")
         else:
-            family, value = "string", c.cast("string")
+            family, value = "string", short_form(c.cast("string"))
         families.setdefault(family, []).append(F.struct(F.lit(i).alias("position"), value.alias("v")))
     parts = []
     for cells in families.values():
@@ -142,7 +150,7 @@ def column_stats(
     )
     stats = _melt_stats(df, fields, distinct == "approx", shape, text)
     if distinct == "exact":
-        stats = stats.join(F.broadcast(_distinct_counts(df, fields)), "position", "left")
+        stats = stats.join(F.broadcast(distinct_counts(df, fields)), "position", "left")
     joined = meta.join(F.broadcast(stats), "position", "left")  # one row per column
     out = []
     for spec in T.StructType.fromDDL(STAT_FIELDS).fields:
@@ -359,7 +367,7 @@ def quality_overview(df: DataFrame, profile: Profile | None = None) -> DataFrame
     )
 
 
-def smart_stats(df: DataFrame, profile: Profile | None = None, max_columns: int = 6) -> DataFrame:
+def smart_stats(df: DataFrame, profile: Profile | None = None, max_columns: int | None = None) -> DataFrame:
     """Average, median and maximum, or total, average and maximum, by each measure's rule."""
     profile = profile if profile is not None else semantic_profile(df)
     measures = [m for m in profile.role("measure")[:max_columns] if profile.get(m)["n"]]

@@ -17,9 +17,17 @@ def table_name(name: str) -> str:
 
 
 def run_sql(tables: Mapping[str, DataFrame], sql: str) -> DataFrame:
-    """Register the tables under their cleaned names and run SQL text on them."""
+    """Register the tables under their cleaned names and run SQL text on them.
+
+    Two tables whose names are cut to the same one are an error: the text could mean either.
+    """
     if not tables:
         raise ValueError("no tables to query")
+    names: dict[str, str] = {}
+    for name in tables:
+        other = names.setdefault(table_name(name).lower(), name)
+        if other != name:
+            raise ValueError(f"tables {other!r} and {name!r} would both be called {table_name(name)!r}")
     for name, df in tables.items():
         df.createOrReplaceTempView(table_name(name))
     return next(iter(tables.values())).sparkSession.sql(sql)

@@ -155,7 +155,7 @@ def _ranked(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def correlations(
-    df: DataFrame, cols: Sequence[str], method: str = "pearson", top: int | None = 8, max_columns: int = 12
+    df: DataFrame, cols: Sequence[str], method: str = "pearson", top: int | None = 8, max_columns: int | None = None
 ) -> DataFrame:
     """Column pairs by absolute correlation: x, y, r, strength.
 

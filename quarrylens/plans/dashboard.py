@@ -11,8 +11,14 @@ from quarrylens.operators.profiling import Profile, semantic_profile
 from quarrylens.session import string_columns
 
 
-def dashboard(df: DataFrame, order_by: Sequence[str], profile: Profile | None = None) -> dict[str, DataFrame]:
-    """Name -> chart dataset.
+def dashboard(
+    df: DataFrame,
+    order_by: Sequence[str],
+    profile: Profile | None = None,
+    max_histograms: int | None = None,
+    max_counts: int | None = None,
+) -> dict[str, DataFrame]:
+    """Name -> chart dataset. ``max_histograms`` and ``max_counts`` limit the columns charted one by one.
 
     ``order_by`` is the row order that trend and price charts refer to. Each chart
     reads only the columns it needs; cache ``df`` before the call when it is small or
@@ -26,7 +32,7 @@ def dashboard(df: DataFrame, order_by: Sequence[str], profile: Profile | None =
     times = profile.role("year_col") + profile.role("temporal")
     groups = entities + dimensions
     if not measures:
-        return out | _count_charts(source, groups[:5], times)
+        return out | _count_charts(source, groups[:max_counts], times)
 
     kpis = charts.kpi_columns(profile)
     rules = {c: "rate" if c in binaries else profile.rule(c) for c in kpis}
@@ -66,7 +72,7 @@ def dashboard(df: DataFrame, order_by: Sequence[str], profile: Profile | None =
     place = charts.coordinate_columns(df)
     if place:
         out["geo_points"] = charts.geo_points(source, *place, key=order_by)
-    out["histograms"] = charts.histogram(source, measures[:3])
+    out["histograms"] = charts.histogram(source, measures[:max_histograms])
     return out
 
 
@@ -76,7 +82,7 @@ def _count_charts(source: DataFrame, groups: list[str], times: list[str]) -> dic
     if groups:
         out["top_values"] = charts.top_values(source, groups)
         out["donut"] = charts.value_counts(source, groups[0], 8)
-    for c in groups[:3]:
+    for c in groups:
         out[f"counts_{c}"] = charts.value_counts(source, c)
     if times:
         out["monthly_counts"] = charts.monthly_counts(source, times[0])

@@ -149,13 +149,13 @@ SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_tax FROM scored
 WHERE score <= (SELECT quantile_cont(score, 0.98) FROM scored)
 """, approx="l_quantity l_extendedprice l_tax")
 def drop_outliers(t):
-    df = t.spread("lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax")
+    df = t.pick("lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax")
     return cleaning.drop_outliers(df, cols=["l_quantity", "l_extendedprice", "l_tax"])
 
 
 @query("b12_drop_outliers_iforest")
 def drop_outliers_iforest(t):
-    df = t.spread("lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax")
+    df = t.pick("lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax")
     kept = cleaning.drop_outliers(df, method="iforest", cols=["l_quantity", "l_extendedprice", "l_tax"])
     return kept.select("l_orderkey", "l_linenumber")
 
@@ -214,6 +214,47 @@ def merge_star(t):
     return smart_merge([orders, t.customer.select("c_custkey", "c_mktsegment", "c_nationkey")])
 
 
+@query("b16_smart_merge_nulls", """
+WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END AS custkey FROM orders),
+c AS (SELECT CASE WHEN c_custkey % 5 > 0 THEN c_custkey END AS custkey, c_mktsegment FROM customer)
+SELECT o_orderkey, o.custkey, c_mktsegment FROM o LEFT JOIN c ON o.custkey = c.custkey
+""")
+def merge_nulls(t):
+    """Keys missing on both sides match nothing."""
+    orders = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey")).alias("custkey"))
+    customers = t.customer.select(F.when(F.col("c_custkey") % 5 > 0, F.col("c_custkey")).alias("custkey"), "c_mktsegment")
+    return smart_merge([orders, customers])
+
+
+DATE_FORMS = """
+SELECT o_orderkey,
+       CASE o_orderkey % 4 WHEN 0 THEN date_format(o_orderdate, 'd MMM yyyy') WHEN 1 THEN date_format(o_orderdate, 'yyyy/M/d')
+            WHEN 2 THEN date_format(o_orderdate, 'MMMM d, yyyy') ELSE date_format(o_orderdate, 'yyyyMMdd') END AS mixed,
+       date_format(o_orderdate, 'd/M/yyyy') AS days_first, date_format(o_orderdate, 'M-d-yyyy HH:mm') AS months_first,
+       concat('   ', date_format(o_orderdate, 'yyyy-MM-dd'), repeat(' ', 50)) AS padded
+FROM {orders}
+"""
+
+
+@query("b7_date_forms", """
+SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS mixed, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS days_first,
+       date_trunc('minute', o_orderdate) AS months_first, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS padded FROM orders
+""")
+def date_forms(t):
+    """Month names, compact and slashed dates; the order of day and month from the column."""
+    return cleaning.coerce_dates(t.sql(DATE_FORMS, "orders"), gate=False)
+
+
+@query("b7_date_orders", """
+WITH d AS (SELECT day(o_orderdate) AS d, month(o_orderdate) AS m FROM orders)
+SELECT 'days_first' AS "column", count(*) FILTER (d > 12) AS day_first, CAST(0 AS BIGINT) AS month_first, 'day_first' AS "order" FROM d
+UNION ALL SELECT 'months_first', 0, count(*) FILTER (d > 12), 'month_first' FROM d
+""")
+def date_orders(t):
+    """How often each column shows its order of day and month."""
+    return cleaning.date_orders(t.sql(DATE_FORMS, "orders").select("days_first", "months_first"))
+
+
 @query("b16_smart_merge_stacked", """
 SELECT r_name, NULL AS c_mktsegment, NULL AS c_acctbal FROM region
 UNION ALL SELECT NULL, c_mktsegment, c_acctbal FROM customer

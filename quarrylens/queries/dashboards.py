@@ -128,7 +128,7 @@ def target_over_time(t):
 
 
 @query("d11_target_by", """
-SELECT substr(p_brand, 1, 20) AS p_brand, round(avg(l_extendedprice), 2) AS l_extendedprice
+SELECT p_brand, round(avg(l_extendedprice), 2) AS l_extendedprice
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand ORDER BY 2 DESC, 1 LIMIT 15
 """)
 def target_by(t):
@@ -188,6 +188,29 @@ def by_country(t):
     return charts.by_country(df, "country", "c_acctbal")
 
 
+@query("d16_late_country", NAMED_SQL + """
+SELECT code AS iso3, sum(c_acctbal) AS c_acctbal FROM named JOIN iso ON lower(named.country) = iso.country GROUP BY code
+""", approx="c_acctbal")
+def late_country(t):
+    """The country column is found although the first rows hold none."""
+    df = t.sql(NAMED_NATIONS, "customer").withColumn("kind", F.lit("none"))
+    first = t.customer.limit(60).select(F.lit(None).cast("bigint").alias("c_custkey"), F.lit(0.0).alias("c_acctbal"),
+                                        F.lit("?").alias("country"), F.lit("none").alias("kind"))
+    df = first.unionByName(df)
+    return charts.by_country(df, charts.country_column(df, ["kind", "country"]), "c_acctbal")
+
+
+LONG = "a label that is longer than twenty characters: "
+
+
+@query("d11_long_labels", f"""
+SELECT concat('{LONG}', o_orderpriority) AS label, round(avg(o_totalprice), 2) AS o_totalprice FROM orders GROUP BY 1
+""", approx="o_totalprice")
+def long_labels(t):
+    df = t.orders.select(F.concat(F.lit(LONG), "o_orderpriority").alias("label"), "o_totalprice")
+    return charts.target_by(df, "label", "o_totalprice", "mean")
+
+
 @query("d17_treemap", """
 SELECT p_brand, sum(l_quantity) AS l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey
 GROUP BY p_brand ORDER BY 2 DESC, 1 LIMIT 20
@@ -329,7 +352,7 @@ SELECT l_returnflag, min(l_extendedprice) AS min, quantile_cont(l_extendedprice,
        max(l_extendedprice) AS max FROM lineitem GROUP BY l_returnflag
 """, approx="min q1 median q3 max")
 def chart_box(t):
-    return charts.chart(t.spread("lineitem", "l_returnflag", "l_extendedprice"), {"x": "l_returnflag", "y": "l_extendedprice", "type": "box"})
+    return charts.chart(t.pick("lineitem", "l_returnflag", "l_extendedprice"), {"x": "l_returnflag", "y": "l_extendedprice", "type": "box"})
 
 
 @query("d24_chart_first_rows", "SELECT p_name, p_brand FROM part ORDER BY p_partkey LIMIT 12")
@@ -360,7 +383,7 @@ UNION ALL SELECT 'histograms', (SELECT count(*) FROM h)
 def full_dashboard(t):
     """Names and row counts of every chart of the whole dashboard of lineitem."""
     source = t.lineitem.persist()
-    made = dashboard(source, ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"])
+    made = dashboard(source, ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], max_histograms=3)
     parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("chart"), "rows") for n, df in made.items()]
     rows = [(r["chart"], r["rows"]) for p in parts for r in p.collect()]
     source.unpersist()

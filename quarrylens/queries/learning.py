@@ -14,7 +14,7 @@ DRIVERS = ["l_quantity", "l_discount", "l_tax", "retail", "l_linenumber"]
 def priced(t):
     """Lines with an outcome that really depends on some of the drivers."""
     part = t.part.select("p_partkey", F.col("p_retailprice").alias("retail"))
-    df = t.spread("lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    df = t.lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
     return df.withColumns(
         {
             "revenue": F.col("l_quantity") * F.col("retail") * (1 - F.col("l_discount")),
@@ -33,17 +33,17 @@ def standardize(t):
 
 @query("m2_kmeans_elbow")
 def kmeans_elbow(t):
-    return learning.kmeans_elbow(t.spread("lineitem", *MEASURES), MEASURES)
+    return learning.kmeans_elbow(t.pick("lineitem", *MEASURES), MEASURES)
 
 
 @query("m3_kmeans_sizes")
 def kmeans_sizes(t):
-    return learning.cluster_sizes(learning.kmeans(t.spread("lineitem", *MEASURES), MEASURES))
+    return learning.cluster_sizes(learning.kmeans(t.pick("lineitem", *MEASURES), MEASURES))
 
 
 @query("m4_cluster_profiles")
 def cluster_profiles(t):
-    return learning.cluster_profiles(learning.kmeans(t.spread("lineitem", *MEASURES), MEASURES), MEASURES)
+    return learning.cluster_profiles(learning.kmeans(t.pick("lineitem", *MEASURES), MEASURES), MEASURES)
 
 
 @query("m5_pca_variance")
@@ -53,12 +53,12 @@ def pca_variance(t):
 
 @query("m6_pca_scores")
 def pca_scores(t):
-    return learning.pca_scores(t.spread("lineitem"), MEASURES, key=["l_orderkey", "l_linenumber"])
+    return learning.pca_scores(t.lineitem, MEASURES, key=["l_orderkey", "l_linenumber"])
 
 
 @query("m7_forest_classify")
 def forest_classify(t):
-    return learning.forest_classify(t.spread("lineitem", "l_returnflag", *MEASURES), "l_returnflag", MEASURES, trees=20)
+    return learning.forest_classify(t.pick("lineitem", "l_returnflag", *MEASURES), "l_returnflag", MEASURES, trees=20)
 
 
 FILTER_SQL = """

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from quarrylens.operators.profiling import quality
 from quarrylens.plans.report import write_report
 from quarrylens.queries.registry import query
-from quarrylens.session import scratch_root
-from quarrylens.sources.files import export, load, load_many, parse_json
+from quarrylens.session import scratch_folder
+from quarrylens.sources.files import export, load, load_many, malformed_lines, parse_json
 from quarrylens.sources.text_table import text_to_table
 
 
 def fresh_path(spark, name: str) -> str:
-    return f"{scratch_root(spark)}/quarrylens/{uuid.uuid4().hex}/{name}"
+    return f"{scratch_folder(spark)}/{uuid.uuid4().hex}/{name}"
 
 
 @query("a1_csv_scan", """
@@ -62,6 +62,49 @@ def json_column(t):
     return parse_json(t.events.select("event_id", "user_id", "props"), "props", "k bigint")
 
 
+@query("a2_csv_malformed", """
+SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'malformed' WHEN o_orderkey % 5 = 0 THEN 'short' ELSE 'whole' END AS kind, count(*) AS rows,
+       CAST(sum(CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END) AS BIGINT) AS custkeys
+FROM orders GROUP BY 1
+""")
+def csv_malformed(t):
+    """Lines with too many fields are left out and counted; short ones end in NULLs."""
+    line = F.concat_ws(";", "o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")))
+    line = F.when(F.col("o_orderkey") % 7 == 0, F.concat_ws(";", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderstatus")).otherwise(line)
+    path = fresh_path(t.spark, "orders.csv")
+    rows = t.orders.select(line.alias("value"))
+    header = t.spark.createDataFrame([("key;custkey;priority",)], "value string")
+    header.unionByName(rows).coalesce(1).write.text(path)
+    good = load(t.spark, path, "csv", sep="auto")
+    kind = F.when(F.col("priority").isNull(), "short").otherwise("whole")
+    counted = good.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("rows"), F.sum("custkey").cast("bigint").alias("custkeys"))
+    bad = malformed_lines(t.spark, path).agg(F.count(F.lit(1)).alias("rows"))
+    return counted.unionByName(bad.select(F.lit("malformed").alias("kind"), "rows", F.lit(None).cast("bigint").alias("custkeys")))
+
+
+@query("a3_json_lines", """
+SELECT event_id, event_type, value FROM events
+""", approx="value")
+def json_lines(t):
+    """One value per line, whatever the file is called."""
+    path = fresh_path(t.spark, "events.json")
+    t.events.select("event_id", "event_type", "value").write.json(path)
+    return load(t.spark, path, "json")
+
+
+@query("a1_csv_late_encoding", """
+SELECT o_orderkey, CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN 'Müller' ELSE o_orderpriority END AS name FROM orders
+""")
+def csv_late_encoding(t):
+    """A Latin-1 letter in the last line decides the encoding."""
+    path = fresh_path(t.spark, "names.csv")
+    last = t.orders.agg(F.max("o_orderkey")).scalar()
+    name = F.when(F.col("o_orderkey") == last, "Müller").otherwise(F.col("o_orderpriority"))
+    rows = t.orders.select("o_orderkey", name.alias("name")).orderBy("o_orderkey").coalesce(1)
+    rows.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return load(t.spark, path, "csv").withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
+
+
 @query("a4_text_to_table", """
 SELECT c_custkey AS "CustomerID", c_name AS "Name", c_mktsegment AS "Segment", c_acctbal AS "Balance"
 FROM customer
@@ -123,7 +166,7 @@ def parquet_scan(t):
 def full_report(t):
     """The whole command-line flow on a table, written and read back: rows per section."""
     part = t.part.select("p_partkey", F.col("p_retailprice").alias("unit_price"))
-    lines = t.spread("lineitem", "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
+    lines = t.pick("lineitem", "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
     df = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey")
     sales = F.col("l_quantity") * F.col("unit_price") * (1 - F.col("l_discount"))
     paths = write_report(df.withColumn("sales", sales), fresh_path(t.spark, "lineitem"), trees=10)

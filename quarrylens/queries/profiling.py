@@ -28,7 +28,7 @@ UNION ALL SELECT '{c}', 'categorical', NULL, NULL, NULL, NULL, NULL,
        string_agg(DISTINCT {c}, '|' ORDER BY {c}), NULL FROM orders
 """ for c in ("o_orderstatus", "o_orderpriority")), approx="mean median std")
 def detect_schema(t):
-    out = profiling.detect_schema(t.spread("orders")).drop("position")
+    out = profiling.detect_schema(t.orders).drop("position")
     return out.withColumn("unique_values", F.array_join("unique_values", "|"))
 
 
@@ -45,7 +45,7 @@ SELECT '{c}' AS "column", CASE
     ROLE_SQL.replace("{c}", c).replace("{numeric}", f"stddev_samp({c}) > 0" if c in LINE_NUMERIC else "FALSE")
     + " FROM lineitem" for c in LINE_ALL))
 def detect_roles(t):
-    return profiling.detect_roles(t.spread("lineitem"))
+    return profiling.detect_roles(t.lineitem)
 
 
 @query("c3_quality", "\nUNION ALL ".join(f"""
@@ -54,7 +54,7 @@ SELECT '{c}' AS "column", 1 - count({c}) / count(*) AS missing_ratio, count(DIST
        {f'var_samp({c})' if c in LINE_NUMERIC else 'NULL'} AS variance FROM lineitem
 """ for c in LINE_ALL), approx="missing_ratio unique_ratio variance")
 def quality(t):
-    out = profiling.quality(t.spread("lineitem"), digits=None)
+    out = profiling.quality(t.lineitem, digits=None)
     return out.withColumn("skewness", F.round("skewness", 8) + F.lit(0.0))
 
 
@@ -75,7 +75,7 @@ UNION ALL SELECT 'l_linestatus', 9, 'dimension', 'sum', count(DISTINCT l_linesta
 UNION ALL SELECT 'l_shipdate', 10, 'temporal', 'sum', count(DISTINCT l_shipdate), count(l_shipdate), NULL, NULL, NULL, NULL, NULL FROM lineitem
 """]), approx="min max mean std sum")
 def fingerprint(t):
-    return profiling.fingerprint(t.spread("lineitem"), sample_size=0).drop("sample", "dtype")
+    return profiling.fingerprint(t.lineitem, sample_size=0).drop("sample", "dtype")
 
 
 @query("c5_agg_type", """
@@ -115,10 +115,10 @@ def quality_overview(t):
     f"""SELECT '{c}' AS "column", 'total' AS metric, sum({c}) AS value, CAST(NULL AS DOUBLE) AS median,
        avg({c}) AS avg, max({c}) AS max FROM lineitem"""
     for c, rule in (("l_orderkey", "sum"), ("l_partkey", "sum"), ("l_linenumber", "mean"),
-                    ("l_quantity", "sum"), ("l_extendedprice", "mean"), ("l_discount", "mean"))
+                    ("l_quantity", "sum"), ("l_extendedprice", "mean"), ("l_discount", "mean"), ("l_tax", "mean"))
 ), approx="value median avg max")
 def smart_stats(t):
-    return profiling.smart_stats(t.spread("lineitem").drop("l_suppkey"))
+    return profiling.smart_stats(t.lineitem.drop("l_suppkey"))
 
 
 @query("c8_suggest", """
@@ -185,7 +185,7 @@ def low_variability(t):
 SELECT '{c}' AS "column" FROM lineitem HAVING count(DISTINCT {c}) / count(*) < 0.01
 """ for c in LINE_ALL))
 def low_information(t):
-    return profiling.structure(t.spread("lineitem")).where("low_information").select("column")
+    return profiling.structure(t.lineitem).where("low_information").select("column")
 
 
 @query("c14_structure", """
@@ -267,4 +267,4 @@ def find_relationships(t):
 SELECT '{c}' AS "column", var_samp({c}) * count(DISTINCT {c}) / count(*) AS score
 """, "lineitem"), approx="score")
 def feature_ranking(t):
-    return profiling.feature_ranking(t.spread("lineitem"))
+    return profiling.feature_ranking(t.lineitem)

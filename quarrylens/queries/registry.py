@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.session import quoted, spread, table
+from quarrylens.session import quoted, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,10 +22,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return table(self.spark, self.directory, name)
 
-    def spread(self, name: str, *columns: str) -> DataFrame:
-        """A table for work that is heavy per row: the test tables are one row group each."""
-        df = getattr(self, name)
-        return spread(df.select(*columns) if columns else df)
+    def pick(self, name: str, *columns: str) -> DataFrame:
+        """Some columns of a table."""
+        return getattr(self, name).select(*columns)
 
     def sql(self, text: str, *names: str) -> DataFrame:
         """Run SQL text whose tables are written as {name}."""

@@ -228,6 +228,13 @@ def return_mean(t):
     return finance.return_stats(price_table(t), ["hour"], ASSETS)[0]
 
 
+@query("f4_return_mean_six", RETURN_SQL + "SELECT 'copy' AS asset, avg(view) * 252 AS mu FROM k UNION ALL " + " UNION ALL ".join(
+    f"SELECT '{a}' AS asset, avg({a}) * 252 AS mu FROM k" for a in ASSETS), approx="mu", digits=8)
+def return_mean_six(t):
+    """Six assets give six rows."""
+    return finance.return_stats(price_table(t).withColumn("copy", F.col("view")), ["hour"], [*ASSETS, "copy"])[0]
+
+
 COV_SQL = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, covar_samp({a}, {b}) * 252 AS cov FROM k" for a in ASSETS for b in ASSETS)
 
 

@@ -28,6 +28,23 @@ FROM my_orders JOIN customer_list_v2 ON o_custkey = c_custkey GROUP BY 1
 """)
 
 
+@query("s0_name_clash", """
+SELECT (SELECT count(*) FROM nation) AS nations, (SELECT count(*) FROM region) AS regions, TRUE AS refused
+""")
+def name_clash(t):
+    """Names that are equal after the cut to 30 characters are refused; others are told apart."""
+    long = "a_table_with_a_really_long_name"
+    try:
+        run_sql({f"{long}_nation.csv": t.nation, f"{long}_region.csv": t.region}, f"SELECT count(*) FROM {long[:30]}")
+        refused = False
+    except ValueError:
+        refused = True
+    return run_sql({"nations of the world.csv": t.nation, "regions of the world.csv": t.region}, f"""
+SELECT (SELECT count(*) FROM nations_of_the_world) AS nations, (SELECT count(*) FROM regions_of_the_world) AS regions,
+       {refused} AS refused
+""")
+
+
 shared("s1_projection", "lineitem", """
 SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS gross,
        concat(l_returnflag, '/', l_linestatus) AS flags FROM lineitem

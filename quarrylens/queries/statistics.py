@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from quarrylens.operators import statistics as st
 from quarrylens.operators.profiling import describe
 from quarrylens.queries.registry import per_column, query
-from quarrylens.session import spread
 
 NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
@@ -60,7 +59,7 @@ SELECT o_orderpriority, min(o_totalprice) AS min, quantile_cont(o_totalprice, 0.
 FROM orders GROUP BY o_orderpriority
 """, approx="min q1 median q3 max")
 def five_number(t):
-    return st.five_number(t.spread("orders", "o_orderpriority", "o_totalprice"), "o_orderpriority", "o_totalprice")
+    return st.five_number(t.pick("orders", "o_orderpriority", "o_totalprice"), "o_orderpriority", "o_totalprice")
 
 
 def shipping_times(t):
@@ -128,7 +127,7 @@ WITH k AS (SELECT {", ".join(_rank(c) for c in NUMBERS)} FROM lineitem)
 SELECT x, y, round(r, 8) AS r, {STRENGTH} FROM ({_pairs("k", NUMBERS)})
 """)
 def spearman(t):
-    out = st.correlations(t.spread("lineitem", *NUMBERS), NUMBERS, "spearman")
+    out = st.correlations(t.pick("lineitem", *NUMBERS), NUMBERS, "spearman")
     return out.withColumn("r", F.round("r", 8) + F.lit(0.0))
 
 
@@ -137,7 +136,7 @@ SELECT '{c}' AS "column", count({c}) AS n, avg({c}) AS mean, quantile_cont({c},
        min({c}) AS min, max({c}) AS max, round(skewness({c}), 7) AS skewness, round(kurtosis({c}), 7) AS kurtosis
 """, "lineitem"), approx="mean median sd min max")
 def descriptives(t):
-    out = describe(t.spread("lineitem", *NUMBERS), NUMBERS)
+    out = describe(t.pick("lineitem", *NUMBERS), NUMBERS)
     return out.withColumns({c: F.round(c, 7) + F.lit(0.0) for c in ("skewness", "kurtosis")})
 
 
@@ -203,7 +202,7 @@ UNION ALL SELECT 'monotonic', x, y, round(r, 8) FROM mon WHERE abs(r) > 0.7
 UNION ALL SELECT 'redundant', x, y, round(r, 8) FROM lin WHERE abs(r) > 0.95
 """)
 def strong_pairs(t):
-    out = st.strong_pairs(spread(t.sql(LINKED, "lineitem")), LINKED_COLS)
+    out = st.strong_pairs(t.sql(LINKED, "lineitem"), LINKED_COLS)
     return out.withColumn("r", F.round("r", 8))
 
 
@@ -223,5 +222,5 @@ m AS (SELECT *, sum(n) OVER (PARTITION BY x, y, a) AS na, sum(n) OVER (PARTITION
 SELECT x, y, round(sum(n / nt * ln(n * nt / (na * nb))), 8) AS mutual_information FROM m GROUP BY x, y
 """)
 def mutual_information(t):
-    out = st.mutual_information(spread(t.sql(LINKED, "lineitem")), MI_COLS)
+    out = st.mutual_information(t.sql(LINKED, "lineitem"), MI_COLS)
     return out.withColumn("mutual_information", F.round("mutual_information", 8))

@@ -93,19 +93,19 @@ SELECT {key}, CASE WHEN {best} = 0 THEN 'statistics' {pick} END AS domain, CAST(
 
 @query("g4_route_turns", _route_sql("conversations", "conv_id, turn"))
 def route_turns(t):
-    return catalog.route(t.spread("conversations"), "text").select("conv_id", "turn", "domain", "domain_score")
+    return catalog.route(t.conversations, "text").select("conv_id", "turn", "domain", "domain_score")
 
 
 @query("g4_route_documents", _route_sql("documents", "doc_id"))
 def route_documents(t):
-    return catalog.route(t.spread("documents"), "text").select("doc_id", "domain", "domain_score")
+    return catalog.route(t.documents, "text").select("doc_id", "domain", "domain_score")
 
 
 BASES_SQL = "b AS (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents)"
 
 
 def bases(t):
-    return t.spread("documents", "doc_id", "text").select("doc_id", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
+    return t.pick("documents", "doc_id", "text").select("doc_id", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
 
 
 def _count(b):
@@ -158,19 +158,3 @@ def benchmark_compare(t):
     run = t.orders.groupBy("o_orderpriority").agg(metric).select(*label)
     out = catalog.benchmark_compare(run, t.spark.read.parquet(path))
     return out.withColumn("change_pct", F.round("change_pct", 7) + F.lit(0.0))
-
-
-@query("g8_table_context", """
-SELECT * FROM (VALUES ('retail', 8, 'lineitem'), ('web', 6, 'pages'), ('events', 6, 'events')) AS v(detected_context, score, "table")
-""")
-def table_context(t):
-    vocabulary = {
-        "retail": ["price", "order", "customer", "discount", "quantity"],
-        "web": ["url", "html", "page"],
-        "events": ["event", "user", "ts"],
-    }
-    parts = [
-        catalog.table_context(getattr(t, n), vocabulary).withColumn("table", F.lit(n))
-        for n in ("lineitem", "pages", "events")
-    ]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -49,14 +50,19 @@ def scratch_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
+        return root.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):  # local-cluster has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     root = tempfile.mkdtemp(prefix="quarrylens-")
     spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's part of the scratch folder, which others may share."""
+    return f"{scratch_root(spark)}/quarrylens/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back.
 
@@ -64,31 +70,18 @@ def materialize(df: DataFrame) -> DataFrame:
     fixed when an executor is lost, and gives the planner true sizes.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/quarrylens/{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Remove every intermediate written by :func:`materialize`."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/quarrylens")
+    """Remove every intermediate of this application; no result read from them may be used after."""
+    if spark.conf.get("spark.checkpoint.dir", None):
+        path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table read from fewer files than there are cores.
-
-    For callers with small inputs; a large table comes in many files and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if not 0 < len(df.inputFiles()) < cores:
-        return df
-    # by row hash: repeatable, and without the sort a round-robin placement needs
-    return df.repartition(cores, F.xxhash64(*[quoted(c) for c in df.columns]))
-
-
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Missing numbers are NULL everywhere in this package, never NaN."""
     floats = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}

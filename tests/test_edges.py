@@ -12,7 +12,8 @@ from quarrylens.functions.lexicon import CODONS
 from quarrylens.operators import catalog, charts, cleaning, finance, merging, profiling, series, statistics
 from quarrylens.operators.ordering import rank_rows
 from quarrylens.session import nan_to_null
-from quarrylens.sources.files import flatten_struct, load, sniff_encoding, sniff_separator
+from quarrylens.operators.relational import run_sql
+from quarrylens.sources.files import flatten_struct, load, malformed_lines, sniff_encoding, sniff_separator
 from quarrylens.sources.text_table import text_to_table
 
 
@@ -79,14 +80,17 @@ def test_clip_negatives(spark):
     assert [(r["column"], r["min"]) for r in issues.collect()] == [("n", -280.0)]
 
 
-def test_merge_matches_missing_keys(spark):
+@pytest.mark.parametrize("match", [False, True])
+def test_merge_of_missing_keys(spark, match):
     left = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "key int, l string")
-    right = spark.createDataFrame([(1, "x"), (None, "y"), (1, "z")], "key int, l string")
-    out = merging.smart_merge([left, right])
+    right = spark.createDataFrame([(1, "x"), (None, "y"), (1, "z"), (None, "w")], "key int, l string")
+    out = merging.smart_merge([left, right], match_nulls=match)
     assert out.columns == ["key", "l", "l_t2"]
-    assert {(r["key"], r["l"], r["l_t2"]) for r in out.collect()} == {
-        (1, "a", "x"), (1, "a", "z"), (None, "b", "y"), (2, "c", None)
-    }
+    nulls = {(None, "b", "y"), (None, "b", "w")} if match else {(None, "b", None)}
+    assert {(r["key"], r["l"], r["l_t2"]) for r in out.collect()} == {(1, "a", "x"), (1, "a", "z"), (2, "c", None)} | nulls
+    assert merging.pair_count(left, right, "key", "key", match) == (4 if match else 2)
+    with pytest.raises(ValueError):
+        merging.smart_merge([left, right], match_nulls=match, max_pairs=1)
 
 
 def test_sketched_overlap_finds_the_same_keys(spark):
@@ -129,6 +133,48 @@ def test_flatten_and_separators(spark, tmp_path):
         load(spark, path, "xlsx")
 
 
+def test_malformed_lines(spark, tmp_path):
+    path = str(tmp_path / "bad.csv")
+    with open(path, "w") as f:
+        f.write("key;n;text\n" + "".join(f"{i};{i};a\n" for i in range(10)) + '11;12\n1;2;"x;y"\n5;6;b;c\n7;8;d;e;f\n')
+    good = load(spark, path, "csv", sep="auto")
+    assert good.count() == len(good.collect()) == good.select("n").count() == len(good.select("key").collect()) == 12
+    assert sorted(r["line"] for r in malformed_lines(spark, path).collect()) == ["5;6;b;c", "7;8;d;e;f"]
+    assert malformed_lines(spark, path).count() == 2
+
+
+def test_json_lines_under_any_name(spark, tmp_path):
+    path = tmp_path / "rows.json"
+    path.write_text("".join(f'{{"a": {i}}}\n' for i in range(1000)))
+    assert load(spark, str(path), "json").count() == 1000
+    path.write_text('[\n{"a": 1},\n{"a": 2}\n]')
+    assert load(spark, str(path), "json", multiline=True).count() == 2
+
+
+def test_late_latin_letter(spark, tmp_path):
+    path = tmp_path / "late.csv"
+    path.write_bytes("id,name\n".encode() + b"1,a\n" * 5000 + "2,Müller\n".encode("latin-1"))
+    assert sniff_encoding(spark, str(path)) == "ISO-8859-1"
+    assert load(spark, str(path), "csv").where("id = 2").first()["name"] == "Müller"
+
+
+def test_name_clash(spark):
+    long = "x" * 30
+    with pytest.raises(ValueError):
+        run_sql({long + "_a": spark.range(1), long + "_b": spark.range(2)}, f"SELECT * FROM {long}")
+
+
+def test_date_order_from_the_whole_column(spark):
+    for texts, month in ((["1/2/2024"] * 9 + ["13/2/2024"], 2), (["1/2/2024"] * 9 + ["2/13/2024"], 1)):
+        got = cleaning.coerce_dates(strings(spark, texts), gate=False)
+        assert {r["v"].month for r in got.limit(9).collect()} == {month}
+
+
+def test_scatter_without_a_key(spark):
+    df = spark.range(30).select("id", (F.col("id") % 7).alias("y"))
+    assert charts.chart(df, {"x": "id", "y": "y", "type": "scatter", "top_n": 12}).count() == 12
+
+
 def test_encodings(spark, tmp_path):
     for encoding, sniffed in (("utf-8", "UTF-8"), ("latin-1", "ISO-8859-1")):
         path = str(tmp_path / f"{encoding}.csv")
@@ -191,6 +237,14 @@ def test_missing_prices_are_carried(spark):
 def test_routing_ties_and_default(spark):
     df = strings(spark, ["Cluster the Portfolio", "hello", None, "ANOVA and regression vs npv"])
     assert [r["domain"] for r in catalog.route(df, "v").collect()] == ["ml", "statistics", "statistics", "statistics"]
+    df = strings(spark, ["beam deflection of a concrete column", "npv of cpk", "voltage across a capacitor", "```r\nx"])
+    assert [r["domain"] for r in catalog.route(df, "v").collect()] == ["structural", "manufacturing", "electrical", "code"]
+
+
+def test_table_context(spark):
+    df = spark.createDataFrame([(1, 2.0)], "order_id int, unit_price double")
+    row = catalog.table_context(df, {"web": ["url", "page"], "retail": ["price", "order"]}).first()
+    assert (row["detected_context"], row["score"]) == ("retail", 4)
 
 
 def test_codons():

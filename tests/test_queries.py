@@ -114,8 +114,3 @@ def test_what_if_labels(spark, data):
     assert labels["l_tax"]["influence"] == "limited"
     effects = {r["driver"]: r for r in rows(spark, data, "m10_what_if")}
     assert effects["l_quantity"]["increase_effect"] > 0 > effects["l_quantity"]["decrease_effect"]
-
-
-def test_table_context(spark, data):
-    found = {r["table"]: r["detected_context"] for r in rows(spark, data, "g8_table_context")}
-    assert found == {"lineitem": "retail", "pages": "web", "events": "events"}
