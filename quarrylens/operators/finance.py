@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions.moments import ratio
 from quarrylens.operators.ordering import carry_forward, preceding, with_index
-from quarrylens.session import quoted
+from quarrylens.session import materialize, quoted
 
 TRADING_DAYS = 252
 PERIOD_CHUNK = 1024
@@ -71,12 +71,41 @@ def npv_curve(
         "flows", F.lit(0.0), lambda acc, f: acc + f["cf"] / F.pow(1 + r, f["t"])
     )
     partial = lists.select("project", F.transform(grid, value).alias("values"))
-    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    zeros = F.array_repeat(F.lit(0.0), len(rates))
-    total = F.aggregate(F.collect_list("values"), zeros, add)
-    summed = partial.groupBy("project").agg(total.alias("values"))
     pairs = F.zip_with(grid, "values", lambda r, v: F.struct(r.alias("rate"), v.alias("npv")))
-    return summed.select("project", F.inline(pairs))
+    return partial.select("project", F.inline(pairs)).groupBy("project", "rate").agg(F.sum("npv").alias("npv"))
+
+
+def irr(
+    df: DataFrame, project: str, t: str, cf: str, low: float = -0.9, high: float = 10.0, steps: int = 60
+) -> DataFrame:
+    """Rate per project at which its flows are worth nothing, by halving [low, high] ``steps`` times.
+
+    NULL where the value has the same sign at both ends. Flows are summed per period
+    first, and the values of a grid point are sums, so no project meets in one row: each
+    step is one aggregate over the periods, with one row per project in between.
+    """
+    flows = materialize(cash_flows(df, project, t, cf))
+    at = lambda r: F.sum(F.col("cf") / F.pow(1 + r, F.col("t")))
+    state = flows.groupBy("project").agg(at(F.lit(low)).alias("at_low"), at(F.lit(high)).alias("at_high"))
+    state = state.select("project", "at_low", (F.signum("at_low") * F.signum("at_high") < 0).alias("found"))
+    # several halvings per pass: the values at all their possible middles
+    depth, width = 6, 1 << 6
+    bounds = state.select("project", "at_low", "found", F.lit(low).alias("lo"), F.lit(high).alias("hi"))
+    for _ in range(-(-steps // depth)):
+        grid = F.transform(F.sequence(F.lit(1), F.lit(width - 1)), lambda k: F.col("lo") + (F.col("hi") - F.col("lo")) * k / width)
+        points = flows.join(bounds.where("found").withColumn("grid", grid), "project").select(
+            "project", "lo", "hi", "at_low", F.posexplode("grid").alias("k", "rate"), "t", "cf"
+        )
+        values = points.groupBy("project", "lo", "hi", "at_low", "k").agg(F.sum(F.col("cf") / F.pow(1 + F.col("rate"), F.col("t"))).alias("v"))
+        # the last middle in a row from the low end that has the low end's sign
+        same = F.signum("v") == F.signum("at_low")
+        step = values.groupBy("project", "lo", "hi", "at_low").agg(F.coalesce(F.min(F.when(~same, F.col("k"))), F.lit(width - 1)).alias("k"))
+        cell = (F.col("hi") - F.col("lo")) / width
+        bounds = materialize(step.select(
+            "project", "at_low", F.lit(True).alias("found"),
+            (F.col("lo") + cell * F.col("k")).alias("lo"), (F.col("lo") + cell * (F.col("k") + 1)).alias("hi"),
+        ))
+    return state.select("project").join(bounds.select("project", ((F.col("lo") + F.col("hi")) / 2).alias("irr")), "project", "left")
 
 
 def asset_returns(df: DataFrame, order_by: Sequence[str], cols: Sequence[str]) -> DataFrame:

@@ -27,6 +27,18 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.alias("l").join(right.alias("r"), same, how).select("l.*", *added)
 
 
+PARTITION_BYTES = 128 << 20
+UNKNOWN_BYTES = 1 << 60  # Spark's own guess for inputs that are no files is larger
+
+
+def range_partitions(df: DataFrame) -> int:
+    """Partitions of a range shuffle: the session's number, or more for a table that would not fit them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    read = sum(n for n in sizes if n < UNKNOWN_BYTES)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-read // PARTITION_BYTES))
+
+
 def with_index(
     df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (), name: str = "idx"
 ) -> DataFrame:
@@ -41,7 +53,7 @@ def with_index(
     keys = [*partition_by, *order_by, "_tie"]
     placed = materialize(
         df.withColumn("_tie", F.xxhash64(*[quoted(c) for c in hashable]))
-        .repartitionByRange(*keys)
+        .repartitionByRange(range_partitions(df), *keys)
         .sortWithinPartitions(*keys)
         .drop("_tie")
         .withColumn("_slot", F.monotonically_increasing_id())
@@ -179,13 +191,24 @@ def rank_rows(
     tile = F.when(F.col("pos") < wide, F.floor(F.col("pos") / (size + 1))).otherwise(
         extra + F.floor((F.col("pos") - wide) / F.when(size > 0, size))
     )
-    rows = placed.withColumns(
-        {"row_number": F.col("pos") + 1, "ntile": tile + 1}
-    ).drop("idx", "pos", "key_rows")
-    values = df.groupBy(*keys, order_by).agg(F.count(F.lit(1)).alias("_n"))
-    upto = running_totals(values, [order_by], {"_upto": "_n", "dense_rank": F.lit(1)}, keys)
-    ranks = upto.withColumn("rank", F.col("_upto") - F.col("_n") + 1).drop("_n", "_upto")
-    return join_keys(rows, ranks, [*keys, order_by])
+    # one order serves all four: rank is the place of the latest new value, dense_rank their number
+    new = lambda w: {"_new": (F.col("pos") == 0) | ~F.lag(quoted(order_by)).over(w).eqNullSafe(quoted(order_by))}
+    flagged = neighbours(placed, new, 1, 0, keys).withColumn("_block", F.floor(F.col("idx") / BLOCK_ROWS))
+    starts, count = F.when(F.col("_new"), F.col("pos") + 1), F.col("_new").cast("bigint")
+    totals = flagged.groupBy(*keys, "_block").agg(F.max(starts).alias("_last"), F.sum(count).alias("_count"))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(
+        *keys, "_block", F.max("_last").over(earlier).alias("_rank"), F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_dense")
+    )
+    here = Window.partitionBy(*keys, "_block").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = join_keys(flagged, bases, [*keys, "_block"])
+    return rows.withColumns(
+        {
+            "row_number": F.col("pos") + 1, "ntile": tile + 1,
+            "rank": F.coalesce(F.max(starts).over(here), F.col("_rank")),
+            "dense_rank": F.col("_dense") + F.sum(count).over(here),
+        }
+    ).drop("idx", "pos", "key_rows", "_new", "_block", "_rank", "_dense")
 
 
 def carry_forward(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +23,7 @@ from quarrylens.functions.lexicon import (
     has_word,
 )
 from quarrylens.functions.moments import adjusted_kurtosis, adjusted_skewness, ratio
-from quarrylens.operators.cleaning import parsed_timestamp
+from quarrylens.operators.cleaning import parsed_timestamp, robust_scales
 from quarrylens.operators.quantiles import exact_quantiles, medians
 from quarrylens.session import is_datetime, is_numeric, materialize, quoted
 
@@ -325,14 +325,18 @@ FINGERPRINT_FIELDS = (
 
 
 def fingerprint(df: DataFrame, sample_size: int = 5, exact_distinct: bool = True) -> DataFrame:
-    """The semantic schema as a DataFrame; ``sample`` holds a few values for display."""
+    """The semantic schema as a DataFrame; ``sample`` holds the smallest few values."""
     samples: dict[str, list[str]] = {}
     profile = semantic_profile(df, exact_distinct)
     if sample_size:
-        for p in profile:
-            c = quoted(p["column"])
-            rows = df.where(c.isNotNull()).select(c.cast("string").alias("v")).limit(sample_size).collect()
-            samples[p["column"]] = [r["v"] for r in rows]
+        cells = [
+            F.struct(F.lit(p["position"]).alias("i"), quoted(p["column"]).cast("string").alias("v")) for p in profile
+        ]
+        values = df.select(F.inline(F.array(*cells))).where(F.col("v").isNotNull())
+        # the smallest distinct texts: a top-k per column, cut in every task before the shuffle
+        found = values.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("v")))
+        for r in found.where(F.col("rank") <= sample_size).orderBy("i", "rank").collect():
+            samples.setdefault(profile[r["i"]]["column"], []).append(r["v"])
     return _local(
         df,
         [
@@ -489,16 +493,13 @@ def structure(
 
 def outlier_share(df: DataFrame, cols: Sequence[str], limit: float = 3.0) -> float:
     """Share of numeric values further than ``limit`` robust deviations from the median."""
-    center = medians(df, cols)
-    cols = [c for c in cols if center.get(c) is not None]
-    gaps = df.select(*[F.abs(quoted(c) - F.lit(center[c])).alias(c) for c in cols])
-    spread = medians(gaps, cols)
-    cols = [c for c in cols if spread.get(c)]
-    if not cols:
+    narrow = materialize(df.select(*[quoted(c) for c in cols]))
+    scales = robust_scales(narrow, cols)
+    if not scales:
         return 0.0
-    far = [F.sum((quoted(c) > limit * 1.4826 * spread[c]).cast("long")) for c in cols]
-    seen = [F.count(quoted(c)) for c in cols]
-    row = gaps.agg(sum(far[1:], far[0]).alias("far"), sum(seen[1:], seen[0]).alias("seen")).first()
+    far = [F.sum((F.abs(quoted(c) - center) > limit * scale).cast("long")) for c, (center, scale) in scales.items()]
+    seen = [F.count(quoted(c)) for c in scales]
+    row = narrow.agg(sum(far[1:], far[0]).alias("far"), sum(seen[1:], seen[0]).alias("seen")).first()
     return row["far"] / row["seen"] if row["seen"] else 0.0
 
 

@@ -50,7 +50,7 @@ def detrended(df: DataFrame, col: str, order_by: Sequence[str], by: Sequence[str
 def acf(
     df: DataFrame, col: str, order_by: Sequence[str], max_lag: int = 40, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Correlation of a series with itself ``lag`` rows earlier, up to min(max_lag, n / 4).
+    """Correlation of a series with itself ``lag`` rows earlier, from lag 0 (1) up to min(max_lag, n / 4).
 
     Each row is read once with its ``max_lag`` predecessors, not joined to them.
     """
@@ -68,9 +68,9 @@ def acf(
         F.array(*cells), lambda s: s["y"].isNotNull() & (s["lag"] <= F.floor(F.col("key_rows") / 4))
     )
     long = lagged.select(*by, F.col("key_rows").alias("n"), F.inline(wanted))
-    return long.groupBy(*by, "n", "lag").agg(F.corr("x", "y").alias("acf")).withColumn(
-        "band", 1.96 / F.sqrt("n")
-    )
+    later = long.groupBy(*by, "n", "lag").agg(F.corr("x", "y").alias("acf"))
+    itself = rows.select(*by, F.col("key_rows").alias("n")).distinct().select(*by, "n", F.lit(0).alias("lag"), F.lit(1.0).alias("acf"))
+    return itself.unionByName(later).withColumn("band", 1.96 / F.sqrt("n"))
 
 
 def ljung_box(acf_rows: DataFrame, lags: int = 19, df: int = 20, by: Sequence[str] = ()) -> DataFrame:
@@ -78,7 +78,7 @@ def ljung_box(acf_rows: DataFrame, lags: int = 19, df: int = 20, by: Sequence[st
     n = F.col("n")
     q = F.sum(n * (n + 2) * F.pow("acf", 2) / (n - F.col("lag")))
     return (
-        acf_rows.where(F.col("lag") <= lags)
+        acf_rows.where(F.col("lag").between(1, lags))
         .groupBy(*by)
         .agg(q.alias("q"))
         .withColumn("p", tail_udf(chi2_sf)(F.col("q"), F.lit(float(df))))
@@ -164,19 +164,16 @@ def trend_forecast(
 
 
 def periodogram(
-    df: DataFrame, col: str, order_by: Sequence[str], by: Sequence[str] = (),
-    n_bins: int | None = None, fs: float = 1.0,
+    df: DataFrame, col: str, order_by: Sequence[str], n_bins: int, by: Sequence[str] = (), fs: float = 1.0,
 ) -> DataFrame:
-    """Power per frequency bin 0 .. n/2 - 1 (or the first ``n_bins``) of each series.
+    """Power of the first ``n_bins`` frequency bins, at most 0 .. n/2 - 1, of each series.
 
-    Work is rows x bins, spread over the rows and combined before the shuffle; roll a
-    long series up in time first, or ask for fewer bins.
+    Work is rows x ``n_bins``, spread over the rows and combined before the shuffle; for
+    high frequencies of a long series, roll it up in time or cut it into stretches.
     """
     rows = positioned(df, col, order_by, by)
     n = F.col("key_rows")
-    top = F.floor(n / 2) - 1
-    if n_bins is not None:
-        top = F.least(top, F.lit(n_bins - 1))
+    top = F.least(F.floor(n / 2) - 1, F.lit(n_bins - 1))
     spread = rows.where(n > 10).select(
         *by, n.alias("n"), "pos", quoted(col).cast("double").alias("x"),
         F.explode(F.sequence(F.lit(0), top.cast("int"))).alias("bin"),

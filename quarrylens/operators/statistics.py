@@ -144,14 +144,28 @@ def _pearson(df: DataFrame, pairs: Sequence[tuple[str, str]], names: Sequence[tu
     return row.select(F.inline(F.array(*cells)))
 
 
-def _ranked(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Replace each column by its average rank. Joins are on values; rows keep their side."""
+def _spearman(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Rank correlation of column pairs over rows that have all of ``cols``.
+
+    Equal value pairs are one weighted row before ranks are joined to them, so a value
+    that a third of the rows share meets its rank once per partner and not once per row.
+    """
     out = df.select(*[quoted(c).cast("double").alias(c) for c in cols])
-    ranks = average_ranks(out, cols)
-    for i, c in enumerate(cols):
-        mine = ranks.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("rank").alias(f"_r{i}"))
-        out = out.join(mine, quoted(c) == F.col("_v"), "left").drop("_v")
-    return out.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(cols)])
+    ranks = materialize(average_ranks(out, cols))
+    cells = [
+        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), quoted(a).alias("vx"), quoted(b).alias("vy")) for a, b in pairs
+    ]
+    counted = out.select(F.inline(F.array(*cells))).groupBy("x", "y", "vx", "vy").agg(F.count(F.lit(1)).alias("w"))
+    for side in ("x", "y"):
+        mine = ranks.select(F.col("column").alias(side), F.col("value").alias(f"v{side}"), F.col("rank").alias(f"r{side}"))
+        counted = counted.join(mine, [side, f"v{side}"])
+    # the mean rank of n rows is (n + 1) / 2 in every column
+    total = out.agg(F.count(F.lit(1))).scalar()
+    dx, dy, w = F.col("rx") - (F.col("_n") + 1) / 2.0, F.col("ry") - (F.col("_n") + 1) / 2.0, F.col("w")
+    sums = counted.withColumn("_n", total).groupBy("x", "y").agg(
+        F.sum(w * dx * dy).alias("xy"), F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy")
+    )
+    return sums.select("x", "y", ratio("xy", F.sqrt(F.col("xx") * F.col("yy"))).alias("r"))
 
 
 def correlations(
@@ -169,11 +183,11 @@ def correlations(
         nulls = df.agg(*[F.count_if(quoted(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()
         whole = [c for i, c in enumerate(cols) if not nulls[f"n{i}"]]
         shared = list(combinations(whole, 2))
-        parts = [_pearson(_ranked(df, whole), shared, shared)] if shared else []
+        parts = [_spearman(df, whole, shared)] if shared else []
         for a, b in pairs:
             if (a, b) not in shared:
                 complete = df.where(quoted(a).isNotNull() & quoted(b).isNotNull())
-                parts.append(_pearson(_ranked(complete, [a, b]), [(a, b)], [(a, b)]))
+                parts.append(_spearman(complete, [a, b], [(a, b)]))
         out = parts[0]
         for part in parts[1:]:
             out = out.unionAll(part)
@@ -281,13 +295,15 @@ def _roc_steps(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def roc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """ROC points (threshold, fpr, tpr), one per distinct score."""
+    """ROC points (threshold, fpr, tpr): the origin (threshold NULL), then one per distinct score."""
     y = F.coalesce(quoted(label).cast("int"), F.lit(0))
     whole = df.agg(F.struct(F.sum(y).alias("p"), F.sum(1 - y).alias("n"))).scalar()
-    return _roc_steps(df, label, score).withColumn("_w", whole).select(
+    points = _roc_steps(df, label, score).withColumn("_w", whole).select(
         F.col("score").alias("threshold"),
         ratio("fp", "_w.n").alias("fpr"), ratio("tp", "_w.p").alias("tpr"),
     )
+    origin = df.sparkSession.createDataFrame([(None, 0.0, 0.0)], "threshold double, fpr double, tpr double")
+    return origin.unionByName(points)
 
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:

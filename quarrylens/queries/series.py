@@ -87,7 +87,7 @@ a AS (SELECT p.n AS n, CAST(l.lag AS INTEGER) AS lag, corr(p.total, q.total) AS
 """
 
 
-@query("q4_acf", ACF_SQL + "SELECT n, lag, round(acf, 8) AS acf, 1.96 / sqrt(n) AS band FROM a", approx="band")
+@query("q4_acf", ACF_SQL + "SELECT n, lag, round(acf, 8) AS acf, 1.96 / sqrt(n) AS band FROM a UNION ALL SELECT DISTINCT n, 0, 1.0, 1.96 / sqrt(n) FROM a", approx="band")
 def acf(t):
     out = series.acf(t.sql(DAILY, "orders"), "total", ["day"])
     return out.withColumn("acf", F.round("acf", 8) + F.lit(0.0))
@@ -143,18 +143,21 @@ def hourly(t):
     return t.sql(HOURLY.replace("{ntz}", "TIMESTAMP_NTZ"), "events")
 
 
+BINS = 1000  # more than the half of any of these series
+
+
 @query("q7_periodogram", SPECTRUM_SQL + """
 SELECT event_type, bin, bin * 24.0 / n AS frequency, power FROM p
 """, approx="frequency power", digits=7)
 def periodogram(t):
-    return series.periodogram(hourly(t), "total", ["hour"], ["event_type"], fs=24.0)
+    return series.periodogram(hourly(t), "total", ["hour"], BINS, ["event_type"], fs=24.0)
 
 
 @query("q7_dominant_frequency", SPECTRUM_SQL + """
 SELECT event_type, arg_max(bin * 24.0 / n, power) AS frequency, max(power) AS power FROM p WHERE bin > 0 GROUP BY 1
 """, approx="frequency power", digits=7)
 def dominant_frequency(t):
-    spectrum = series.periodogram(hourly(t), "total", ["hour"], ["event_type"], fs=24.0)
+    spectrum = series.periodogram(hourly(t), "total", ["hour"], BINS, ["event_type"], fs=24.0)
     return series.dominant_frequency(spectrum, ["event_type"])
 
 
@@ -194,6 +197,21 @@ def payback(t):
     return out.withColumn("payback", F.round("payback", 7) + F.lit(0.0))
 
 
+@query("f1_irr", f"""
+WITH RECURSIVE {FLOWS_SQL}, p AS (SELECT project % 25 AS project, t, sum(cf) AS cf FROM flow GROUP BY 1, 2),
+s AS (SELECT project, CAST(0 AS BIGINT) AS step, CAST(-0.9 AS DOUBLE) AS lo, CAST(10.0 AS DOUBLE) AS hi FROM p GROUP BY project
+      HAVING sum(cf / pow(0.1, t)) * sum(cf / pow(11.0, t)) < 0
+      UNION ALL
+      SELECT project, step + 1, CASE WHEN sign(v) = sign(w) THEN (lo + hi) / 2 ELSE lo END, CASE WHEN sign(v) = sign(w) THEN hi ELSE (lo + hi) / 2 END
+      FROM (SELECT s.project, s.step, s.lo, s.hi, sum(cf / pow(1 + (s.lo + s.hi) / 2, t)) AS v, sum(cf / pow(0.1, t)) AS w
+            FROM s JOIN p ON s.project = p.project WHERE s.step < 60 GROUP BY 1, 2, 3, 4))
+SELECT i.project, round((lo + hi) / 2, 8) AS irr FROM (SELECT DISTINCT project FROM p) i LEFT JOIN s ON i.project = s.project AND step = 60
+""")
+def internal_rate(t):
+    grouped = flows(t).withColumn("project", F.col("project") % 25)
+    return finance.irr(grouped, "project", "t", "cf").withColumn("irr", F.round("irr", 8))
+
+
 @query("f3_npv_curve", f"""
 WITH {FLOWS_SQL}, g AS (SELECT o_custkey % 25 AS project, t, cf FROM flow JOIN (SELECT DISTINCT o_custkey FROM orders) ON project = o_custkey),
 r AS (SELECT 0.01 + k * (0.35 - 0.01) / 199 AS rate FROM (SELECT unnest(range(0, 200)) AS k))

@@ -175,6 +175,7 @@ c AS (SELECT *, sum(pos) OVER (ORDER BY s DESC) AS tp, sum(neg) OVER (ORDER BY s
 
 @query("e10_roc", ROC_SQL + """
 SELECT CAST(s AS DOUBLE) AS threshold, fp / (SELECT sum(neg) FROM g) AS fpr, tp / (SELECT sum(pos) FROM g) AS tpr FROM c
+UNION ALL SELECT NULL, 0.0, 0.0
 """, approx="fpr tpr")
 def roc(t):
     return st.roc(scored_labels(t), "quality", "n_chars")

@@ -1,8 +1,10 @@
 """Edge cases: empty, constant, all-missing, thresholds, ties, odd names."""
 
+import math
 import subprocess
 import sys
 
+import numpy as np
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -276,6 +278,28 @@ def test_tails():
     assert tails.chi2_sf(31.410432844, 20) == pytest.approx(0.05, rel=1e-8)
 
 
+@pytest.mark.parametrize("n", [1e6, 1e8, 1e10, 1e12, 1e14])
+def test_tails_of_many_rows(n):
+    """Against the expansion of the t tail in 1 / n, and F with one degree as its square."""
+    for t in (0.5, 2.0, 3.5):
+        density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+        second = density * t * (3 * t**6 - 7 * t**4 - 5 * t**2 - 3) / (48 * n * n)
+        want = math.erfc(t / math.sqrt(2)) + density * t * (t * t + 1) / (2 * n) + second
+        assert tails.t_two_sided(t, n) == pytest.approx(want, rel=1e-10)
+        assert tails.f_sf(t * t, 1, n) == pytest.approx(want, rel=1e-10)
+    assert tails.t_quantile(0.975, n) == pytest.approx(1.959963984540054 * (1 + (1.959963984540054**2 + 1) / (4 * n)), rel=1e-10)
+    assert 0 < tails.t_two_sided(30.0, n) < 1e-190
+    assert tails.f_sf(2.0, 4, n) == pytest.approx(math.exp(-4.0) * (1 + 4.0), rel=20 / n + 1e-12)  # the chi-square limit
+
+
+def test_tails_take_arrays_and_report_no_convergence(monkeypatch):
+    got = tails.t_two_sided(np.array([0.0, 2.228138852, 1.0]), np.array([3.0, 10.0, 1e9]))
+    assert got == pytest.approx([1.0, 0.05, 0.3173105], rel=1e-6)
+    monkeypatch.setattr(tails, "ROUNDS", 2)
+    with pytest.raises(ArithmeticError):
+        tails.t_two_sided(2.0, 1000.0)
+
+
 def test_udf_helpers_travel_by_value(tmp_path):
     code = "import pickle, sys; print(pickle.load(open(sys.argv[1], 'rb'))(3.0, 2.0, 20.0))"
     path = tmp_path / "f.pkl"

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylens.operators import ordering, quantiles, relational, series
+from quarrylens.operators import cleaning, ordering, quantiles, relational, series
 from quarrylens.operators.statistics import auc, kaplan_meier
 
 
@@ -81,12 +81,10 @@ def test_average_ranks(table, skewed):
 
 
 @pytest.mark.parametrize("by", [[], ["key"]])
-@pytest.mark.parametrize("small,window", [(100_000, 2_000_000), (10, 2_000_000), (10, 0)])
-def test_quantiles_are_exact(table, skewed, monkeypatch, by, small, window):
-    monkeypatch.setattr(quantiles, "SMALL_GROUP", small)
-    monkeypatch.setattr(quantiles, "WINDOW_ROWS", window)
-    # a bracket has to hold the rank below and above the wanted one
-    monkeypatch.setattr(quantiles, "MARGIN", max(quantiles.MARGIN, 0.02 if by else 0.002))
+@pytest.mark.parametrize("margin,slots", [(quantiles.MARGIN, 1024), (0.02, 1024), (0.02, 3), (0.2, 1)])
+def test_quantiles_are_exact(table, skewed, monkeypatch, by, margin, slots):
+    monkeypatch.setattr(quantiles, "MARGIN", margin)
+    monkeypatch.setattr(quantiles, "SLOTS", slots)
     probs = [0.0, 0.1, 0.5, 0.98, 1.0]
     got = quantiles.exact_quantiles(table, ["x", "at"], probs, by).toPandas()
     for column in ("x", "at"):
@@ -99,6 +97,27 @@ def test_quantiles_are_exact(table, skewed, monkeypatch, by, small, window):
                 assert mine[p] == pytest.approx(rows[column].quantile(p), rel=1e-12)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 7, 100, 5001])
+def test_quantiles_of_few_rows(spark, n):
+    df = spark.range(n).select((F.col("id") * F.col("id")).cast("double").alias("a"))
+    got = {r["prob"]: r["value"] for r in quantiles.exact_quantiles(df, ["a"], [0.02, 0.25, 0.5, 0.98]).collect()}
+    want = pd.Series([float(i * i) for i in range(n)])
+    assert got == pytest.approx({p: want.quantile(p) for p in (0.02, 0.25, 0.5, 0.98)})
+
+
+def test_a_sketch_that_is_wrong_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "ACCURACY", 2)
+    df = spark.range(100_000).select(F.sqrt("id").alias("a"))
+    with pytest.raises(Exception, match="outside its bracket"):
+        quantiles.exact_quantiles(df, ["a"], [0.3, 0.7]).collect()
+
+
+def test_outliers_of_a_mostly_constant_column(spark):
+    df = spark.range(1000).select("id", F.when(F.col("id") % 100 == 0, F.col("id") + 50.0).otherwise(1.0).alias("a"), F.lit(1.0).alias("b"))
+    kept = cleaning.drop_outliers(df, 0.01, cols=["a", "b"])
+    assert kept.agg(F.max("a")).first()[0] == 1.0
+
+
 def test_quantiles_of_missing_column(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, None)], "a double, b double")
     assert quantiles.medians(df, ["a", "b"]) == {"a": 1.5}
@@ -165,7 +184,7 @@ def test_acf_equals_shifted_slices(table, skewed):
 
 
 def test_periodogram_equals_fft(table, skewed):
-    got = series.periodogram(table, "x", ["at", "id"], ["key"]).toPandas()
+    got = series.periodogram(table, "x", ["at", "id"], 2000, ["key"]).toPandas()
     for key, rows in ordered(skewed).dropna().groupby("key"):
         x = rows["x"].to_numpy()
         power = np.abs(np.fft.fft(x)[: len(x) // 2]) ** 2
