@@ -48,31 +48,27 @@ def kpi(df: DataFrame, rules: Mapping[str, str]) -> DataFrame:
     return row.select(F.inline(F.array(*cells)))
 
 
-def kpi_priority(name: str) -> int:
-    lowered = name.lower()
-    for rank, words in enumerate(KPI_WORDS):
-        if any(w in lowered for w in words):
-            return rank
-    return len(KPI_WORDS)
+def word_rank(name: str, groups: Sequence[Sequence[str]]) -> int:
+    """Number of the first group with a word in the name; the number of groups if none has."""
+    return min([i for i, words in enumerate(groups) if any(w in name.lower() for w in words)], default=len(groups))
 
 
 def kpi_columns(profile: Profile, n: int = 5) -> list[str]:
-    """Best binary column first, then the best four of the first six measures."""
-    front = sorted(profile.role("binary"), key=kpi_priority)[:1]
-    rest = sorted(profile.role("measure")[:6], key=kpi_priority)[:4]
-    return (front + rest)[:n]
+    """Indicators of a table: its best binary column, then the best four of its first six measures."""
+    shown = {"binary": profile.role("binary"), "measure": profile.role("measure")[:6]}
+    order = sorted((role != "binary", word_rank(c, KPI_WORDS), i, c) for role, names in shown.items() for i, c in enumerate(names))
+    binary, measures = [x[-1] for x in order if not x[0]], [x[-1] for x in order if x[0]]
+    return [*binary[:1], *measures[:4]][:n]
 
 
 def find_target(profile: Profile) -> tuple[str | None, bool]:
-    """The column a table is about, and whether it is binary."""
-    for c in profile.role("binary"):
-        if any(w in c.lower() for w in BINARY_TARGET_WORDS):
-            return c, True
-    measures = profile.role("measure")
-    for c in measures:
-        if any(w in c.lower() for w in MEASURE_TARGET_WORDS):
-            return c, False
-    return (measures[0] if measures else None), False
+    """The column a table is about, and whether it is binary: named so, or else the first measure."""
+    wanted = {"binary": [BINARY_TARGET_WORDS], "measure": [MEASURE_TARGET_WORDS, [""]]}
+    order = [
+        (role != "binary", word_rank(c, groups), i, c)
+        for role, groups in wanted.items() for i, c in enumerate(profile.role(role)) if word_rank(c, groups) < len(groups)
+    ]
+    return (min(order)[-1], not min(order)[0]) if order else (None, False)
 
 
 def kpi_trend(

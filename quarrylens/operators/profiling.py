@@ -6,10 +6,12 @@ one row per column, which is metadata.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from string import Formatter
 
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,9 +40,66 @@ def kind_of(field: T.StructField) -> str:
     return "string" if isinstance(field.dataType, T.StringType) else "other"
 
 
-def is_year_name(name: str) -> bool:
-    cn = name.lower().replace(" ", "_")
-    return any(cn == p or cn.endswith("_" + p) or cn.startswith(p + "_") for p in YEAR_WORDS)
+# --- rules over one row per column ---------------------------------------------------------
+
+Rules = Sequence[tuple[str, Column]]
+KEY = F.lower(F.replace(F.col("column"), F.lit(" "), F.lit("_")))
+
+
+def named(words: Sequence[str]) -> Column:
+    """Does the column's name hold one of the words?"""
+    return KEY.rlike("|".join(re.escape(w) for w in words))
+
+
+def year_named() -> Column:
+    """Is one of the words the name, or its first or last part between underscores?"""
+    words = "|".join(re.escape(w) for w in YEAR_WORDS)
+    return KEY.rlike(f"^({words})(_|$)|(^|_)({words})$")
+
+
+def first_rule(rules: Rules, otherwise: str) -> Column:
+    """Label of the first rule that holds; a rule about missing statistics does not."""
+    out = F.lit(otherwise)
+    for label, holds in reversed(rules):
+        out = F.when(holds, label).otherwise(out)
+    return out
+
+
+def aggregation() -> Column:
+    """Aggregation of a numeric column: its name decides, then its range."""
+    c = F.col
+    return first_rule(
+        [
+            ("year", year_named() & (c("year_share") > 0.9)),
+            ("mean", named(MEAN_WORDS)),
+            ("sum", named(SUM_WORDS)),
+            ("mean", (c("min") >= 0) & (c("max") <= 100) & (F.abs("mean") < 50)),
+            ("year", (c("min") >= 1900) & (c("max") <= 2100) & (c("std") < 20)),
+        ],
+        "sum",
+    )
+
+
+def semantic_role() -> Column:
+    """What a column means, by type, name and number of values."""
+    c = F.col
+    number, distinct, rows = c("kind") == "numeric", c("nunique"), c("n_rows")
+    many = (distinct > 50) & (distinct > 0.8 * rows)
+    return first_rule(
+        [
+            ("temporal", c("kind") == "datetime"),
+            ("temporal", (c("kind") == "string") & named(DATE_WORDS) & (c("date_share") > 0.7)),
+            ("id", number & named(ID_WORDS) & ((distinct == rows) | (distinct > 0.95 * rows))),
+            ("binary", number & (distinct <= 2)),
+            ("year_col", number & (aggregation() == "year")),
+            ("measure", number),
+            ("id", many & named(ID_WORDS)),
+            ("entity", many & (c("upper_share") > 0.5)),
+            ("text", many),
+            ("dimension", distinct <= 30),
+        ],
+        "text",
+    )
 
 
 def _number(field: T.StructField):
@@ -79,8 +138,7 @@ def _melt_stats(
     }
     if shape:
         aggs |= {"skewness": adjusted_skewness(x), "kurtosis": adjusted_kurtosis(x)}
-    if any(is_year_name(f.name) for f in fields):
-        aggs["year_share"] = F.avg(x.between(1800, 2100).cast("int"))
+    aggs["year_share"] = F.avg(x.between(1800, 2100).cast("int"))
     if text and any(kind_of(f) == "string" for f in fields):
         aggs["date_share"] = F.count_if(parsed_timestamp(s).isNotNull()) / F.count(F.lit(1))
         aggs["upper_share"] = F.avg(F.when(s != "", s.rlike(r"^\p{Lu}").cast("int")))
@@ -260,41 +318,6 @@ def feature_ranking(df: DataFrame, exact_distinct: bool = True, stats: DataFrame
 # --- semantic schema ---------------------------------------------------------------------
 
 
-def agg_type(name: str, stats: Mapping | Row) -> str:
-    """Aggregation rule of a numeric column: year, mean or sum."""
-    if is_year_name(name) and (stats["year_share"] or 0) > 0.9:
-        return "year"
-    if has_word(name, MEAN_WORDS):
-        return "mean"
-    if has_word(name, SUM_WORDS):
-        return "sum"
-    if stats["n"]:
-        if stats["min"] >= 0 and stats["max"] <= 100 and abs(stats["mean"]) < 50:
-            return "mean"
-        if stats["min"] >= 1900 and stats["max"] <= 2100 and (stats["std"] or 0) < 20 and stats["std"] is not None:
-            return "year"
-    return "sum"
-
-
-def semantic_role(s: Mapping | Row) -> str:
-    name, distinct, rows = s["column"], s["nunique"], s["n_rows"]
-    if s["kind"] == "datetime":
-        return "temporal"
-    if s["kind"] == "string" and has_word(name, DATE_WORDS) and (s["date_share"] or 0) > 0.7:
-        return "temporal"
-    if s["kind"] == "numeric":
-        if (distinct == rows or distinct > rows * 0.95) and has_word(name, ID_WORDS):
-            return "id"
-        if distinct <= 2:
-            return "binary"
-        return "year_col" if agg_type(name, s) == "year" else "measure"
-    if distinct / max(rows, 1) > 0.8 and distinct > 50:
-        if has_word(name, ID_WORDS):
-            return "id"
-        return "entity" if (s["upper_share"] or 0) > 0.5 else "text"
-    return "dimension" if distinct <= 30 else "text"
-
-
 class Profile(list):
     """Semantic schema on the driver: one dict per column, in column order."""
 
@@ -310,12 +333,9 @@ class Profile(list):
 
 def semantic_profile(df: DataFrame, exact_distinct: bool = True, stats: DataFrame | None = None) -> Profile:
     """Role and aggregation rule of every column, with its statistics."""
-    profile = Profile()
-    for s in stat_rows(_stats(df, stats, exact_distinct, text=True)):
-        role = semantic_role(s)
-        rule = agg_type(s["column"], s) if role == "measure" else ("mean" if role == "year_col" else "sum")
-        profile.append({**s.asDict(), "role": role, "agg": rule})
-    return profile
+    judged = _stats(df, stats, exact_distinct, text=True).withColumn("role", semantic_role())
+    rule = F.when(F.col("role") == "measure", aggregation()).when(F.col("role") == "year_col", "mean").otherwise("sum")
+    return Profile(s.asDict() for s in stat_rows(judged.withColumn("agg", rule)))
 
 
 FINGERPRINT_FIELDS = (
@@ -352,8 +372,7 @@ def fingerprint(df: DataFrame, sample_size: int = 5, exact_distinct: bool = True
 
 def aggregation_rules(df: DataFrame) -> DataFrame:
     """Aggregation rule (year, mean, sum) of every numeric column."""
-    rows = [(s["column"], agg_type(s["column"], s)) for s in stat_rows(_stats(df, None, True)) if s["kind"] == "numeric"]
-    return _local(df, rows, "column string, agg string")
+    return _stats(df, None, True).where("kind = 'numeric'").select("column", aggregation().alias("agg"))
 
 
 def quality_overview(df: DataFrame, profile: Profile | None = None) -> DataFrame:
@@ -386,24 +405,28 @@ def smart_stats(df: DataFrame, profile: Profile | None = None, max_columns: int
     return _local(df, rows, "column string, metric string, value double, median double, avg double, max double")
 
 
+#: Questions by the columns they name; a field with the format .0 is needed but not shown.
+SUGGESTIONS = (
+    "{top} {entity0} {by} {measure0}",
+    "{top} {dimension0} {by} {measure0}",
+    "{measure0} {trend} {temporal0}",
+    "{measure0} {vs} {measure1}",
+    "{corr}{measure2:.0}",
+    "{dist} {measure0}",
+    "{six} {measure0}",
+    "{reg}: {measure1} ~ {measure0}",
+    "{dash}",
+)
+
+
 def suggest(df: DataFrame, profile: Profile | None = None, lang: str = "en") -> DataFrame:
-    """Up to eight questions the table can answer."""
+    """Up to eight questions the table can answer: the templates whose columns it has, in order."""
     profile = profile if profile is not None else semantic_profile(df)
-    m, d = profile.role("measure")[:4], profile.role("dimension")[:3]
-    t, e = profile.role("temporal")[:2], profile.role("entity")[:2]
-    w = SUGGESTION_WORDS.get(lang, SUGGESTION_WORDS["en"])
-    texts = [f"{w['top']} {c[0]} {w['by']} {m[0]}" for c in (e, d) if c and m]
-    if t and m:
-        texts.append(f"{m[0]} {w['trend']} {t[0]}")
-    if len(m) >= 2:
-        texts.append(f"{m[0]} {w['vs']} {m[1]}")
-    if len(m) >= 3:
-        texts.append(w["corr"])
-    if m:
-        texts += [f"{w['dist']} {m[0]}", f"{w['six']} {m[0]}"]
-    if len(m) >= 2:
-        texts.append(f"{w['reg']}: {m[1]} ~ {m[0]}")
-    texts.append(w["dash"])
+    known = dict(SUGGESTION_WORDS.get(lang, SUGGESTION_WORDS["en"]))
+    for role in ("measure", "dimension", "temporal", "entity"):
+        known |= {f"{role}{i}": name for i, name in enumerate(profile.role(role))}
+    fields = lambda t: {name for _, name, _, _ in Formatter().parse(t) if name}
+    texts = [t.format(**known) for t in SUGGESTIONS if fields(t) <= known.keys()]
     return _local(df, list(enumerate(texts[:8], 1)), "rank int, suggestion string")
 
 
