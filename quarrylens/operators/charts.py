@@ -263,9 +263,10 @@ def scatter_ols(df: DataFrame, x: str, y: str, color: str | None = None) -> Data
 
 
 def scatter_points(df: DataFrame, cols: Sequence[str], key: Sequence[str], n: int = 1000) -> DataFrame:
-    """A repeatable sample of ``n`` complete rows, spread by a hash of the key."""
+    """A repeatable sample of ``n`` complete rows: those with the least digests of the key."""
     complete = df.dropna(subset=list(cols))
-    return complete.orderBy(F.xxhash64(*[quoted(k) for k in key]), *key).limit(n).select(*cols)
+    digest = F.md5(F.concat_ws("|", *[quoted(k).cast("string") for k in key]))
+    return complete.orderBy(digest, *[quoted(k) for k in key]).limit(n).select(*[quoted(c) for c in cols])
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], max_columns: int | None = None) -> DataFrame:

@@ -138,8 +138,9 @@ def return_stats(
 
 
 def random_weights(spark, assets: int, sets: int = 3000, seed: int = 42) -> DataFrame:
-    """Repeatable uniform draws from the simplex: (set_id, weights)."""
-    unit = lambda i: (F.pmod(F.xxhash64("id", i, F.lit(seed)), F.lit(1 << 52)) + 1) / F.lit(float(1 << 52))
+    """Repeatable uniform draws from the simplex: (set_id, weights). A draw is the head of a digest."""
+    digest = lambda i: F.md5(F.concat_ws("-", F.col("id").cast("string"), i.cast("string"), F.lit(str(seed))))
+    unit = lambda i: (F.conv(F.substring(digest(i), 1, 12), 16, 10).cast("double") + 1) / F.lit(float(1 << 48))
     draws = F.transform(F.sequence(F.lit(1), F.lit(assets)), lambda i: -F.log(unit(i)))
     total = F.aggregate("draws", F.lit(0.0), lambda a, x: a + x)
     raw = spark.range(sets).select(F.col("id").alias("set_id"), draws.alias("draws"))

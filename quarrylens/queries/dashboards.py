@@ -156,9 +156,12 @@ def scatter_ols(t):
     return charts.scatter_ols(t.lineitem, "l_quantity", "l_extendedprice", "l_returnflag")
 
 
-@query("d13_scatter_points")
+@query("d13_scatter_points", """
+SELECT l_quantity, l_extendedprice FROM lineitem
+ORDER BY md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)), l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 1000
+""")
 def scatter_points(t):
-    return charts.scatter_points(t.lineitem, ["l_quantity", "l_extendedprice"], ["l_orderkey", "l_linenumber", "l_partkey"])
+    return charts.scatter_points(t.lineitem, ["l_quantity", "l_extendedprice"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
 
 
 CORR = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -368,6 +371,39 @@ def default_chart(t):
     return charts.default_chart(df, semantic_profile(df))
 
 
+MEASURES = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query("d26_dashboard_values", "\nUNION ALL ".join([
+    "SELECT 'records' AS chart, 'total' AS label, CAST(count(*) AS DOUBLE) AS value FROM lineitem",
+    *[f"SELECT 'kpi', '{c}', {agg}({c}) FROM lineitem" for c, agg in
+      (("l_extendedprice", "avg"), ("l_orderkey", "sum"), ("l_partkey", "sum"), ("l_suppkey", "avg"))],
+    "SELECT 'target_by', l_returnflag, sum(l_orderkey) FROM lineitem GROUP BY 2",
+    "SELECT 'donut', l_returnflag, count(*) FROM lineitem GROUP BY 2",
+    "SELECT 'treemap', l_returnflag, sum(l_orderkey) FROM lineitem GROUP BY 2",
+    "SELECT 'target_by_second', l_linestatus, sum(l_orderkey) FROM lineitem GROUP BY 2",
+    "SELECT 'scatter_line', l_returnflag, regr_slope(l_partkey, l_orderkey) FROM lineitem GROUP BY 2",
+    "SELECT 'target_over_time', CAST(CAST(l_shipdate AS DATE) AS VARCHAR), sum(l_orderkey) FROM lineitem GROUP BY 2",
+    *[f"SELECT 'correlation', '{a}/{b}', round(corr({a}, {b}), 8) FROM lineitem" for a in MEASURES for b in MEASURES],
+]), approx="value", digits=6)
+def dashboard_values(t):
+    """The values of the charts of the whole dashboard of lineitem."""
+    made = dashboard(t.lineitem, ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"])
+    shown = {
+        "records": (F.lit("total"), "total_records"), "kpi": (F.col("column"), "value"),
+        "target_by": (F.col("l_returnflag"), "l_orderkey"), "donut": (F.col("l_returnflag"), "count"),
+        "treemap": (F.col("l_returnflag"), "l_orderkey"), "target_by_second": (F.col("l_linestatus"), "l_orderkey"),
+        "scatter_line": (F.col("l_returnflag"), "slope"),
+        "target_over_time": (F.col("l_shipdate").cast("date").cast("string"), "l_orderkey"),
+        "correlation": (F.concat("x", F.lit("/"), "y"), F.round("r", 8) + F.lit(0.0)),
+    }
+    parts = [
+        made[n].select(F.lit(n).alias("chart"), label.alias("label"), (F.col(v) if isinstance(v, str) else v).cast("double").alias("value"))
+        for n, (label, v) in shown.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("d26_dashboard", """
 WITH n AS (SELECT count(DISTINCT l_shipdate) AS days, count(DISTINCT l_returnflag) AS flags, count(DISTINCT l_linestatus) AS states FROM lineitem),
 h AS (""" + "\nUNION ALL ".join(

@@ -294,10 +294,19 @@ def best_portfolios(t):
     return finance.best_portfolios(finance.portfolio_search(mu, cov, ASSETS, grid_weights(t)))
 
 
-@query("f5_random_portfolios")
+DRAWS_SQL = "g AS (SELECT CAST(unnest(range(0, 3000)) AS BIGINT) AS set_id), u AS (SELECT set_id, " + ", ".join(
+    f"-ln((CAST(('0x' || substr(md5(concat_ws('-', set_id, {i}, 42)), 1, 12)) AS BIGINT) + 1) / 281474976710656.0) AS {a}"
+    for i, a in enumerate(ASSETS, 1)
+) + " FROM g), n AS (SELECT set_id, " + ", ".join(f"{a} / ({' + '.join(ASSETS)}) AS {a}" for a in ASSETS) + " FROM u)"
+
+
+@query("f5_random_portfolios", PORTFOLIO_SQL.replace(GRID_SQL, DRAWS_SQL) + (
+    "SELECT o.set_id, ret, vol, ret / vol AS sharpe, " + ", ".join(f"n.{a} AS w_{a}" for a in ASSETS) + " FROM o JOIN n ON o.set_id = n.set_id"
+), approx="ret vol sharpe " + " ".join(f"w_{a}" for a in ASSETS), digits=6)
 def random_portfolios(t):
     mu, cov = finance.return_stats(price_table(t), ["hour"], ASSETS)
-    return finance.portfolio_search(mu, cov, ASSETS, finance.random_weights(t.spark, len(ASSETS)))
+    found = finance.portfolio_search(mu, cov, ASSETS, finance.random_weights(t.spark, len(ASSETS)))
+    return found.select("set_id", "ret", "vol", "sharpe", *[F.col("weights")[i].alias(f"w_{a}") for i, a in enumerate(ASSETS)])
 
 
 @query("f6_ticker_summary", """

@@ -80,7 +80,8 @@ def test_random_portfolios_lie_on_the_simplex(spark, data):
     found = rows(spark, data, "f5_random_portfolios")
     assert len(found) == 3000
     for r in found:
-        assert abs(sum(r["weights"]) - 1) < 1e-9 and min(r["weights"]) >= 0 and r["vol"] > 0
+        weights = [r[c] for c in r.asDict() if c.startswith("w_")]
+        assert abs(sum(weights) - 1) < 1e-5 and min(weights) >= 0 and r["vol"] > 0
 
 
 def test_inertia_falls_with_k(spark, data):
