@@ -11,6 +11,7 @@ from quarrylens.llm.decontaminate import find_leaks
 from quarrylens.llm.license_scan import scan_licenses
 from quarrylens.llm.line_dedup import dedup_lines
 from quarrylens.llm.near_dedup import near_duplicates
+from quarrylens.llm.oracles import ORACLES  # noqa: F401
 from quarrylens.llm.packing import pack
 from quarrylens.llm.quality import quality
 from quarrylens.llm.scoring import score_documents
@@ -20,7 +21,6 @@ from quarrylens.llm.token_files import token_table
 from quarrylens.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(function):
