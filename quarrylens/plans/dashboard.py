@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -11,81 +11,101 @@ from quarrylens.operators.profiling import Profile, semantic_profile
 from quarrylens.session import string_columns
 
 
+class Charts(Mapping):
+    """Chart datasets by name; one that needs a job of its own to be planned runs it when it is first asked for."""
+
+    def __init__(self):
+        self._makers: dict[str, Callable[[], DataFrame]] = {}
+        self._made: dict[str, DataFrame] = {}
+
+    def add(self, name: str, make: Callable[..., DataFrame], *args, **options) -> None:
+        self._makers[name] = lambda: make(*args, **options)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self):
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 def dashboard(
     df: DataFrame,
     order_by: Sequence[str],
     profile: Profile | None = None,
     max_histograms: int | None = None,
     max_counts: int | None = None,
-) -> dict[str, DataFrame]:
+) -> Charts:
     """Name -> chart dataset. ``max_histograms`` and ``max_counts`` limit the columns charted one by one.
 
-    ``order_by`` is the row order that trend and price charts refer to. Each chart
-    reads only the columns it needs; cache ``df`` before the call when it is small or
-    expensive to derive.
+    ``order_by`` is the row order that trend and price charts refer to. Each chart reads
+    only the columns it needs; store ``df`` before the call when it is expensive to derive.
+    Building the plan reads the profile and, for text columns, the share of country names.
     """
     profile = profile if profile is not None else semantic_profile(df)
-    source = df
-    out = {"records": charts.record_count(source)}
+    out = Charts()
+    out.add("records", charts.record_count, df)
     measures, binaries = profile.role("measure"), profile.role("binary")
-    entities, dimensions = profile.role("entity"), profile.role("dimension")
+    dimensions = profile.role("dimension")
     times = profile.role("year_col") + profile.role("temporal")
-    groups = entities + dimensions
+    groups = profile.role("entity") + dimensions
     if not measures:
-        return out | _count_charts(source, groups[:max_counts], times)
+        _count_charts(out, df, groups[:max_counts], times)
+        return out
 
     kpis = charts.kpi_columns(profile)
     rules = {c: "rate" if c in binaries else profile.rule(c) for c in kpis}
-    out["kpi"] = charts.format_kpi(charts.kpi(source, rules), kpis)
-    out["kpi_trend"] = charts.kpi_trend(source, kpis, order_by)
+    out.add("kpi", lambda: charts.format_kpi(charts.kpi(df, rules), kpis))
+    out.add("kpi_trend", charts.kpi_trend, df, kpis, order_by)
     target, binary = charts.find_target(profile)
     rule = "rate" if binary else profile.rule(target)
     prices = charts.price_columns(df)
     if prices and times and len(prices) == 4:
-        t = times[0]
         bars = [prices[k] for k in ("open", "high", "low", "close")]
-        out["ohlc"] = charts.ohlc_weekly(source, t, *bars, tie=order_by)
-        out["moving_avg"] = charts.moving_avg(source, order_by, prices["close"])
-        out["returns"] = charts.returns(source, order_by, prices["close"])
+        out.add("ohlc", charts.ohlc_weekly, df, times[0], *bars, tie=order_by)
+        out.add("moving_avg", charts.moving_avg, df, order_by, prices["close"])
+        out.add("returns", charts.returns, df, order_by, prices["close"])
         volume = next((c for c in df.columns if c.lower() == "volume"), None)
         if volume:
-            out["volume"] = charts.monthly_sum(source, t, volume)
+            out.add("volume", charts.monthly_sum, df, times[0], volume)
     elif times:
-        out["target_over_time"] = charts.target_over_time(source, times[0], target, rule)
+        out.add("target_over_time", charts.target_over_time, df, times[0], target, rule)
     if groups:
-        out["target_by"] = charts.target_by(source, groups[0], target, rule)
-        out["donut"] = charts.value_counts(source, groups[0], 8)
-        out["treemap"] = charts.treemap(source, groups[0], measures[0])
+        out.add("target_by", charts.target_by, df, groups[0], target, rule)
+        out.add("donut", charts.value_counts, df, groups[0], 8)
+        out.add("treemap", charts.treemap, df, groups[0], measures[0])
     if len(groups) > 1:
-        out["target_by_second"] = charts.target_by(source, groups[1], target, rule)
+        out.add("target_by_second", charts.target_by, df, groups[1], target, rule)
     others = [m for m in measures if m != target]
     if others and (not binary or len(others) > 1):
         x, y = (others[0], others[1]) if binary else (target, others[0])
-        out["scatter_line"] = charts.scatter_ols(source, x, y, groups[0] if groups else None)
+        out.add("scatter_line", charts.scatter_ols, df, x, y, groups[0] if groups else None)
     if len(measures) >= 3:
-        out["correlation"] = charts.corr_matrix(source, measures)
+        out.add("correlation", charts.corr_matrix, df, measures)
     if profile.role("temporal"):
-        out["waterfall"] = charts.waterfall(source, profile.role("temporal")[0], measures[0])
-    country = charts.country_column(source, string_columns(df))
+        out.add("waterfall", charts.waterfall, df, profile.role("temporal")[0], measures[0])
+    country = charts.country_column(df, string_columns(df))
     if country:
-        out["by_country"] = charts.by_country(source, country, measures[0])
+        out.add("by_country", charts.by_country, df, country, measures[0])
     place = charts.coordinate_columns(df)
     if place:
-        out["geo_points"] = charts.geo_points(source, *place, key=order_by)
-    out["histograms"] = charts.histogram(source, measures[:max_histograms])
+        out.add("geo_points", charts.geo_points, df, *place, key=order_by)
+    out.add("histograms", charts.histogram, df, measures[:max_histograms])
     return out
 
 
-def _count_charts(source: DataFrame, groups: list[str], times: list[str]) -> dict[str, DataFrame]:
+def _count_charts(out: Charts, df: DataFrame, groups: list[str], times: list[str]) -> None:
     """Tables without a measure are charted by counts."""
-    out = {}
     if groups:
-        out["top_values"] = charts.top_values(source, groups)
-        out["donut"] = charts.value_counts(source, groups[0], 8)
+        out.add("top_values", charts.top_values, df, groups)
+        out.add("donut", charts.value_counts, df, groups[0], 8)
     for c in groups:
-        out[f"counts_{c}"] = charts.value_counts(source, c)
+        out.add(f"counts_{c}", charts.value_counts, df, c)
     if times:
-        out["monthly_counts"] = charts.monthly_counts(source, times[0])
+        out.add("monthly_counts", charts.monthly_counts, df, times[0])
     if len(groups) > 1:
-        out["crosstab"] = charts.crosstab(source, groups[0], groups[1])
-    return out
+        out.add("crosstab", charts.crosstab, df, groups[0], groups[1])
