@@ -1,6 +1,7 @@
 """Edge cases: empty, constant, all-missing, thresholds, ties, odd names."""
 
 import math
+import os
 import subprocess
 import sys
 
@@ -300,6 +301,13 @@ def test_tails_take_arrays_and_report_no_convergence(monkeypatch):
         tails.t_two_sided(2.0, 1000.0)
 
 
+def test_queries_are_listed_without_a_session():
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 150 and set(e.oracle_sql()) <= set(e.queries())"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+
+
 def test_udf_helpers_travel_by_value(tmp_path):
     code = "import pickle, sys; print(pickle.load(open(sys.argv[1], 'rb'))(3.0, 2.0, 20.0))"
     path = tmp_path / "f.pkl"
