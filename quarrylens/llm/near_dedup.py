@@ -9,16 +9,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import id_and_text, slices
+from quarrylens.llm.common import id_and_text, slices, small
 from quarrylens.llm.components import components
 from quarrylens.llm.shingles import MinHash, shingle_set
 from quarrylens.session import materialize
 
 BANDS, ROWS, BITS = 32, 4, 4
+MINIMA = 384
 #: Estimates this far below the threshold are still verified: about four standard errors.
-MARGIN = 0.16
+MARGIN = 0.085
 SALTS = 16
-TILE = 1024
+#: Shingles of the members that one side of a tile holds, about; a member counts as so many more.
+PART_SHINGLES, MEMBER_COST = 1 << 20, 256
 SIGNATURES = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, sig array<bigint>, bands array<bigint>"
 
 
@@ -32,7 +34,7 @@ def signatures(rows: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        tool = MinHash(BANDS, ROWS, BITS)
+        tool = MinHash(BANDS, ROWS, MINIMA, BITS)
         for part in slices(batches):
             counts, prints, sigs, bands = [], [], [], []
             for text in part.column("text").to_pylist():
@@ -54,7 +56,7 @@ def signatures(rows: DataFrame, size: int) -> DataFrame:
 
 def estimate(a: str, b: str) -> Column:
     """Similarity from the equal b-bit minima, less the share that is equal by chance."""
-    total = BANDS * ROWS
+    total = MINIMA
     differing = F.lit(0)
     ones = sum(1 << (BITS * i) for i in range(64 // BITS))
     ones = ones - (1 << 64) if ones >= 1 << 63 else ones
@@ -79,14 +81,21 @@ def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those pairs for which 100 * intersection >= percent * union, on the full sets."""
+def shingle_rows(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(doc_id, members): the full sets, as sorted unsigned 64-bit integers, of the given ids."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             found = [shingle_set(t, size).tobytes() for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "members"])
 
+    ids = small(materialize(ids.distinct()), 16)
+    return rows.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id bigint, members binary")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those pairs for which 100 * intersection >= percent * union, on the full sets."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
@@ -97,44 +106,75 @@ def verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> Data
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     pairs = materialize(pairs)
-    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    full = materialize(rows.join(needed, "doc_id", "left_semi").mapInArrow(sets, "doc_id bigint, members binary"))
+    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    full = materialize(shingle_rows(rows, needed, size))
     joined = pairs.join(full.toDF("a", "set_a"), "a").join(full.toDF("b", "set_b"), "b")
     return materialize(joined.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a bigint, b bigint").distinct())
 
 
-def bucket_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of the same bucket but different components whose estimate does not rule them out.
+def unsettled_links(
+    buckets: DataFrame, labels: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int
+) -> DataFrame:
+    """Links between components in the buckets that still hold several.
 
-    A bucket is cut into parts of about TILE members, and each pair of parts is one group.
+    The members of these buckets are dealt into parts by their largest bucket, a part
+    being as large as a task can hold, and every two parts that meet in a bucket are one
+    group. There, members of different components whose estimate does not rule them out
+    are compared on their full sets, likeliest first; a link joins their components for
+    the rest of the group. Only links leave a group.
     """
+    labelled = (
+        buckets.where("members > 2")  # a bucket of two is settled by its one pair
+        .join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+        .select("band", "rep", "members", F.coalesce("component", "rep").alias("label"))
+    )
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
+    members = materialize(labelled.join(mixed, "band", "left_semi"))
+    home = members.groupBy("rep", "label").agg(F.max(F.struct("members", "band")).alias("h")).select("rep", "label", F.col("h.band").alias("home"))
+    known = materialize(home.join(classes.select("rep", "n_shingles", "sig"), "rep"))
+    parts = known.groupBy("home").agg(F.ceil(F.sum(F.col("n_shingles") + MEMBER_COST) / PART_SHINGLES).alias("parts"))
+    sets = shingle_rows(rows, known.select(F.col("rep").alias("doc_id")), size).withColumnRenamed("doc_id", "rep")
+    part = F.xxhash64("home", F.pmod(F.xxhash64("rep"), "parts")).alias("part")
+    placed = materialize(known.join(parts, "home").join(sets, "rep").select("rep", "label", "sig", "members", part))
+    meeting = members.join(placed.select("rep", "part"), "rep").select("band", "part").distinct()
+    tiles = meeting.join(meeting.withColumnRenamed("part", "other"), "band").where("part <= other")
+    tiles = materialize(tiles.select(F.col("part").alias("i"), F.col("other").alias("j")).distinct())
+    columns = ["i", "j", "side", "rep", "label", "sig", "members"]
+    sides = [
+        tiles.join(placed, F.col(end) == F.col("part")).withColumn("side", F.lit(side)).select(*columns)
+        for side, end in ((0, "i"), (1, "j"))
+    ]
+    chance, least = 2.0**-BITS, percent / 100 - MARGIN
 
     def compare(group: pa.Table) -> pa.Table:
-        sides = []
+        reps, names, digits, members = [], [], [], []
         for side in (0, 1):
-            rows = group.filter(pa.compute.equal(group["side"], side))
-            sig = np.array(rows["sig"].to_pylist(), np.int64).reshape(rows.num_rows, -1)
-            sides.append((rows["rep"].to_numpy(), rows["label"].to_numpy(), sig.view(np.uint8).reshape(len(sig), -1)))
-        (a, la, sa), (b, lb, sb) = sides
-        nibbles = [np.stack([s & 15, s >> 4], axis=2).reshape(len(s), -1) for s in (sa, sb)]
-        total, chance = BANDS * ROWS, 2.0**-BITS
+            part = group.filter(pa.compute.equal(group["side"], side)).combine_chunks()
+            sig = part["sig"].combine_chunks().flatten().to_numpy().reshape(part.num_rows, -1).view(np.uint8)
+            digits.append(np.concatenate([sig & 15, sig >> 4], axis=1))
+            reps.append(part["rep"].to_numpy())
+            names.append(part["label"].to_numpy().copy())
+            members.append([np.frombuffer(x.as_buffer(), np.uint64) for x in part["members"]])
+        counts = np.array([len(x) for x in members[1]])
         left, right = [], []
-        for i in range(len(a)):
-            equal = (nibbles[1] == nibbles[0][i]).sum(axis=1)
-            close = (equal / total - chance) / (1 - chance) >= threshold - MARGIN
-            hit = np.flatnonzero(close & (lb != la[i]))
-            left += [a[i]] * len(hit)
-            right += b[hit].tolist()
+        for i, mine in enumerate(members[0]):
+            fits = 100 * np.minimum(counts, len(mine)) >= percent * np.maximum(counts, len(mine))
+            at = np.flatnonzero(fits & (names[1] != names[0][i]))
+            similar = ((digits[1][at] == digits[0][i]).mean(axis=1) - chance) / (1 - chance)
+            for j in at[np.argsort(-similar, kind="stable")[: int((similar >= least).sum())]]:
+                a, b = names[0][i], names[1][j]
+                if a == b:
+                    continue
+                shared = len(np.intersect1d(mine, members[1][j], assume_unique=True))
+                if 100 * shared >= percent * (len(mine) + counts[j] - shared):
+                    left.append(reps[0][i])
+                    right.append(reps[1][j])
+                    for side in names:
+                        side[side == b] = a
         lo, hi = np.minimum(left, right), np.maximum(left, right)
         return pa.table({"a": pa.array(lo, pa.int64()), "b": pa.array(hi, pa.int64())})
 
-    sizes = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts"))
-    placed = members.join(sizes, "band").withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
-    first = placed.withColumn("other", F.explode(F.sequence("part", F.col("parts") - 1))).select(
-        "band", F.col("part").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "rep", "label", "sig")
-    second = placed.withColumn("other", F.explode(F.sequence(F.lit(0), "part"))).select(
-        "band", F.col("other").alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"), "rep", "label", "sig")
-    return first.unionByName(second).groupBy("band", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+    return materialize(sides[0].unionByName(sides[1]).groupBy("i", "j").applyInArrow(compare, "a bigint, b bigint").distinct())
 
 
 def near_duplicates(
@@ -151,10 +191,11 @@ def near_duplicates(
     its smallest id, which is the one kept.
 
     Rows with equal sets are one class. Classes meet in bands of ROWS minima. First every
-    member of a bucket is compared with the bucket's smallest id: packed low bits of the
-    minima give an estimate corrected for chance, and what it does not rule out is
-    verified on the full sets. After the components of these links are known, buckets
-    that still hold several compare all their members across components, in tiles.
+    member of a bucket is compared with the member that shares most buckets with others:
+    packed low bits of the minima give an estimate corrected for chance, and what it does
+    not rule out is verified on the full sets. In buckets that still hold several
+    components, members of different ones are compared in parts of bounded size; pairs
+    inside a component are never needed.
     Pairs at the threshold miss every band with a probability below 1e-7.
 
     A null text, or one without words, has an empty set and is linked with nothing. A
@@ -168,36 +209,25 @@ def near_duplicates(
     linkable = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = materialize(
         linkable.groupBy("f1", "f2")
-        .agg(F.min(F.struct("doc_id", "sig", "bands")).alias("least"))
-        .select("f1", "f2", F.col("least.doc_id").alias("rep"), "least.sig", "least.bands")
+        .agg(F.min(F.struct("doc_id", "n_shingles", "sig", "bands")).alias("least"))
+        .select("f1", "f2", F.col("least.doc_id").alias("rep"), "least.n_shingles", "least.sig", "least.bands")
     )
     exploded = classes.select("rep", F.explode("bands").alias("band"))
-    shared = materialize(
-        exploded.groupBy("band").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = materialize(exploded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    buckets = materialize(exploded.join(shared, "band"))
+    popular = buckets.groupBy("rep").agg(F.sum("members").alias("popularity"))
+    middle = (
+        buckets.join(popular, "rep").groupBy("band")
+        .agg(F.max(F.struct("popularity", "rep")).alias("top")).select("band", F.col("top.rep").alias("pivot"))
+        .withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    salted = shared.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    buckets = materialize(
-        exploded.withColumn("s", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
-        .join(salted, ["band", "s"])
-        .select("band", "rep", "pivot", "members")
-    )
-    pairs = buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = buckets.withColumn("s", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(middle, ["band", "s"])
+    pairs = stars.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     links = verified(likely(pairs, classes, threshold), rows, size, percent)
     labels = materialize(components(links))
-
-    # a bucket of two is settled by its one pair
-    labelled = (
-        buckets.where("members > 2")
-        .join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("band", "rep", F.coalesce("component", "rep").alias("label"))
-    )
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    open_members = materialize(labelled.join(mixed, "band", "left_semi").join(classes.select("rep", "sig"), "rep"))
-    if not open_members.isEmpty():
-        more = bucket_pairs(open_members, threshold).join(links, ["a", "b"], "left_anti")
-        more = verified(more, rows, size, percent)
-        if not more.isEmpty():
-            labels = materialize(components(links.unionByName(more)))
+    more = unsettled_links(buckets, labels, classes, rows, size, percent)
+    if not more.isEmpty():
+        labels = materialize(components(links.unionByName(more)))
 
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "f1", "f2", F.coalesce("component", "rep").alias("component_id")

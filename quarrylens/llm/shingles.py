@@ -33,26 +33,26 @@ def shingle_set(text: str, size: int) -> np.ndarray:
 
 
 class MinHash:
-    """``bands`` * ``rows`` minimum hashes, their band keys, and their low bits packed in longs."""
+    """``total`` minimum hashes, the band keys of the first ``bands`` * ``rows``, and the low bits of all, packed in longs."""
 
-    def __init__(self, bands: int, rows: int, bits: int, seed: int = 20):
+    def __init__(self, bands: int, rows: int, total: int, bits: int, seed: int = 20):
         random = np.random.default_rng(seed)
         self.bands, self.rows, self.bits = bands, rows, bits
-        self.factors = random.integers(0, 2**63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.offsets = random.integers(0, 2**63, bands * rows, np.uint64)
+        self.factors = random.integers(0, 2**63, total, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.offsets = random.integers(0, 2**63, total, np.uint64)
         self.salts = random.integers(0, 2**63, bands, np.uint64)
 
     def minima(self, hashes: np.ndarray) -> np.ndarray:
         """The smallest value of each hash function; long sets are read in blocks."""
         out = np.full(len(self.factors), np.iinfo(np.uint64).max, np.uint64)
-        for i in range(0, len(hashes), 1024):
-            block = hashes[i : i + 1024, None] * self.factors + self.offsets
+        for i in range(0, len(hashes), 256):
+            block = hashes[i : i + 256, None] * self.factors + self.offsets
             out = np.minimum(out, block.min(axis=0))
         return out
 
     def band_keys(self, minima: np.ndarray) -> np.ndarray:
         key = self.salts.copy()
-        for column in minima.reshape(self.bands, self.rows).T:
+        for column in minima[: self.bands * self.rows].reshape(self.bands, self.rows).T:
             key = mixed(key + column)
         return key.view(np.int64)
 
