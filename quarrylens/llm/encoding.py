@@ -11,7 +11,7 @@ import pyarrow.compute  # noqa: F401
 
 from quarrylens.llm.common import per_worker, tokenizer_path
 
-KEPT_CHUNKS = 800_000
+KEPT_CHUNKS = 1_000_000
 LONG_CHUNK = 64
 BARE = "\0"
 #: Punctuation after a letter is a token boundary for the pattern; words share what precedes it.
@@ -33,6 +33,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.size = self.tokenizer.get_vocab_size()
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         before = spec.get("pre_tokenizer") or {}
@@ -43,12 +44,13 @@ class Encoder:
             and not before.get("add_prefix_space")
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in spec["added_tokens"])
         )
+        self.sizes = np.zeros(self.size, np.int64)  # bytes of each token, for a byte-level tokenizer
+        for name, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.sizes[i] = len(name)
+        for token in spec["added_tokens"]:
+            self.sizes[token["id"]] = len(token["content"].encode())
         self.known: dict[str, bytes] = {}
 
-    @property
-    def size(self) -> int:
-        return self.tokenizer.get_vocab_size()
-
     def _library(self, texts: list[str]) -> list[bytes]:
         from array import array
 
@@ -61,15 +63,20 @@ class Encoder:
         if not holes:
             return out
         missing = [keys[i] for i in holes]
-        # one call with all of them as the words of one input; every token names its word
-        found = self.tokenizer.encode([k[1:] if k[:1] == BARE else " " + k for k in missing], is_pretokenized=True, add_special_tokens=False)
-        tokens = np.array(found.ids, "<u4").tobytes()
-        cuts = (np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(missing))) * 4).tolist()
-        new = [tokens[i:j] for i, j in zip([0, *cuts], cuts)]
+        # one call with all of them as the words of one input; a byte-level token stands for
+        # as many bytes as its name has characters, which tells where each word ends
+        words = [k[1:] if k[:1] == BARE else " " + k for k in missing]
+        found = self.tokenizer.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0]
+        ids = np.array(found.ids, "<u4")
+        ends = np.cumsum(pa.compute.binary_length(pa.array(words)).to_numpy(), dtype=np.int64)
+        cuts = np.searchsorted(np.r_[0, np.cumsum(self.sizes[ids])], ends).tolist()
+        tokens = ids.tobytes()
+        new = [tokens[4 * i : 4 * j] for i, j in zip([0, *cuts], cuts)]
         for i, ids in zip(holes, new):
             out[i] = ids
         if len(self.known) + len(new) > KEPT_CHUNKS:
-            self.known = {}
+            # start again from this slice, which has the frequent ones
+            self.known, missing, new = {}, keys, out
         self.known.update((k, ids) for k, ids in zip(missing, new) if len(k) <= LONG_CHUNK)
         return out
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.llm.common import id_and_text, slices
 from quarrylens.llm.encoding import encoder
-from quarrylens.session import scratch_root
+from quarrylens.session import scratch_folder
 
 BLOCK = 4096
 SEGMENT_TOKENS = 1 << 19
@@ -43,7 +43,10 @@ def pack_bits(ids: np.ndarray, width: int) -> tuple[bytes, list[int]]:
     parts, offsets = [], [0]
     for i in range(0, len(ids), BLOCK):
         rows = ids[i : i + BLOCK].astype(">u4").view(np.uint8).reshape(-1, 4)
-        parts.append(np.packbits(np.unpackbits(rows, axis=1)[:, 32 - width :]).tobytes())
+        if width % 8:
+            parts.append(np.packbits(np.unpackbits(rows, axis=1)[:, 32 - width :]).tobytes())
+        else:  # whole bytes
+            parts.append(rows[:, 4 - width // 8 :].tobytes())
         offsets.append(offsets[-1] + len(parts[-1]))
     return b"".join(parts), offsets
 
@@ -55,11 +58,16 @@ def unpack(payload: bytes, width: int, offsets, start: int, stop: int) -> np.nda
     first, last = start // BLOCK, (stop - 1) // BLOCK
     out = []
     for b in range(first, last + 1):
-        bits = np.unpackbits(np.frombuffer(payload, np.uint8, offsets[b + 1] - offsets[b], offsets[b]))
-        n = len(bits) // width
-        rows = np.zeros((n, 32), np.uint8)
-        rows[:, 32 - width :] = bits[: n * width].reshape(n, width)
-        out.append(np.packbits(rows, axis=1).view(">u4").ravel().astype("<u4"))
+        data = np.frombuffer(payload, np.uint8, offsets[b + 1] - offsets[b], offsets[b])
+        n = len(data) * 8 // width
+        if width % 8:
+            rows = np.zeros((n, 32), np.uint8)
+            rows[:, 32 - width :] = np.unpackbits(data)[: n * width].reshape(n, width)
+            rows = np.packbits(rows, axis=1)
+        else:  # whole bytes
+            rows = np.zeros((n, 4), np.uint8)
+            rows[:, 4 - width // 8 :] = data.reshape(n, width // 8)
+        out.append(rows.view(">u4").ravel().astype("<u4"))
     # the last block may end in less than a byte of filling, never a whole id of it
     ids = np.concatenate(out)
     return ids[start - first * BLOCK : stop - first * BLOCK]
@@ -154,6 +162,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def token_table(docs: DataFrame, **options) -> DataFrame:
     """Write ``docs`` as a token table in the shared folder and read it back."""
     spark = docs.sparkSession
-    path = f"{scratch_root(spark)}/quarrylens/tokens-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, **options)
     return read_tokens(spark, path)
