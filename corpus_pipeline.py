@@ -13,7 +13,7 @@ from quarrylens.llm.line_dedup import dedup_lines
 from quarrylens.llm.near_dedup import near_duplicates
 from quarrylens.llm.packing import pack
 from quarrylens.llm.quality import keep_good
-from quarrylens.session import materialize, scratch_root, table
+from quarrylens.session import materialize, scratch_folder, table
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{scratch_root(spark)}/quarrylens/pipeline-{uuid.uuid4().hex}"
+    folder = f"{scratch_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
