@@ -214,7 +214,7 @@ def near_duplicates(
     )
     exploded = classes.select("rep", F.explode("bands").alias("band"))
     shared = materialize(exploded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
-    buckets = materialize(exploded.join(shared, "band"))
+    buckets = materialize(exploded.join(small(shared, 16), "band"))
     popular = buckets.groupBy("rep").agg(F.sum("members").alias("popularity"))
     middle = (
         buckets.join(popular, "rep").groupBy("band")
