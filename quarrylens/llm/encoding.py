@@ -28,7 +28,8 @@ class Encoder:
     tokenizer, goes to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_chunks: int = KEPT_CHUNKS):
+        self.kept_chunks = kept_chunks
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -74,7 +75,7 @@ class Encoder:
         new = [tokens[4 * i : 4 * j] for i, j in zip([0, *cuts], cuts)]
         for i, ids in zip(holes, new):
             out[i] = ids
-        if len(self.known) + len(new) > KEPT_CHUNKS:
+        if len(self.known) + len(new) > self.kept_chunks:
             # start again from this slice, which has the frequent ones
             self.known, missing, new = {}, keys, out
         self.known.update((k, ids) for k, ids in zip(missing, new) if len(k) <= LONG_CHUNK)
@@ -141,7 +142,7 @@ class Encoder:
         return out
 
 
-def encoder(name: str) -> Encoder:
+def encoder(name: str, kept_chunks: int = KEPT_CHUNKS) -> Encoder:
     """The encoder of an installed tokenizer file (or of a path), one per Python worker."""
     path = name if os.path.isabs(name) else tokenizer_path(name)
-    return per_worker(("encoder", path), lambda: Encoder(path))
+    return per_worker(("encoder", path, kept_chunks), lambda: Encoder(path, kept_chunks))

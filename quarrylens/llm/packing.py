@@ -17,7 +17,8 @@ ARROW = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
      ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 )
-GROUP_TOKENS = 1 << 21
+GROUP_TOKENS = 1 << 20
+KEPT_CHUNKS = 300_000  # a worker also holds a group of tokens, and stays while other stages run
 #: monotonically_increasing_id(): partition number above, sequence number below.
 SLOT_BITS = 33
 
@@ -96,7 +97,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, KEPT_CHUNKS).encode
         end = np.array([end_id], "<u4").tobytes()
         first = TaskContext.get().partitionId() << SLOT_BITS
 
