@@ -292,11 +292,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_
     left = found.where("NOT settled AND open").groupBy("doc").agg(F.collect_list(packed("low", F.col("n"))).alias("stretches"))
     left = materialize(left)
 
-    positions = position_rows(single.join(small(left, 160), "doc"), length)
+    positions = position_rows(single.join(small(left, 160, BROADCAST), "doc"), length)
     ranks = positions.groupBy("rank", "check").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     ranks = materialize(ranks.select("rank", "check", "first"))
-    again = positions.join(small(ranks, 32, BROADCAST), ["rank", "check"]).where(later)
+    again = positions.join(ranks, ["rank", "check"]).where(later)
     marks = settled.unionByName(again.select("doc", packed("place", F.lit(length)).alias("mark")))
     marks = materialize(marks.groupBy("doc").agg(F.collect_list("mark").alias("marks")))
-    marked = rows.join(marks, "doc", "left").join(small(copies.withColumn("copy", F.lit(True)), 16), "doc", "left")
+    # only texts with something to remove meet their marks
+    touched = small(marks.select("doc"), 16)
+    marked = rows.join(touched, "doc", "left_semi").join(marks, "doc").unionByName(
+        rows.join(touched, "doc", "left_anti").withColumn("marks", F.lit(None).cast("array<bigint>"))
+    )
+    marked = marked.join(small(copies.withColumn("copy", F.lit(True)), 16), "doc", "left")
     return cut(marked.select("doc_id", "text", "marks", "copy"), length)
