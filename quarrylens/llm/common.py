@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 from collections.abc import Callable, Iterable, Iterator
 
@@ -42,11 +44,19 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def per_worker(key: tuple, make: Callable):
-    """An object that one Python worker builds once and keeps across tasks."""
+    """An object that one Python worker builds once and keeps across tasks, one for each first part of a key."""
     kept = sys.__dict__.setdefault("_quarrylens_kept", {})
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if key[0] not in kept or kept[key[0]][0] != key:
+        kept.pop(key[0], None)
+        kept[key[0]] = (key, make())
+    return kept[key[0]][1]
+
+
+def release() -> None:
+    """Give freed memory back: a Python worker stays while stages without Python run."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library that has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -61,6 +71,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             held += size
         if start < len(sizes):
             yield batch.slice(start)
+    release()
 
 
 BROADCAST_BYTES = 16 << 20

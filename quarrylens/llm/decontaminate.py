@@ -22,10 +22,10 @@ CHARS_PER_EDIT = 13
 MIN_CHARS = 40
 #: Benchmark text that one pass over the documents looks for.
 BLOCK_BYTES = 1 << 20
-SLICE = 2 << 20
+SLICE = 1 << 20
 GAP = 0x110000  # no character
 BITS = 22
-HITS = 1 << 20
+HITS = 1 << 18
 SCHEMA = "doc_id bigint, item_id bigint, probes int, probes_found int, start bigint, stop bigint, edits int, matched string"
 
 
