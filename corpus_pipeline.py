@@ -27,9 +27,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts less their duplicate lines; a document that loses all its lines goes."""
+    """Texts less their duplicate lines, compared in every character; a document that loses all its lines goes."""
     lines, dropped = fresh(docs, "lines"), fresh(docs, "dropped_lines")
-    found = dedup_lines(docs, lines_column=lines, dropped_column=dropped)
+    found = dedup_lines(docs, lines_column=lines, dropped_column=dropped, every_place=True)
     found = found.where((F.col(lines) == 0) | (F.col(dropped) < F.col(lines)))
     if "n_chars" in found.columns:
         found = found.withColumn("n_chars", F.char_length("text").cast(found.schema["n_chars"].dataType))
