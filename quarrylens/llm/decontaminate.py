@@ -17,15 +17,23 @@ from quarrylens.session import quoted
 Q = 8
 #: A benchmark text is looked for in probes of this many characters, each starting half a probe after the last.
 PROBE = 120
-#: Characters of a probe for one edit: 9 edits in a whole probe.
+#: And in short probes of PART characters, each starting STRIDE after the last: PART + STRIDE - 1 characters hold one.
+PART, STRIDE = 60, 4
+#: Characters of a probe for one edit: 9 edits in a whole probe, 4 in a short one.
 CHARS_PER_EDIT = 13
+#: Shorter texts are looked for exactly.
 MIN_CHARS = 40
+#: Scripts without spaces between words: every place is a border.
+UNSPACED = [(0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3040, 0x3100), (0x3400, 0xA000), (0xF900, 0xFB00), (0x20000, 0x40000)]
 #: Benchmark text that one pass over the documents looks for.
 BLOCK_BYTES = 1 << 20
 SLICE = 1 << 20
 GAP = 0x110000  # no character
 BITS = 22
 HITS = 1 << 18
+#: Regions that are aligned at a time.
+ALIGNED = 1 << 14
+FACTOR = 0xC2B2AE3D27D4EB4F
 SCHEMA = "doc_id bigint, item_id bigint, probes int, probes_found int, start bigint, stop bigint, edits int, matched string"
 
 
@@ -45,78 +53,118 @@ def gram_hashes(codes: np.ndarray) -> np.ndarray:
     return h
 
 
-class Probes:
-    """The probes of a block of benchmark texts and an index of their q-grams."""
+class Texts:
+    """Benchmark texts of MIN_CHARS characters or more, and an index of their q-grams."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items, codes = [], []
-        self.per_item: dict[int, int] = {}
-        for item, text in items:
-            whole = codes_of(text or "")
-            if len(whole) < MIN_CHARS:
-                continue
-            starts = list(range(0, max(1, len(whole) - PROBE + 1), PROBE // 2))
-            if starts[-1] + PROBE < len(whole):
-                starts.append(len(whole) - PROBE)
-            for s in starts:
-                self.items.append(item)
-                codes.append(whole[s : s + PROBE])
-            self.per_item[item] = self.per_item.get(item, 0) + len(starts)
-        sizes = np.array([len(c) for c in codes], np.int64)
-        self.sizes, self.edits = sizes, sizes // CHARS_PER_EDIT
-        # the q-gram lemma: a match with so many edits shares at least so many q-grams
-        self.least = sizes - Q + 1 - self.edits * Q
-        self.band = int(self.edits.max(initial=0)) + 1
-        self.grid = np.full((len(codes), PROBE), GAP + 1, np.uint32)
-        hashes, probes, places = [], [], []
-        for p, c in enumerate(codes):
-            self.grid[p, : len(c)] = c
-            h = gram_hashes(c)
-            hashes.append(h)
-            probes.append(np.full(len(h), p, np.int64))
-            places.append(np.arange(len(h)))
-        join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-        hashes, probes, places = join(hashes, np.uint64), join(probes, np.int64), join(places, np.int64)
+    def __init__(self, items: list[tuple[int, np.ndarray]]):
+        items = [(item, whole) for item, whole in items if len(whole) >= MIN_CHARS]
+        self.items = [item for item, _ in items]
+        self.sizes = np.array([len(whole) for _, whole in items], np.int64)
+        self.codes = np.concatenate([np.empty(0, np.uint32), *(whole for _, whole in items)])
+        self.base = np.cumsum(self.sizes) - self.sizes
+        self.longest = int(self.sizes.max(initial=0))
+        hashes = np.concatenate([np.empty(0, np.uint64), *(gram_hashes(whole) for _, whole in items)])
+        grams = self.sizes - Q + 1
+        places = np.arange(len(hashes)) - np.repeat(np.cumsum(grams) - grams, grams)
         order = np.argsort(hashes, kind="stable")
-        self.probes, self.places = probes[order], places[order]
+        self.texts, self.places = np.repeat(np.arange(len(items)), grams)[order], places[order]
         self.grams, self.first, self.many = np.unique(hashes[order], return_index=True, return_counts=True)
         self.maybe = np.zeros(1 << BITS, bool)
         self.maybe[self.grams >> np.uint64(64 - BITS)] = True
 
-    def regions(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(probe, band) pairs whose q-gram count reaches the probe's bound.
-
-        Band b covers the diagonals from b to b + 2 widths, so that neighbours overlap and
-        the diagonals of any match lie in one of them.
-        """
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of q-grams that a benchmark text has, and which they are."""
         h = gram_hashes(codes)
         at = np.flatnonzero(self.maybe[h >> np.uint64(64 - BITS)])
         gram = np.minimum(np.searchsorted(self.grams, h[at]), len(self.grams) - 1)
         same = self.grams[gram] == h[at]
-        at, gram = at[same], gram[same]
-        many = self.many[gram]
+        return at[same], gram[same]
+
+
+class Probes:
+    """Probes of ``size`` characters that start every ``stride`` of a text; ``whole``: also the texts that are shorter."""
+
+    def __init__(self, texts: Texts, size: int, stride: int, whole: bool):
+        self.known = texts
+        owners, starts = [], []
+        for t, n in enumerate(texts.sizes.tolist()):
+            if n <= size and not whole:
+                continue
+            of_text = list(range(0, max(1, n - size + 1), stride))
+            if of_text[-1] + size < n:
+                of_text.append(n - size)
+            owners += [t] * len(of_text)
+            starts += of_text
+        self.owners, self.starts = np.array(owners, np.int64), np.array(starts, np.int64)
+        self.sizes = np.minimum(texts.sizes[self.owners], size)
+        self.edits = self.sizes // CHARS_PER_EDIT
+        # the q-gram lemma: a match with so many edits shares at least so many q-grams
+        self.least = self.sizes - Q + 1 - self.edits * Q
+        self.least_of_text = np.full(len(texts.sizes), np.iinfo(np.int64).max)
+        np.minimum.at(self.least_of_text, self.owners, self.least)
+        self.band = int(self.edits.max(initial=0)) + 1
+        # the probes that hold an indexed q-gram lie next to each other
+        order, low = self.owners * (texts.longest + 1) + self.starts, texts.texts * (texts.longest + 1)
+        self.first = np.searchsorted(order, low + np.maximum(texts.places + Q - size, 0))
+        self.many = np.searchsorted(order, low + texts.places, side="right") - self.first
+
+    def regions(self, at: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(probe, diagonal) pairs whose q-gram count reaches the probe's bound.
+
+        Band b covers the diagonals from b to b + 2 widths, so that neighbours overlap and
+        the diagonals of any match lie in one of them. Whole texts are counted first; only
+        the bands in which a text reaches the bound are counted by probe.
+        """
+        known = self.known
+        many = known.many[gram]
         ends = np.cumsum(many)
 
-        def keys(lo: int, hi: int) -> np.ndarray:
+        def keys(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
             n = many[lo:hi]
-            entry = np.repeat(self.first[gram[lo:hi]] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            probe = self.probes[entry]
-            band = (np.repeat(at[lo:hi], n) - self.places[entry] + PROBE) // self.band
-            key = (probe << 40) | band
-            return np.concatenate([key, key[band > 0] - 1])
+            entry = np.repeat(known.first[gram[lo:hi]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            band = (np.repeat(at[lo:hi], n) - known.places[entry] + known.longest) // self.band
+            key, used = (known.texts[entry] << 40) | band, self.many[entry] > 0
+            key, band, entry = key[used], band[used], entry[used]
+            return np.concatenate([key, key[band > 0] - 1]), np.concatenate([entry, entry[band > 0]])
 
         # shared q-grams in parts of about HITS; most bands hold a few stray ones, so that
         # all are first counted by a small hash, and only crowded slots are looked at again
         cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, HITS), side="right"))
         parts = list(zip(cuts, [*cuts[1:], len(at)]))
         slots = lambda key: ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        crowd = sum((np.bincount(slots(keys(*p)), minlength=1 << 20) for p in parts), np.zeros(1 << 20, np.int64))
-        crowded = crowd >= self.least.min()
-        key = np.concatenate([np.empty(0, np.int64), *((k := keys(*p))[crowded[slots(k)]] for p in parts)])
-        key, count = np.unique(key, return_counts=True)
-        probe = key >> 40
-        enough = count >= self.least[probe]
-        return probe[enough], (key[enough] & ((1 << 40) - 1)) * self.band - PROBE
+        crowd = sum((np.bincount(slots(keys(*p)[0]), minlength=1 << 20) for p in parts), np.zeros(1 << 20, np.int64))
+        crowded = crowd >= self.least.min(initial=np.iinfo(np.int64).max)
+        found = [(key[c], entry[c]) for key, entry in (keys(*p) for p in parts) for c in [crowded[slots(key)]]]
+        key = np.concatenate([np.empty(0, np.int64), *(k for k, _ in found)])
+        entry = np.concatenate([np.empty(0, np.int64), *(e for _, e in found)])
+        order = np.argsort(key, kind="stable")
+        key, entry = key[order], entry[order]
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        counts = np.diff(np.r_[new, len(key)])
+        enough = np.repeat(counts >= self.least_of_text[key[new] >> 40], counts)
+        key, entry = key[enough], entry[enough]
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        # a band of a text is counted in one part
+        total = np.cumsum(self.many[entry])
+        before = np.r_[0, total][new]
+        cuts = new[np.unique(np.searchsorted(before, np.arange(0, total[-1] if len(total) else 0, HITS)).clip(max=max(0, len(new) - 1)))] if len(new) else new
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for lo, hi in zip(cuts, [*cuts[1:], len(key)]):
+            n = self.many[entry[lo:hi]]
+            probe = np.repeat(self.first[entry[lo:hi]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            pairs, count = np.unique((probe << 40) | np.repeat(key[lo:hi] & ((1 << 40) - 1), n), return_counts=True)
+            pairs = pairs[count >= self.least[pairs >> 40]]
+            out.append((pairs >> 40, (pairs & ((1 << 40) - 1)) * self.band - known.longest + self.starts[pairs >> 40]))
+        return np.concatenate([p for p, _ in out]), np.concatenate([d for _, d in out])
+
+    def matches(self, codes: np.ndarray, at: np.ndarray, gram: np.ndarray) -> Iterator[tuple]:
+        """Probe, edits, start and stop of every match, aligned in parts of bounded size."""
+        probes, diagonals = self.regions(at, gram)
+        for i in range(0, len(probes), ALIGNED):
+            probe = probes[i : i + ALIGNED]
+            edits, start, stop = self.align(codes, probe, diagonals[i : i + ALIGNED])
+            ok = edits <= self.edits[probe]
+            yield from zip(probe[ok].tolist(), edits[ok].tolist(), start[ok].tolist(), stop[ok].tolist())
 
     def align(self, codes: np.ndarray, probe: np.ndarray, diagonal: np.ndarray):
         """Least edits of each probe on the diagonals of its band, and where the match starts and stops."""
@@ -128,12 +176,13 @@ class Probes:
         # cost above, start of the match (as an offset from low) below: the minimum carries both along
         row = np.broadcast_to(columns, (len(probe), wide)).astype(np.int64)
         best, stop = np.full(len(probe), np.iinfo(np.int64).max), np.zeros(len(probe), np.int64)
-        sizes = self.sizes[probe]
+        sizes, base = self.sizes[probe], self.known.base[self.owners[probe]] + self.starts[probe]
         for i in range(int(sizes.max(initial=0))):
             place = low[:, None] + columns + i
             inside = (place >= 0) & (place < len(codes))
             text = np.where(inside, codes[np.clip(place, 0, len(codes) - 1)], GAP)
-            new = row + np.where(text == self.grid[probe, i][:, None], 0, one)
+            wanted = self.known.codes[np.minimum(base + i, len(self.known.codes) - 1)]
+            new = row + np.where(text == wanted[:, None], 0, one)
             new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + one)
             row = np.minimum.accumulate(new - columns * one, axis=1) + columns * one
             done = sizes == i + 1
@@ -143,6 +192,92 @@ class Probes:
         return best // one, low + best % one, stop
 
 
+def spaced() -> np.ndarray:
+    """Of every code point, whether it is a letter or digit of a script that puts spaces between words."""
+    out = np.fromiter((chr(i).isalnum() for i in range(GAP)), bool, GAP)
+    for lo, hi in UNSPACED:
+        out[lo:hi] = False
+    return np.r_[out, False]
+
+
+class Phrases:
+    """Benchmark texts under MIN_CHARS characters, found exactly and on word borders."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]]):
+        by_size: dict[int, list] = {}
+        for item, whole in items:
+            if 0 < len(whole) < MIN_CHARS:
+                by_size.setdefault(len(whole), []).append((item, whole))
+        self.sizes = {}
+        self.head = min([8, *by_size])
+        self.heads = np.zeros(1 << BITS, bool)
+        for size, same in by_size.items():
+            grid = np.array([whole for _, whole in same], np.uint32)
+            hashes = (grid.astype(np.uint64) * powers(FACTOR, size)).sum(axis=1, dtype=np.uint64)
+            order = np.argsort(hashes, kind="stable")
+            self.sizes[size] = hashes[order], [same[i][0] for i in order], grid[order]
+            self.heads[slot((grid[:, : self.head].astype(np.uint64) * powers(FACTOR, self.head)).sum(axis=1, dtype=np.uint64))] = True
+        self.spaced = spaced() if by_size else None
+
+    def matches(self, codes: np.ndarray) -> Iterator[tuple]:
+        """Size, number, start and stop of every place of a phrase."""
+        if not self.sizes:
+            return
+        inner = self.spaced[codes]
+        border = np.r_[True, ~(inner[1:] & inner[:-1]), True]
+        # sums of codes times powers of an odd number, whose inverse shifts any of them to its start
+        total = np.r_[np.uint64(0), np.cumsum(codes.astype(np.uint64) * powers(FACTOR, len(codes)), dtype=np.uint64)]
+        back = powers(pow(FACTOR, -1, 1 << 64), len(codes))
+        starts = np.flatnonzero(border[: max(0, len(codes) - self.head + 1)])
+        starts = starts[self.heads[slot((total[starts + self.head] - total[starts]) * back[starts])]]
+        for size, (hashes, _, grid) in self.sizes.items():
+            at = starts[starts + size <= len(codes)]
+            at = at[border[at + size]]
+            h = (total[at + size] - total[at]) * back[at]
+            lo = np.searchsorted(hashes, h)
+            n = np.searchsorted(hashes, h, side="right") - lo
+            number = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            at = np.repeat(at, n)
+            same = (codes[at[:, None] + np.arange(size)] == grid[number]).all(axis=1)
+            for k, a in zip(number[same].tolist(), at[same].tolist()):
+                yield size, k, a, a + size
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers, modulo 2**64."""
+    return np.cumprod(np.r_[np.uint64(1), np.full(max(0, n - 1), base, np.uint64)], dtype=np.uint64)[:n]
+
+
+def slot(h: np.ndarray) -> np.ndarray:
+    return (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
+
+
+class Searched:
+    """All that is looked for of a block of benchmark texts."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        coded = [(item, codes_of(text or "")) for item, text in items]
+        self.texts, self.phrases = Texts(coded), Phrases(coded)
+        self.kinds = [Probes(self.texts, PROBE, PROBE // 2, True), Probes(self.texts, PART, STRIDE, False)]
+        self.per_item: dict[int, int] = {}
+        for kind in self.kinds:
+            for t in kind.owners.tolist():
+                self.per_item[self.texts.items[t]] = self.per_item.get(self.texts.items[t], 0) + 1
+        for _, ids, _ in self.phrases.sizes.values():
+            for item in ids:
+                self.per_item[item] = self.per_item.get(item, 0) + 1
+
+    def matches(self, codes: np.ndarray) -> Iterator[tuple]:
+        """Item, probe, edits, start and stop of every match."""
+        if self.texts.items:
+            at, gram = self.texts.hits(codes)
+            for k, kind in enumerate(self.kinds):
+                for p, e, a, b in kind.matches(codes, at, gram):
+                    yield self.texts.items[kind.owners[p]], (k, p), e, a, b
+        for size, number, a, b in self.phrases.matches(codes):
+            yield self.phrases.sizes[size][1][number], (-size, number), 0, a, b
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -154,8 +289,12 @@ def find_leaks(
     """Documents that hold a passage of a benchmark text: one row per document and item.
 
     Texts are compared with A-Z lower-cased and white space collapsed. An item is cut into
-    overlapping probes of PROBE characters (a shorter item is one probe); a probe is found
-    where it aligns with at most one edit per CHARS_PER_EDIT of its characters. Shared
+    overlapping probes of PROBE characters (a shorter item is one probe), and into short
+    ones of PART characters from every STRIDE: any part of PART + STRIDE - 1 characters
+    holds a short probe. A probe is found where it aligns with at most one edit per
+    CHARS_PER_EDIT of its characters; so parts are found from 63 characters on. An item of
+    under MIN_CHARS characters is found where it stands unedited between word borders; a
+    border is any place but between two letters or digits of a script with spaces. Shared
     q-grams are counted in overlapping bands of diagonals; bands that reach the bound of
     the q-gram lemma are verified by alignment inside the band. Columns: doc_id, item_id,
     probes (of the item), probes_found, start and stop (of the found probes, in characters
@@ -163,8 +302,7 @@ def find_leaks(
 
     The benchmark is read in blocks of BLOCK_BYTES, each sent to all tasks and looked for
     in one pass; documents are not shuffled and there is no bound on matches. A null or
-    empty text holds nothing; items under MIN_CHARS characters, null ones among them, are
-    too short to tell from chance and match nothing. Equal documents and equal items are
+    empty text holds nothing, and a null or empty item is nowhere. Equal documents and equal items are
     reported each; rows that share an item id are one item. Texts of any length are
     searched whole; an empty table on either side gives no rows; null ids stay null.
     """
@@ -191,12 +329,12 @@ def _search(items: list[tuple[int, str]]):
     key = ("probes", uuid.uuid4().hex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probes = per_worker(key, lambda: Probes(items))
+        searched = per_worker(key, lambda: Searched(items))
         names = ["doc_id", "item_id", "probes", "probes_found", "start", "stop", "edits", "matched"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
         gap = np.full(2 * PROBE, GAP, np.uint32)
         for part in slices(batches, limit=SLICE):
-            if not len(probes.items):
+            if not searched.per_item:
                 continue
             parts, starts, at = [gap], [], len(gap)
             for text in part.column("text").to_pylist():
@@ -206,22 +344,19 @@ def _search(items: list[tuple[int, str]]):
                 at += len(codes) + len(gap)
             codes, starts = np.concatenate(parts), np.array(starts)
             ends = np.r_[starts[1:], at] - len(gap)
-            probe, diagonal = probes.regions(codes)
-            edits, start, stop = probes.align(codes, probe, diagonal)
-            ok = edits <= probes.edits[probe]
             best: dict[tuple, list] = {}
-            for p, e, a, b in zip(probe[ok].tolist(), edits[ok].tolist(), start[ok].tolist(), stop[ok].tolist()):
+            for item, p, e, a, b in searched.matches(codes):
                 # a match can begin in the gap before its document, but lies in it for the most part
                 d = int(np.searchsorted(starts, (a + b) // 2, side="right")) - 1
                 a, b = max(a, int(starts[d])), min(b, int(ends[d]))
-                row = best.setdefault((d, probes.items[p]), [set(), a, b, e])
+                row = best.setdefault((d, item), [set(), a, b, e])
                 row[0].add(p)
                 row[1:] = [min(row[1], a), max(row[2], b), min(row[3], e)]
             ids = part.column("doc_id").to_pylist()
             out = []
             for (d, item), (hit, a, b, e) in sorted(best.items(), key=lambda x: (x[0][0], x[1][1])):
                 text = codes[a:b].tobytes().decode("utf-32-le", "replace")
-                out.append((ids[d], item, probes.per_item[item], len(hit), a - int(starts[d]), b - int(starts[d]), e, text))
+                out.append((ids[d], item, searched.per_item[item], len(hit), a - int(starts[d]), b - int(starts[d]), e, text))
             columns = list(zip(*out)) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 

@@ -1,15 +1,17 @@
 """Line dedup over every character, and parts of benchmark texts."""
 
 import itertools
+import random
 from collections import defaultdict
 
 import pytest
 
 import corpus_pipeline
+from quarrylens.llm.decontaminate import find_leaks
 from quarrylens.llm.line_dedup import dedup_lines
 
 from .fixtures import awkward, by_id, documents, frame
-from .test_copies import Union, copies_of
+from .test_copies import Union, copies_of, edited
 
 
 def windows_of(line):
@@ -54,3 +56,41 @@ def test_pipeline_keeps_spaceless_lines_that_differ_late(spark, data):
     rows = list(enumerate([*lines, copy, copy + "0"]))
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, frame(spark, rows), data).collect()}
     assert got == dict(rows[:-1])
+
+
+def test_leaks_of_any_part(spark):
+    rng = random.Random(9)
+    words = [f"{a}{b}{c}" for a in "bcdfgk" for b in "aeiou" for c in ["l", "n", "rt", "st"]]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, text(rng.randint(20, 120))) for i in range(40)]
+    docs, want = [], set()
+    for d in range(300):
+        item, whole = rng.choice(items)
+        size = rng.randint(63, min(170, len(whole)))
+        start = rng.randrange(len(whole) - size + 1)
+        part = whole[start : start + size]
+        if size > 80:
+            part = edited(part, 1, rng)
+        docs.append((d, text(rng.randint(0, 100)) + "\n" + part + " " + text(rng.randint(0, 100))))
+        want.add((d, item))
+    got = find_leaks(frame(spark, docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+
+
+def test_leaks_keep_whole_probes(spark):
+    """Edits that crowd every short probe of a text, but fit in the text."""
+    item = copies_of(7, 1, 0)[0][1][:100]
+    doc = item[:42] + "".join("#" if i % 2 else c for i, c in enumerate(item[42:56])) + item[56:]
+    got = find_leaks(frame(spark, [(1, doc)]), spark.createDataFrame([(3, item)], "item_id bigint, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["edits"]) for r in got] == [(1, 3, 7)]
+
+
+def test_leaks_of_short_items(spark):
+    items = [(1, "Who wrote  Hamlet?"), (2, "7 x 8"), (3, "他是谁"), (4, "who wrote hamlet?"), (5, ""), (6, None), (7, "x" * 39), (8, "café")]
+    docs = [
+        (1, "He asked: who WROTE\nHamlet?\" twice"), (2, "who wrote hamlets?"), (3, "17 x 8 and 7 x 80"), (4, "(7 x 8)"), (5, "请问他是谁呢"),
+        (6, "x" * 40), (7, "-" + "X" * 39), (8, "7 x 8"), (9, ""), (10, "cafés"), (11, "two cafés, one café"),
+    ]
+    got = find_leaks(frame(spark, docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (1, 4), (4, 2), (5, 3), (7, 7), (8, 2), (11, 8)]
+    assert {r["doc_id"]: (r["start"], r["stop"], r["matched"]) for r in got}[11] == (15, 19, "café")
