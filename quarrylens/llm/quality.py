@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,21 +50,28 @@ def repeated_words(words: Column) -> Column:
     """Words in 3-word windows that the text holds twice or more.
 
     The hash of each window, with its low bits replaced by the window's place, is sorted:
-    equal windows become neighbours. The places of these, sorted again, each cover three
-    words less the overlap with the next. Linear space, n log n time.
+    equal windows become neighbours. The words at the places of these are sorted and
+    compared, so that hashes that agree by chance count nothing. The places that are left,
+    in order, each cover three words less the overlap with the next. Linear space, n log n time.
     """
 
     def covered(places: Column) -> Column:
         gaps = F.transform(places, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(places, i + 1) - p, F.lit(3))).cast("bigint"))
         return F.aggregate(gaps, F.lit(0).cast("bigint"), lambda total, gap: total + gap)
 
-    def repeats(keys: Column, bits: Column) -> Column:
+    def repeats(keys: Column, bits: Column, w: Column) -> Column:
         def same(key: Column, other: Column) -> Column:
             return F.coalesce(F.call_function("shiftrightunsigned", key.bitwiseXOR(other), bits) == 0, F.lit(False))
 
         equal = F.filter(keys, lambda k, i: same(k, F.get(keys, i + 1)) | same(k, F.get(keys, i - 1)))
         places = F.transform(equal, lambda k: k.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1))
-        return let(F.sort_array(places), covered)
+        window = lambda p: F.struct(*[F.get(w, p.cast("int") + i).alias(f"w{i}") for i in range(3)], p.alias("place"))
+        return let(F.sort_array(F.transform(places, window)), confirmed)
+
+    def confirmed(found: Column) -> Column:
+        same = lambda t, other: F.coalesce(reduce(Column.__and__, [t[k] == other[k] for k in ("w0", "w1", "w2")]), F.lit(False))
+        equal = F.filter(found, lambda t, i: same(t, F.get(found, i + 1)) | same(t, F.get(found, i - 1)))
+        return let(F.sort_array(F.transform(equal, lambda t: t["place"])), covered)
 
     def windows(w: Column) -> Column:
         bits = F.length(F.bin(F.size(w)))
@@ -75,7 +83,7 @@ def repeated_words(words: Column) -> Column:
                 F.call_function("shiftrightunsigned", F.xxhash64(word, F.get(w, i + 1), F.get(w, i + 2)), bits), bits,
             ).bitwiseOR(i.cast("bigint")),
         )
-        return let(F.sort_array(keys), lambda k: repeats(k, bits))
+        return let(F.sort_array(keys), lambda k: repeats(k, bits, w))
 
     return let(words, windows)
 

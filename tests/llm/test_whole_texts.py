@@ -5,10 +5,12 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarrylens.llm.decontaminate import find_leaks
 from quarrylens.llm.line_dedup import dedup_lines
+from quarrylens.llm.quality import FEATURES
 
 from .fixtures import awkward, by_id, documents, frame
 from .test_copies import Union, copies_of, edited
@@ -94,3 +96,11 @@ def test_leaks_of_short_items(spark):
     got = find_leaks(frame(spark, docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (1, 4), (4, 2), (5, 3), (7, 7), (8, 2), (11, 8)]
     assert {r["doc_id"]: (r["start"], r["stop"], r["matched"]) for r in got}[11] == (15, 19, "café")
+
+
+@pytest.mark.parametrize("text,repeated", [("a b c d e f g h", 0), ("a b c d a b c x y", 6), ("a a a a", 4), ("a b c x a b d x c b a", 0)])
+def test_repeated_words_count_no_equal_hashes(spark, monkeypatch, text, repeated):
+    with monkeypatch.context() as patch:
+        patch.setattr(F, "xxhash64", lambda *columns: F.lit(1).cast("bigint"))
+        found = FEATURES["n_repeat_words"](F.col("text"))
+    assert frame(spark, [(1, text)]).select(found.alias("n")).first()["n"] == repeated
