@@ -1,6 +1,7 @@
 """Line dedup over every character, and parts of benchmark texts."""
 
 import itertools
+import math
 import random
 from collections import defaultdict
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quarrylens.llm import near_dedup
 from quarrylens.llm.decontaminate import find_leaks
 from quarrylens.llm.line_dedup import dedup_lines
 from quarrylens.llm.quality import FEATURES
@@ -104,3 +106,14 @@ def test_repeated_words_count_no_equal_hashes(spark, monkeypatch, text, repeated
         patch.setattr(F, "xxhash64", lambda *columns: F.lit(1).cast("bigint"))
         found = FEATURES["n_repeat_words"](F.col("text"))
     assert frame(spark, [(1, text)]).select(found.alias("n")).first()["n"] == repeated
+
+
+def test_near_duplicates_lose_few_links():
+    """Binomial tail of the estimate and miss of all bands, for a pair at the threshold."""
+    n, chance = near_dedup.MINIMA, 2.0**-near_dedup.BITS
+    equal, least = 0.8 + 0.2 * chance, 0.8 - near_dedup.MARGIN
+    ruled_out = sum(
+        math.comb(n, k) * equal**k * (1 - equal) ** (n - k) for k in range(n + 1) if (k / n - chance) / (1 - chance) < least
+    )
+    missed = (1 - 0.8**near_dedup.ROWS) ** near_dedup.BANDS
+    assert ruled_out < missed and ruled_out + missed < 1e-7
