@@ -77,9 +77,53 @@ SELECT doc_id, count(*) FILTER (worded) AS lines, count(*) FILTER (gone) AS drop
 FROM j GROUP BY doc_id
 """
 
+TRIE = """
+WITH RECURSIVE turns AS (
+    SELECT conv_id AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+           coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL
+), bits AS (
+    -- CRC-32 of the decimal id: each byte, then eight steps (-1)
+    SELECT conv, own, list_reduce(
+               list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+               lambda a, t: CASE WHEN t >= 0 THEN xor(a, t) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END
+           ) AS crc
+    FROM (SELECT conv, max(pos) AS own FROM turns GROUP BY conv)
+), convs AS (
+    SELECT b.conv, b.own, b.conv - b.conv % 5 AS base, xor(b.crc, 4294967295) % 9 AS h, least(xor(b.crc, 4294967295) % 9, coalesce(s.own, 0)) AS lead
+    FROM bits b LEFT JOIN bits s ON s.conv = b.conv - b.conv % 5
+), rebuilt AS (
+    SELECT c.conv, t.pos AS at, t.role, t.text FROM convs c JOIN turns t ON t.conv = c.base AND t.pos <= c.lead
+    UNION ALL
+    SELECT c.conv, c.lead + t.pos - c.h AS at, t.role, t.text FROM convs c JOIN turns t ON t.conv = c.conv AND t.pos > c.h
+), path AS (
+    SELECT conv, 0::BIGINT AS depth, sha256('') AS name, NULL::VARCHAR AS parent, 0::BIGINT AS bytes FROM convs
+    UNION ALL
+    SELECT r.conv, r.at, sha256(p.name || sha256(r.role) || sha256(r.text)), p.name, strlen(r.text)
+    FROM path p JOIN rebuilt r ON r.conv = p.conv AND r.at = p.depth + 1
+), ends AS (
+    SELECT name, string_agg(conv::VARCHAR, ',' ORDER BY conv) AS ids
+    FROM path p WHERE depth = (SELECT max(depth) FROM path q WHERE q.conv = p.conv) GROUP BY name
+), nodes AS (
+    SELECT name, any_value(parent) AS parent, any_value(depth) AS depth, any_value(bytes) AS bytes, min(conv) AS conv, count(*) AS n
+    FROM path GROUP BY name
+), children AS (
+    SELECT parent AS name, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), subtrees AS (
+    SELECT a.name, sum((c.name IS NULL)::INT) AS n_leaves, sum((d.n - 1) * d.bytes) AS saved
+    FROM nodes d JOIN path a ON a.conv = d.conv AND a.depth <= d.depth LEFT JOIN children c ON c.name = d.name
+    GROUP BY a.name
+)
+SELECT n.conv AS conv_id, n.depth::BIGINT AS depth, p.conv AS parent_conv_id, n.n AS n_convs, coalesce(c.n_children, 0) AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.name = n.parent LEFT JOIN children c ON c.name = n.name
+JOIN subtrees s ON s.name = n.name LEFT JOIN ends e ON e.name = n.name
+"""
+
 ORACLES = {
     "op2_line_dedup": LINES,
     "op5_suffix_dedup": SUFFIXES,
     "op7_quality": QUALITY,
     "op10_near_duplicates": NEAR,
+    "op11_prefix_trie": TRIE,
 }

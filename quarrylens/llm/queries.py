@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylens.llm.alignment import align_tokenizers
 from quarrylens.llm.decontaminate import find_leaks
 from quarrylens.llm.license_scan import scan_licenses
 from quarrylens.llm.line_dedup import dedup_lines
 from quarrylens.llm.near_dedup import near_duplicates
 from quarrylens.llm.oracles import ORACLES  # noqa: F401
 from quarrylens.llm.packing import pack
+from quarrylens.llm.prefix_trie import prefix_trie, with_shared_starts
 from quarrylens.llm.quality import quality
 from quarrylens.llm.scoring import score_documents
+from quarrylens.llm.simhash import simhash_duplicates
 from quarrylens.llm.suffix_dedup import remove_repeats
 from quarrylens.llm.token_counts import count_tokens
 from quarrylens.llm.token_files import token_table
@@ -103,3 +106,21 @@ def op9_benchmark_leaks(spark: SparkSession, directory: str) -> DataFrame:
 def op10_near_duplicates(spark: SparkSession, directory: str) -> DataFrame:
     """Shingles, component and verdict of every document, at 2-word shingles and 80 percent."""
     return near_duplicates(table(spark, directory, "documents"), size=2, percent=80)
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, directory: str) -> DataFrame:
+    """Every node of the trie of the conversations, which share the starts of every fifth one."""
+    return prefix_trie(table(spark, directory, "conversations"), with_shared_starts)
+
+
+@query
+def op12_tokenizer_alignment(spark: SparkSession, directory: str) -> DataFrame:
+    """Tokens, groups and links of both tokenizers of every document, and the digest of its groups."""
+    return align_tokenizers(table(spark, directory, "documents"))
+
+
+@query
+def op13_simhash(spark: SparkSession, directory: str) -> DataFrame:
+    """Fingerprint and component of every document, at 3-word shingles and 3 bits."""
+    return simhash_duplicates(table(spark, directory, "documents"))
