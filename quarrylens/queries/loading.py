@@ -27,6 +27,39 @@ def csv_scan(t):
     return load(t.spark, path, "csv").withColumn("p_partkey", F.col("p_partkey").cast("bigint"))
 
 
+@query("a1_csv_quoted_breaks", """
+SELECT doc_id, text, lang FROM documents WHERE text <> ''
+""")
+def csv_quoted_breaks(t):
+    """Texts with line breaks, quotes and separators, in quoted fields."""
+    path = fresh_path(t.spark, "documents.csv")
+    docs = t.pick("documents", "doc_id", "text", "lang").where("text <> ''")
+    whole = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    docs.write.options(**whole).csv(path)
+    return load(t.spark, path, "csv").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
+@query("a2_csv_quoted_breaks_malformed", """
+SELECT CASE WHEN doc_id % 7 = 0 THEN 'malformed' ELSE 'whole' END AS kind, count(*) AS rows, CAST(sum(length(text)) AS BIGINT) AS chars
+FROM documents WHERE text <> '' GROUP BY 1
+""")
+def csv_quoted_breaks_malformed(t):
+    """Records over several lines, some with a field too many: those are left out whole and listed whole."""
+    path = fresh_path(t.spark, "documents.csv")
+    record = F.concat(F.col("doc_id"), F.lit(';"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'), F.when(F.col("doc_id") % 7 == 0, ";x").otherwise(""))
+    header = t.spark.createDataFrame([("key;words",)], "value string")
+    header.unionByName(t.documents.where("text <> ''").select(record.alias("value"))).coalesce(1).write.text(path)
+    good = load(t.spark, path, "csv", sep="auto").agg(
+        F.lit("whole").alias("kind"), F.count(F.lit(1)).alias("rows"), F.sum(F.char_length("words")).alias("chars")
+    )
+    # a listed record is a key, two separators, two quotes, a mark and the text with its quotes doubled
+    line = F.regexp_replace(F.regexp_extract("line", '(?s)^[0-9]+;"(.*)";x$', 1), '""', '"')
+    bad = malformed_lines(t.spark, path).agg(
+        F.lit("malformed").alias("kind"), F.count(F.lit(1)).alias("rows"), F.sum(F.char_length(line)).alias("chars")
+    )
+    return good.unionByName(bad)
+
+
 @query("a2_csv_sniffed", """
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders
 """, approx="o_totalprice")
