@@ -14,12 +14,14 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import id_and_text, per_worker, slices, tokenizer_path
+from quarrylens.llm.common import id_and_text, per_worker, release, slices, tokenizer_path
 from quarrylens.llm.encoding import BARE, Encoder
 from quarrylens.session import materialize
 
-KEPT_WORDS, LONG_WORD = 300_000, 64
+KEPT_WORDS, LONG_WORD = 200_000, 64
 SLICE = 2 << 20
+#: Links weighed at once.
+LINKS = 1 << 18
 MARK = "▁"
 
 
@@ -113,6 +115,11 @@ class Aligner:
         #: decimal ids with what follows them: a comma, or the sign after the last one of a side of a group
         self.written = [x for i in a for x in (i + b",", i + b"|")] + [x for i in b for x in (i + b",", i + b";")]
 
+    def forget(self) -> None:
+        """Drop the kept words; a worker may go on with other work."""
+        self.known, self.left.known = {}, {}
+        release()
+
     def _pieces(self, texts: list[str]) -> list[bytes]:
         return [array("I", ids).tobytes() for ids in self.right.encode(texts, num_threads=1)] if texts else []
 
@@ -295,17 +302,25 @@ def align_tokenizers(docs: DataFrame, a: str = A, b: str = B, id_column: str = "
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, counts = known.value
-        n_b = len(aligner(a, b).b_bytes)
+        tool = aligner(a, b)
+        tool.forget()
+        n_b = len(tool.b_bytes)
         most = np.zeros(n_b, np.int64)
         np.maximum.at(most, pairs % n_b, counts)
         best = counts == most[pairs % n_b]
         for batch in batches:
-            links = batch.column("links")
-            at = np.searchsorted(pairs, links.flatten().to_numpy())
+            links = batch.column("links").flatten()
             of = np.r_[0, np.cumsum(batch.column("n_groups").to_numpy())]
-            sums = [np.diff(np.r_[0, np.cumsum(values[at])][of]) for values in (best.astype(np.int64), counts)]
+            totals = [np.zeros(batch.num_rows, np.int64) for _ in range(2)]
+            for at in range(0, len(links), LINKS):
+                place = np.searchsorted(pairs, links.slice(at, LINKS).to_numpy())
+                # rows that these links reach, and where each begins and ends among them
+                first, last = np.searchsorted(of, [at, at + len(place) - 1], "right") - 1
+                edge = np.clip(of[first : last + 2] - at, 0, len(place))
+                for total, value in zip(totals, (best[place], counts[place])):
+                    total[first : last + 1] += np.diff(np.r_[0, np.cumsum(value, dtype=np.int64)][edge])
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups")], batch.column("n_groups"), *map(pa.array, sums), batch.column("groups_sha256")],
+                [*[batch.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups")], batch.column("n_groups"), *map(pa.array, totals), batch.column("groups_sha256")],
                 ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
             )
 
