@@ -18,7 +18,7 @@ ARROW = pa.schema(
      ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 )
 GROUP_TOKENS = 1 << 20
-KEPT_CHUNKS = 300_000  # a worker also holds a group of tokens, and stays while other stages run
+KEPT_CHUNKS = 800_000  # beside them a worker holds a group of tokens
 #: monotonically_increasing_id(): partition number above, sequence number below.
 SLOT_BITS = 33
 
