@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 # Substrings of a column name that call for a mean.
 MEAN_WORDS = (
     "price rate cost fee wage salary avg average mean per_ _per ratio pct percent discount "
@@ -199,16 +197,24 @@ SUGGESTION_WORDS = {
     },
 }
 
-# Three-letter residue names and the standard genetic code in TCAG order.
-RESIDUES = {
-    "A": "Ala", "C": "Cys", "D": "Asp", "E": "Glu", "F": "Phe", "G": "Gly", "H": "His",
-    "I": "Ile", "K": "Lys", "L": "Leu", "M": "Met(Start)", "N": "Asn", "P": "Pro", "Q": "Gln",
-    "R": "Arg", "S": "Ser", "T": "Thr", "V": "Val", "W": "Trp", "Y": "Tyr", "*": "Stop",
-}
-STANDARD_CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
+# The standard genetic code with the residue names shown, in TCAG order.
 CODONS = {
-    "".join(bases): RESIDUES[letter]
-    for bases, letter in zip(product("TCAG", repeat=3), STANDARD_CODE)
+    "TTT": "Phe", "TTC": "Phe", "TTA": "Leu", "TTG": "Leu",
+    "TCT": "Ser", "TCC": "Ser", "TCA": "Ser", "TCG": "Ser",
+    "TAT": "Tyr", "TAC": "Tyr", "TAA": "Stop", "TAG": "Stop",
+    "TGT": "Cys", "TGC": "Cys", "TGA": "Stop", "TGG": "Trp",
+    "CTT": "Leu", "CTC": "Leu", "CTA": "Leu", "CTG": "Leu",
+    "CCT": "Pro", "CCC": "Pro", "CCA": "Pro", "CCG": "Pro",
+    "CAT": "His", "CAC": "His", "CAA": "Gln", "CAG": "Gln",
+    "CGT": "Arg", "CGC": "Arg", "CGA": "Arg", "CGG": "Arg",
+    "ATT": "Ile", "ATC": "Ile", "ATA": "Ile", "ATG": "Met(Start)",
+    "ACT": "Thr", "ACC": "Thr", "ACA": "Thr", "ACG": "Thr",
+    "AAT": "Asn", "AAC": "Asn", "AAA": "Lys", "AAG": "Lys",
+    "AGT": "Ser", "AGC": "Ser", "AGA": "Arg", "AGG": "Arg",
+    "GTT": "Val", "GTC": "Val", "GTA": "Val", "GTG": "Val",
+    "GCT": "Ala", "GCC": "Ala", "GCA": "Ala", "GCG": "Ala",
+    "GAT": "Asp", "GAC": "Asp", "GAA": "Glu", "GAG": "Glu",
+    "GGT": "Gly", "GGC": "Gly", "GGA": "Gly", "GGG": "Gly",
 }
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens.functions.keywords import keyword_hits
 from quarrylens.functions.lexicon import (
     CODONS,
     DOMAIN_KEYWORDS,
@@ -21,13 +25,13 @@ from quarrylens.session import quoted
 
 
 def any_of(text: Column, words: Sequence[str]) -> Column:
-    """Does the text contain any of the words? Evaluated lazily, word by word."""
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+    """Does a short text contain any of a few words?"""
+    return reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in words])
 
 
 def hits(text: Column, words: Sequence[str]) -> Column:
-    """How many of the words the text contains."""
-    return F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w)))
+    """How many of a few words a short text contains; many words or long texts are for ``keyword_hits``."""
+    return reduce(Column.__add__, [F.contains(text, F.lit(w)).cast("int") for w in words], F.lit(0))
 
 
 # --- search ------------------------------------------------------------------------------
@@ -85,23 +89,26 @@ def route(
     df: DataFrame, text: str, keywords: Mapping[str, Sequence[str]] = DOMAIN_KEYWORDS,
     default: str = "statistics",
 ) -> DataFrame:
-    """Domain with the most keywords in each whole text (2 points each; first domain on ties)."""
-    lowered = F.coalesce(F.lower(quoted(text)), F.lit(""))
-    scores = F.array(
-        *[
-            F.struct(
-                (2 * hits(F.col("_text"), words)).alias("score"), F.lit(-i).alias("rank"), F.lit(d).alias("domain")
-            )
-            for i, (d, words) in enumerate(keywords.items())
-        ]
-    )
-    best = df.withColumn("_text", lowered).withColumn("_best", F.array_max(scores))
-    return best.withColumns(
+    """Domain with the most keywords in each whole text (2 points each; first domain on ties).
+
+    All vocabularies are looked up in one walk over the text.
+    """
+    names = F.array(*[F.lit(d) for d in keywords])
+    found = fresh("_hits", df)
+    most = F.array_max(found)
+    counted = df.withColumn(found, keyword_hits(F.lower(quoted(text)), list(keywords.values())))
+    return counted.withColumns(
         {
-            "domain": F.when(F.col("_best.score") > 0, F.col("_best.domain")).otherwise(default),
-            "domain_score": F.col("_best.score"),
+            "domain": F.when(most > 0, F.get(names, F.array_position(found, most).cast("int") - 1)).otherwise(default),
+            "domain_score": 2 * most,
         }
-    ).drop("_text", "_best")
+    ).drop(found)
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def table_context(df: DataFrame, vocabulary: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -135,8 +142,15 @@ def sequence_stats(df: DataFrame, seq: str) -> DataFrame:
 def codon_counts(df: DataFrame, seq: str) -> DataFrame:
     """Codons of all whole sequences with their residue; unknown codons show "?"."""
     residues = F.create_map(*[F.lit(x) for pair in CODONS.items() for x in pair])
-    codons = df.select(F.explode(F.regexp_extract_all(quoted(seq), F.lit("(?s)(...)"), F.lit(1))).alias("codon"))
-    counted = codons.groupBy("codon").agg(F.count(F.lit(1)).alias("count"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t[: len(t) // 3 * 3] for t in batch.column(0).to_pylist() if t]
+            units = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<U3")
+            codons, counts = np.unique(units, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(codons.tolist(), pa.string()), pa.array(counts, pa.int64())], ["codon", "count"])
+
+    counted = df.select(quoted(seq).cast("string")).mapInArrow(count, "codon string, count bigint").groupBy("codon").agg(F.sum("count").alias("count"))
     return counted.withColumn("residue", F.coalesce(F.try_element_at(residues, F.col("codon")), F.lit("?")))
 
 

@@ -4,19 +4,158 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrylens.functions.lexicon import (
-    CODONS,
-    DOMAIN_KEYWORDS,
-    RESOURCE_TYPES,
-    TITLE_HINTS,
-    TRUSTED_DOMAINS,
-    TYPE_WEIGHTS,
-)
 from quarrylens.operators import catalog
 from quarrylens.queries.loading import fresh_path
 from quarrylens.queries.registry import query
 
 
+# The lists that the SQL looks for, written here on their own.
+TYPES = (
+    ("Video", """
+        .mp4 .avi .mov .mkv .webm video youtube.com vimeo.com
+    """),
+    ("Image", """
+        .png .jpg .jpeg .gif .webp flickr.com unsplash.com openimages image-dataset
+    """),
+    ("PDF", """
+        .pdf filetype:pdf /pdf/ /report/ /publication/
+    """),
+    ("Excel", """
+        .xlsx .xls format=xlsx
+    """),
+    ("JSON", """
+        .json format=json .geojson /api/
+    """),
+    ("TSV", """
+        .tsv filetype:tsv
+    """),
+    ("Parquet", """
+        .parquet filetype:parquet
+    """),
+    ("CSV", """
+        .csv format=csv download=csv
+    """),
+    ("CSV", """
+        kaggle.com data.gov worldbank ourworldindata oecd eurostat data.un archive.ics.uci fao.org nasa.gov
+        fred.stlouisfed data.cdc data.europa data.gov.uk huggingface.co figshare zenodo opendata opendatasoft
+    """),
+    ("Excel", """
+        statista imf.org
+    """),
+)
+WEIGHTS = {"CSV": 6, "Excel": 5, "JSON": 4, "PDF": 3, "Video": 4, "Image": 4, "TSV": 3, "Parquet": 4, "Web": 1}
+TRUSTED = """
+    kaggle.com data.gov worldbank.org ourworldindata.org github.com zenodo.org dataverse.harvard.edu
+    data.europa.eu who.int data.un.org oecd.org eurostat imf.org statista.com opendatasoft.com
+    registry.opendata.aws archive.ics.uci.edu fred.stlouisfed.org data.cdc.gov fao.org nasa.gov noaa.gov
+    data.gov.uk huggingface.co figshare.com osf.io pangaea.de
+""".split()
+HINTS = "dataset data statistics csv download indicator open".split()
+DOMAINS = {
+    "powerbi": [
+        "dashboard", "kpi", "report", "scorecard", "looker", "power bi", "tableau", "visualization", "visual", "metric",
+        "drill", "slicer", "filter", "treemap", "funnel", "gauge", "pivot",
+    ],
+    "structural": [
+        "beam", "deflect", "shear", "moment", "column", "buckling", "truss", "foundation", "bearing capacity", "steel",
+        "concrete", "sap2000", "staad", "autocad", "dxf", "rebar", "footing", "rcc", "weld", "terzaghi", "euler",
+    ],
+    "chemical": [
+        "distillation", "mccabe", "thiele", "heat exchanger", "lmtd", "reactor", "cstr", "pfr", "chemcad", "aspen", "hysys",
+        "molar", "enthalpy", "entropy", "vapor", "liquid", "chemical", "boiling", "condensation", "pvt", "molecular",
+        "formula", "chempy",
+    ],
+    "statistics": [
+        "regression", "anova", "t-test", "p-value", "chi-square", "shapiro", "normality", "confidence interval", "hypothesis",
+        "pearson", "spearman", "mann-whitney", "kruskal", "wilcoxon", "binomial", "poisson", "spss", "sas", "stata", "minitab",
+        "jmp",
+    ],
+    "ml": [
+        "machine learning", "neural network", "random forest", "decision tree", "svm", "knn", "gradient boost", "xgboost",
+        "deep learning", "cluster", "pca", "dimensionality", "automl", "feature importance", "train test", "cross validation",
+        "sklearn",
+    ],
+    "financial": [
+        "npv", "irr", "dcf", "cash flow", "wacc", "option", "black-scholes", "portfolio", "sharpe", "markowitz", "bond",
+        "yield", "dividend", "bloomberg", "roi", "payback", "amortization", "depreciation", "capex", "beta", "var", "stock",
+        "equity", "ticker",
+    ],
+    "signal": [
+        "fft", "fourier", "frequency spectrum", "bode", "transfer function", "pid", "control system", "butterworth", "filter",
+        "matlab", "simulink", "labview", "step response", "pole", "zero", "nyquist", "laplace", "dsp", "pwm",
+    ],
+    "symbolic": [
+        "derivative", "integral", "differential equation", "ode", "pde", "eigenvalue", "determinant", "laplace transform",
+        "taylor series", "mathematica", "maple", "wolfram", "calculus", "solve equation", "simplify", "factor", "expand",
+        "limit",
+    ],
+    "biology": [
+        "dna", "rna", "protein", "sequence", "nucleotide", "genome", "bioinformatics", "blast", "gc content", "pcr", "codon",
+        "transcription", "translation", "biopython", "dose response", "ic50", "ec50", "pharmacokinetics", "roc auc",
+        "survival",
+    ],
+    "physics": [
+        "projectile", "velocity", "acceleration", "gravity", "newton", "quantum", "wave", "optics", "lens", "snell",
+        "electromagnetic", "thermodynamics", "carnot", "entropy", "schrodinger", "photon", "particle in a box",
+    ],
+    "fluid": [
+        "pipe flow", "reynolds", "darcy", "moody", "friction factor", "bernoulli", "flow rate", "viscosity", "turbulent",
+        "laminar", "pump", "pressure drop", "head loss", "hydraulics",
+    ],
+    "electrical": [
+        "circuit", "resistor", "capacitor", "inductor", "rlc", "impedance", "resonance", "power factor", "3-phase",
+        "transformer", "voltage", "current", "ohm", "kirchhoff", "thevenin", "pspice", "ltspice", "ac circuit", "dc circuit",
+    ],
+    "geospatial": [
+        "map", "gis", "geographic", "latitude", "longitude", "arcgis", "qgis", "shapefile", "country map", "choropleth",
+        "spatial",
+    ],
+    "sql": [
+        "select ", "from ", "where ", "group by", "having ", "join ", "union ", "cte", "window function", "duckdb",
+        "sql query", "database",
+    ],
+    "manufacturing": [
+        "six sigma", "cpk", "cpk", "dpmo", "control chart", "ucl", "lcl", "x-bar", "spc", "process capability",
+        "minitab quality", "defect", "tolerance",
+    ],
+    "econometrics": [
+        "time series", "arima", "autocorrelation", "acf", "pacf", "stationarity", "adf", "unit root", "granger", "panel data",
+        "fixed effects", "eviews", "garch", "var model", "forecast arima",
+    ],
+    "environmental": [
+        "carbon footprint", "co2 emission", "greenhouse gas", "water quality", "bod", "dissolved oxygen",
+        "wastewater treatment", "hydrology", "watershed",
+    ],
+    "code": [
+        "```python", "```r\n", "```c++", "```sql", "```julia", "```bash", "run python", "execute code", "python script",
+        "r script", "compile c++",
+    ],
+}
+CODE = {
+    "Phe": "TTT TTC",
+    "Leu": "TTA TTG CTT CTC CTA CTG",
+    "Ser": "TCT TCC TCA TCG AGT AGC",
+    "Tyr": "TAT TAC",
+    "Stop": "TAA TAG TGA",
+    "Cys": "TGT TGC",
+    "Trp": "TGG",
+    "Pro": "CCT CCC CCA CCG",
+    "His": "CAT CAC",
+    "Gln": "CAA CAG",
+    "Arg": "CGT CGC CGA CGG AGA AGG",
+    "Ile": "ATT ATC ATA",
+    "Met(Start)": "ATG",
+    "Thr": "ACT ACC ACA ACG",
+    "Asn": "AAT AAC",
+    "Lys": "AAA AAG",
+    "Val": "GTT GTC GTA GTG",
+    "Ala": "GCT GCC GCA GCG",
+    "Asp": "GAT GAC",
+    "Glu": "GAA GAG",
+    "Gly": "GGT GGC GGA GGG",
+}
+
+
 def _has(column: str, words) -> str:
     return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
 
@@ -25,7 +164,7 @@ def _hits(column: str, words) -> str:
     return "(" + " + ".join(f"CAST(contains({column}, '{w}') AS INTEGER)" for w in words) + ")"
 
 
-TYPE_SQL = "CASE " + " ".join(f"WHEN {_has('lower(url)', w)} THEN '{n}'" for n, w in RESOURCE_TYPES) + " ELSE 'Web' END"
+TYPE_SQL = "CASE " + " ".join(f"WHEN {_has('lower(url)', w.split())} THEN '{n}'" for n, w in TYPES) + " ELSE 'Web' END"
 # The pages of the test data are plain sites; give some of them data-file addresses.
 PAGES = """
 SELECT page_id, concat(url, CASE page_id % 6 WHEN 0 THEN '/data.csv' WHEN 1 THEN '/api/v1' WHEN 2 THEN '/zenodo/report.pdf'
@@ -47,8 +186,8 @@ WORDS = ("data", "report", "the", "that")
 SCORE_SQL = f"""
 x AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, {TYPE_SQL} AS type FROM p),
 s AS (SELECT *, 2.0 * {_hits('lower(title)', WORDS)} + 0.5 * {_hits('lower(url)', WORDS)}
-  + 0.8 * CASE type {" ".join(f"WHEN '{k}' THEN {v}" for k, v in TYPE_WEIGHTS.items())} END
-  + CASE WHEN {_has('lower(url)', TRUSTED_DOMAINS)} THEN 3.0 ELSE 0.0 END + 0.4 * {_hits('lower(title)', TITLE_HINTS)} AS score FROM x)
+  + 0.8 * CASE type {" ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.items())} END
+  + CASE WHEN {_has('lower(url)', TRUSTED)} THEN 3.0 ELSE 0.0 END + 0.4 * {_hits('lower(title)', HINTS)} AS score FROM x)
 """
 
 
@@ -81,10 +220,10 @@ def search_by_type(t):
 def _route_sql(source: str, key: str) -> str:
     literal = lambda w: w.replace("'", "''")
     scores = ", ".join(
-        f"2 * {_hits('x', [literal(w) for w in ws])} AS s{i}" for i, ws in enumerate(DOMAIN_KEYWORDS.values())
+        f"2 * {_hits('x', [literal(w) for w in ws])} AS s{i}" for i, ws in enumerate(DOMAINS.values())
     )
-    best = "greatest(" + ", ".join(f"s{i}" for i in range(len(DOMAIN_KEYWORDS))) + ")"
-    pick = " ".join(f"WHEN s{i} = {best} THEN '{d}'" for i, d in enumerate(DOMAIN_KEYWORDS))
+    best = "greatest(" + ", ".join(f"s{i}" for i in range(len(DOMAINS))) + ")"
+    pick = " ".join(f"WHEN s{i} = {best} THEN '{d}'" for i, d in enumerate(DOMAINS))
     return f"""
 WITH v AS (SELECT {key}, {scores} FROM (SELECT {key}, lower(text) AS x FROM {source}))
 SELECT {key}, CASE WHEN {best} = 0 THEN 'statistics' {pick} END AS domain, CAST({best} AS INTEGER) AS domain_score FROM v
@@ -105,7 +244,7 @@ BASES_SQL = "b AS (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g'
 
 
 def bases(t):
-    return t.pick("documents", "doc_id", "text").select("doc_id", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
+    return t.pick("documents", "doc_id", "text").select("doc_id", F.regexp_replace(F.upper("text"), "[^ACGT]+", "").alias("seq"))
 
 
 def _count(b):
@@ -124,7 +263,7 @@ def sequence_stats(t):
 
 @query("g5_codon_counts", f"""
 WITH {BASES_SQL}, c AS (SELECT unnest(regexp_extract_all(seq, '...')) AS codon FROM b)
-SELECT codon, count(*) AS count, CASE codon {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CODONS.items())} ELSE '?' END AS residue
+SELECT codon, count(*) AS count, CASE codon {" ".join(f"WHEN '{k}' THEN '{v}'" for v, codons in CODE.items() for k in codons.split())} ELSE '?' END AS residue
 FROM c GROUP BY codon
 """)
 def codon_counts(t):

@@ -16,6 +16,7 @@ from quarrylens.operators.profiling import (
 from quarrylens.operators.statistics import correlations, strong_pairs
 from quarrylens.sources.text_table import text_to_table
 
+# Published rows of the sample tables, and what is published about them.
 ORDERS = """1,101,2,3,2025-01-01,2025-01-05,Delivered,9833 Mt. Dias Blv.,1226 Shoe St.,1,10,2025-01-01 12:34:56
 2,102,3,3,2025-01-05,2025-01-10,Shipped,250 Race Court,N/A,1,15,2025-01-05 23:22:04
 3,101,1,5,2025-01-10,2025-01-25,Delivered,8157 W. Book,8157 W. Book,2,20,2025-01-10 18:24:08
