@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions.tails import chi2_sf, normal_sf, t_two_sided, tail_udf
 from quarrylens.operators.ordering import join_keys, key_position, preceding, with_index
+from quarrylens.operators.spectrum import POINTS, spectra
 from quarrylens.operators.statistics import fit
 from quarrylens.session import quoted
 
@@ -164,26 +165,21 @@ def trend_forecast(
 
 
 def periodogram(
-    df: DataFrame, col: str, order_by: Sequence[str], n_bins: int, by: Sequence[str] = (), fs: float = 1.0,
+    df: DataFrame, col: str, order_by: Sequence[str], n_bins: int | None = None, by: Sequence[str] = (), fs: float = 1.0,
+    points: int = POINTS,
 ) -> DataFrame:
-    """Power of the first ``n_bins`` frequency bins, at most 0 .. n/2 - 1, of each series.
+    """Power of the frequency bins 0 .. n/2 - 1 of each series of more than ten values, or of the first ``n_bins``.
 
-    Work is rows x ``n_bins``, spread over the rows and combined before the shuffle; for
-    high frequencies of a long series, roll it up in time or cut it into stretches.
+    All bins of a series come from one transform (:func:`spectra`): two shuffles of its
+    values, in groups of at most ``points``, whatever its length.
     """
-    rows = positioned(df, col, order_by, by)
-    n = F.col("key_rows")
-    top = F.least(F.floor(n / 2) - 1, F.lit(n_bins - 1))
-    spread = rows.where(n > 10).select(
-        *by, n.alias("n"), "pos", quoted(col).cast("double").alias("x"),
-        F.explode(F.sequence(F.lit(0), top.cast("int"))).alias("bin"),
-    )
-    turn = 2 * F.pi() * F.pmod(F.col("bin").cast("bigint") * F.col("pos"), F.col("n")) / F.col("n")
-    sums = spread.groupBy(*by, "n", "bin").agg(
-        F.sum(F.col("x") * F.cos(turn)).alias("re"), F.sum(F.col("x") * F.sin(turn)).alias("im")
-    )
-    return sums.select(
-        *by, "bin", (F.col("bin") * fs / F.col("n")).alias("frequency"),
+    rows = positioned(df, col, order_by, by).where("key_rows > 10")
+    found = spectra(rows.select(*by, F.col("key_rows").alias("n"), "pos", quoted(col).cast("double").alias("x")), by, points)
+    found = found.where(F.col("pos") < F.floor(F.col("n") / 2))
+    if n_bins is not None:
+        found = found.where(F.col("pos") < n_bins)
+    return found.select(
+        *by, F.col("pos").cast("int").alias("bin"), (F.col("pos") * fs / F.col("n")).alias("frequency"),
         (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"),
     )
 

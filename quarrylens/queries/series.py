@@ -135,7 +135,7 @@ i AS (SELECT event_type, total AS x, row_number() OVER (PARTITION BY event_type
              count(*) OVER (PARTITION BY event_type) AS n FROM h),
 p AS (SELECT event_type, CAST(k.bin AS INTEGER) AS bin, n, pow(sum(x * cos(2 * pi() * ((k.bin * pos) % n) / n)), 2)
              + pow(sum(x * sin(2 * pi() * ((k.bin * pos) % n) / n)), 2) AS power
-      FROM i, (SELECT unnest(range(0, 2000)) AS bin) k WHERE k.bin < n // 2 GROUP BY 1, 2, 3)
+      FROM i, (SELECT unnest(range(0, (SELECT max(n) // 2 FROM i))) AS bin) k WHERE k.bin < n // 2 GROUP BY 1, 2, 3)
 """
 
 
@@ -143,24 +143,35 @@ def hourly(t):
     return t.sql(HOURLY.replace("{ntz}", "TIMESTAMP_NTZ"), "events")
 
 
-BINS = 1000  # more than the half of any of these series
-
-
 @query("q7_periodogram", SPECTRUM_SQL + """
 SELECT event_type, bin, bin * 24.0 / n AS frequency, power FROM p
 """, approx="frequency power", digits=7)
 def periodogram(t):
-    return series.periodogram(hourly(t), "total", ["hour"], BINS, ["event_type"], fs=24.0)
+    return series.periodogram(hourly(t), "total", ["hour"], by=["event_type"], fs=24.0)
 
 
 @query("q7_dominant_frequency", SPECTRUM_SQL + """
 SELECT event_type, arg_max(bin * 24.0 / n, power) AS frequency, max(power) AS power FROM p WHERE bin > 0 GROUP BY 1
 """, approx="frequency power", digits=7)
 def dominant_frequency(t):
-    spectrum = series.periodogram(hourly(t), "total", ["hour"], BINS, ["event_type"], fs=24.0)
+    spectrum = series.periodogram(hourly(t), "total", ["hour"], by=["event_type"], fs=24.0)
     return series.dominant_frequency(spectrum, ["event_type"])
 
 
+# The mean price of each order day: one series of over two thousand points.
+DAILY = "SELECT o_orderdate AS day, avg(o_totalprice) AS total FROM {orders} GROUP BY 1"
+
+
+@query("q7_full_spectrum", "WITH i AS (SELECT total AS x, row_number() OVER (ORDER BY day) - 1 AS pos, count(*) OVER () AS n FROM (" + DAILY.replace("{orders}", "orders") + """)),
+p AS (SELECT k.bin, n, sum(x * cos(2 * pi() * ((k.bin * pos) % n) / n)) AS re, sum(x * sin(2 * pi() * ((k.bin * pos) % n) / n)) AS im
+      FROM i, (SELECT unnest(range(0, (SELECT max(n) // 2 FROM i))) AS bin) k GROUP BY 1, 2)
+SELECT CAST(bin AS INTEGER) AS bin, bin / n AS frequency, re * re + im * im AS power FROM p
+""", approx="frequency power", digits=5)
+def full_spectrum(t):
+    """Every bin of one long series, in tasks that hold few of its points; a prime length goes through the chirp."""
+    return series.periodogram(t.sql(DAILY, "orders"), "total", ["day"], points=256)
+
+
 # A customer is a project, the order year its period; the first year is the outlay.
 FLOWS = """
 SELECT o_custkey AS project, year(o_orderdate) - 1995 AS t,
