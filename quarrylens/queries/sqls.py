@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
+from quarrylens.operators.frames import range_frames
 from quarrylens.operators.ordering import asof_join, neighbours, rank_rows, with_index
 from quarrylens.operators.relational import range_join, result_preview, run_sql
 from quarrylens.queries.registry import query
@@ -247,6 +250,24 @@ def frames_large_groups(t):
     return out.select("l_orderkey", "l_linenumber", "before", "after", "around")
 
 
+@query("s17_range_large_groups", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_shipdate,
+       count(*) OVER w AS n, sum(CAST(l_quantity AS BIGINT)) OVER w AS quantity, avg(l_extendedprice) OVER w AS mean_price,
+       min(l_extendedprice) OVER w AS least, max(l_extendedprice) OVER w AS most
+FROM lineitem WINDOW w AS (PARTITION BY l_linestatus ORDER BY l_shipdate RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND INTERVAL 7 DAYS FOLLOWING)
+""", approx="mean_price least most")
+def range_large_groups(t):
+    """Two keys hold all rows, and a frame many blocks: no key and no frame may meet in one task."""
+    df = t.pick("lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_shipdate", "l_linestatus", "l_extendedprice")
+    df = df.withColumn("whole", F.col("l_quantity").cast("bigint"))
+    outputs = {
+        "n": ("count", "l_orderkey"), "quantity": ("sum", "whole"), "mean_price": ("avg", "l_extendedprice"),
+        "least": ("min", "l_extendedprice"), "most": ("max", "l_extendedprice"),
+    }
+    framed = range_frames(df, "l_shipdate", outputs, timedelta(days=90), timedelta(days=7), ["l_linestatus"], block_points=64)
+    return framed.drop("whole", "l_linestatus", "l_extendedprice")
+
+
 shared("s18_text_functions", "part", """
 SELECT p_partkey, upper(p_name) AS up, CAST(length(p_name) AS INTEGER) AS len, substring(p_name, 1, 3) AS head, replace(p_name, ' ', '-') AS dashed,
        concat_ws(':', p_brand, p_type) AS tag, trim(concat(' ', p_type, ' ')) AS trimmed, lpad(p_type, 12, '.') AS padded,
