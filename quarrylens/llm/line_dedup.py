@@ -2,32 +2,50 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import fresh, id_and_text, small
+from quarrylens.llm.common import BROADCAST_BYTES, fresh, id_and_text, small
 from quarrylens.llm.components import components
-from quarrylens.session import materialize, quoted
+from quarrylens.session import materialize, quoted, scratch_folder
 
-#: Characters of a shingle; one starts at every word of a line, unless every place is asked for, and may be shorter at its end.
+#: Characters of a shingle, one from every place of a line; a shorter line is one shingle.
 SHINGLE = 10
-SHINGLES = f"(?s)(?=(\\S.{{0,{SHINGLE - 1}}}))\\S+"
-#: SHINGLE characters from every place of a line; a shorter line is one shingle.
 WINDOWS = f"(?s)(?=(.{{{SHINGLE}}}|^.{{1,{SHINGLE - 1}}}\\z))."
-BANDS, ROWS = 8, 2
+#: Characters whose shingles are cut from one piece of a line, which reaches over its end.
+PIECE = 256
+PIECES = f"(?s)(?=(.{{1,{PIECE + SHINGLE - 1}}})).{{1,{PIECE}}}"
+BANDS, ROWS = 12, 3
 PERCENT = 80
-#: Share of equal minima below which a pair of an unsettled bucket is not verified: four standard errors.
-LEAST_EQUAL = 0.4
+#: Minima whose low bits are kept, and the share of equal ones below which a pair of an unsettled bucket is not verified: four standard errors.
+KEPT, LEAST_EQUAL = 16, 0.4
 LOWEST = sum(1 << 4 * i for i in range(16))  # the lowest bit of every four
 #: Lines that one side of a comparison of unsettled lines holds, about.
 PART = 1024
 SALTS = 16
 
 
-def shingles(line: Column, every_place: bool) -> Column:
-    return F.regexp_extract_all(line, F.lit(WINDOWS if every_place else SHINGLES), F.lit(1))
+class Scratch:
+    """Tables that are removed together once nothing reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{scratch_folder(spark)}/{uuid.uuid4().hex}", 0
+
+    def store(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.folder}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def shingles(line: Column) -> Column:
+    return F.regexp_extract_all(line, F.lit(WINDOWS), F.lit(1))
 
 
 def lines_of(rows: DataFrame) -> DataFrame:
@@ -38,33 +56,41 @@ def lines_of(rows: DataFrame) -> DataFrame:
     )
 
 
-def signed_lines(rows: DataFrame, every_place: bool) -> DataFrame:
-    """Distinct lines: name, copies, smallest document, and the minima of their shingles.
+def windows(i: int) -> list[Column]:
+    """Four 32-bit windows of the i-th hash of a shingle, from every sixteenth bit: each gives a minimum of its own."""
+    x = F.xxhash64(F.lit(i), "h")
+    turned = F.shiftleft(x, 48).bitwiseOR(F.shiftrightunsigned(x, 16))
+    return [F.shiftright(y, 32) for y in (x, F.shiftleft(x, 16), F.shiftleft(x, 32), turned)]
+
+
+def signed_lines(rows: DataFrame) -> DataFrame:
+    """Distinct lines: name, copies, smallest document, band keys and low bits of the minima of their shingles.
 
     Shingles become rows inside the task and fold into one row per distinct line before
-    anything is shuffled.
+    anything is shuffled. A long line is read piece by piece, so its cost grows with its length.
     """
-    hashed = lines_of(rows).select("h1", "h2", "doc_id", F.posexplode(shingles(F.col("line"), every_place)).alias("at", "shingle"))
-    hashed = hashed.select("h1", "h2", "doc_id", "at", F.xxhash64("shingle").alias("h"))
-    minima = [F.min(F.shiftright(F.xxhash64("h", F.lit(i)), 32)).alias(f"x{i}") for i in range(BANDS * ROWS)]
-    return hashed.groupBy("h1", "h2").agg(
-        F.sum((F.col("at") == 0).cast("bigint")).alias("copies"), F.min("doc_id").alias("first_doc"), *minima
+    pieces = lines_of(rows).select("h1", "h2", "doc_id", F.posexplode(F.regexp_extract_all("line", F.lit(PIECES), F.lit(1))).alias("no", "piece"))
+    size = F.char_length("piece")
+    last = F.when(size >= SHINGLE, size - SHINGLE + 1).when(F.col("no") == 0, 1)  # the end of a line lies in the piece before
+    places = pieces.where(last.isNotNull()).withColumn("at", F.explode(F.sequence(F.lit(1), last)))
+    hashed = places.select("h1", "h2", "doc_id", ((F.col("no") == 0) & (F.col("at") == 1)).alias("first"), F.xxhash64(F.substring("piece", F.col("at"), F.lit(SHINGLE))).alias("h"))
+    values = [x for i in range(BANDS * ROWS // 4) for x in windows(i)]
+    folded = hashed.groupBy("h1", "h2").agg(
+        F.sum(F.col("first").cast("bigint")).alias("copies"), F.min("doc_id").alias("first_doc"), *[F.min(x).alias(f"x{i}") for i, x in enumerate(values)]
     )
-
-
-def band_keys() -> Column:
-    return F.array(*[F.xxhash64(F.lit(b), *[f"x{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
+    bands = F.array(*[F.xxhash64(F.lit(b), *[f"x{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
+    return folded.select("h1", "h2", "copies", "first_doc", bands.alias("bands"), low_bits().alias("minima"))
 
 
 def low_bits() -> Column:
-    """Four bits of each minimum, packed in one number."""
+    """Four bits of each of the first KEPT minima, packed in one number."""
     return reduce(
         lambda packed, i: packed.bitwiseOR(F.shiftleft(F.xxhash64(f"x{i}").bitwiseAND(F.lit(15)), 4 * i)),
-        range(BANDS * ROWS), F.lit(0).cast("bigint"),
+        range(KEPT), F.lit(0).cast("bigint"),
     )
 
 
-def shingle_sets(rows: DataFrame, needed: DataFrame, every_place: bool) -> DataFrame:
+def shingle_sets(rows: DataFrame, needed: DataFrame) -> DataFrame:
     """(id, members): the hashed distinct shingles of the needed lines, from their first documents.
 
     ``needed`` has h1 and first_doc. A document gives each of its lines once.
@@ -72,7 +98,7 @@ def shingle_sets(rows: DataFrame, needed: DataFrame, every_place: bool) -> DataF
     lines = rows.where("doc_id IS NOT NULL").select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
     lines = lines.select("doc_id", "line", F.xxhash64("line").alias("h1"))
     chosen = lines.join(small(needed.withColumnRenamed("first_doc", "doc_id"), 16), ["h1", "doc_id"], "left_semi")
-    distinct = F.array_distinct(shingles(F.col("line"), every_place))
+    distinct = F.array_distinct(shingles(F.col("line")))
     return chosen.select("h1", F.transform(distinct, lambda s: F.xxhash64(s)).alias("members")).toDF("id", "members")
 
 
@@ -83,7 +109,7 @@ def alike(a: Column, b: Column, percent: int) -> Column:
     return fits & (100 * shared >= percent * (F.size(a) + F.size(b) - shared))
 
 
-def unsettled_links(members: DataFrame, labels: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def unsettled_links(members: DataFrame, labels: DataFrame, sets: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links between components in the buckets that still hold several.
 
     The lines of these buckets are dealt into parts of about PART lines by their largest
@@ -96,46 +122,51 @@ def unsettled_links(members: DataFrame, labels: DataFrame, sets: DataFrame, clas
         .join(labels, "id", "left").select("band", "id", "members", F.coalesce("component", "id").alias("label"))
     )
     mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    unsettled = materialize(labelled.join(mixed, "band", "left_semi"))
+    unsettled = scratch.store(labelled.join(mixed, "band", "left_semi"))
     home = unsettled.groupBy("id", "label").agg(F.max(F.struct("members", "band")).alias("h")).select("id", "label", F.col("h.band").alias("home"))
-    home = materialize(home)
+    home = scratch.store(home)
     parts = home.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
     part = F.xxhash64("home", F.pmod(F.xxhash64("id"), "parts")).alias("part")
-    placed = home.join(parts, "home").join(classes.select(F.col("h1").alias("id"), low_bits().alias("minima")), "id")
-    placed = materialize(placed.join(sets, "id").select("id", "label", "minima", F.col("members").alias("set"), part))
+    placed = home.join(parts, "home").join(classes.select(F.col("h1").alias("id"), "minima"), "id")
+    placed = scratch.store(placed.join(sets, "id").select("id", "label", "minima", F.col("members").alias("set"), part))
     meeting = unsettled.join(placed.select("id", "part"), "id").select("band", "part").distinct()
-    tiles = meeting.join(meeting.withColumnRenamed("part", "other"), "band").where("part <= other")
-    tiles = materialize(tiles.select(F.col("part").alias("i"), F.col("other").alias("j")).distinct())
-    full = placed.groupBy("part").agg(F.collect_list(F.struct("id", "label", "minima", "set")).alias("lines"))  # about PART lines
+    held = placed.groupBy("part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    meeting = meeting.join(held, "part")
+    other = meeting.toDF("other", "band", "lo2", "hi2")
+    # two parts of one and the same component have nothing to compare
+    tiles = meeting.join(other, "band").where("part <= other AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)")
+    tiles = scratch.store(tiles.select(F.col("part").alias("i"), F.col("other").alias("j")).distinct())
+    needed = tiles.select(F.explode(F.array("i", "j")).alias("part")).distinct()
+    full = placed.join(needed, "part", "left_semi").groupBy("part").agg(F.collect_list(F.struct("id", "label", "minima", "set")).alias("lines"))  # about PART lines
     rows = tiles.join(full.toDF("i", "left"), "i").join(full.toDF("j", "right"), "j")
 
     def link(a: Column, b: Column) -> Column:
         bits = a["minima"].bitwiseXOR(b["minima"])
         bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
         bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2)).bitwiseAND(F.lit(LOWEST))
-        close = F.bit_count(bits) <= (1 - LEAST_EQUAL) * BANDS * ROWS
+        close = F.bit_count(bits) <= (1 - LEAST_EQUAL) * KEPT
         return (a["label"] != b["label"]) & close & alike(a["set"], b["set"], percent)
 
     def partners(a: Column) -> Column:
         ends = lambda b: F.struct(F.least(a["id"], b["id"]).alias("a"), F.greatest(a["id"], b["id"]).alias("b"))
         return F.transform(F.filter("right", lambda b: link(a, b)), ends)
 
-    return materialize(rows.select(F.inline(F.flatten(F.transform("left", partners)))).distinct())
+    return scratch.store(rows.select(F.inline(F.flatten(F.transform("left", partners)))).distinct())
 
 
-def linked(classes: DataFrame, rows: DataFrame, percent: int, every_place: bool) -> DataFrame:
+def linked(classes: DataFrame, rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(id, component) of every line that is linked to another one.
 
     The buckets of a band do not emit their pairs. First each member is compared with the
     member that shares most buckets with others. Only buckets that still hold several
     components after that compare members across components.
     """
-    keys = classes.select(F.col("h1").alias("id"), F.explode(band_keys()).alias("band"))
-    shared = materialize(keys.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
-    members = materialize(keys.join(small(shared, 16), "band"))
+    keys = classes.select(F.col("h1").alias("id"), F.explode("bands").alias("band"))
+    shared = scratch.store(keys.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    members = scratch.store(keys.join(small(shared, 16), "band"))
     popular = members.groupBy("id").agg(F.sum("members").alias("popularity"))
-    needed = materialize(classes.select("h1", "first_doc").join(popular.select(F.col("id").alias("h1")), "h1", "left_semi"))
-    sets = materialize(shingle_sets(rows, needed, every_place))
+    needed = scratch.store(classes.select("h1", "first_doc").join(popular.select(F.col("id").alias("h1")), "h1", "left_semi"))
+    sets = scratch.store(shingle_sets(rows, needed))
 
     def stars(points: DataFrame, pivots: DataFrame) -> DataFrame:
         """Links of each member with the pivot of its bucket; a hot bucket is spread by salt."""
@@ -143,29 +174,32 @@ def linked(classes: DataFrame, rows: DataFrame, percent: int, every_place: bool)
         met = points.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(spread, ["band", "salt"])
         pairs = met.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         compared = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-        return materialize(compared.where(alike(F.col("set_a"), F.col("set_b"), percent)).select("a", "b").distinct())
+        return scratch.store(compared.where(alike(F.col("set_a"), F.col("set_b"), percent)).select("a", "b").distinct())
 
     middle = members.join(popular, "id").groupBy("band").agg(F.max(F.struct("popularity", "id")).alias("top"))
     links = stars(members, middle.select("band", F.col("top.id").alias("pivot")))
-    labels = materialize(components(links))
-    more = unsettled_links(members, labels, sets, classes, percent)
-    return labels if more.isEmpty() else materialize(components(links.unionByName(more)))
+    labels = scratch.store(components(links))
+    more = unsettled_links(members, labels, sets, classes, percent, scratch)
+    return labels if more.isEmpty() else scratch.store(components(links.unionByName(more)))
 
 
-def dropped_lines(rows: DataFrame, percent: int = PERCENT, every_place: bool = False) -> DataFrame:
+def dropped_lines(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id and the numbers of the lines to drop: all of a component but its first place."""
-    classes = materialize(signed_lines(rows, every_place))
-    labels = linked(classes, rows, percent, every_place)
+    scratch = Scratch(rows.sparkSession)
+    classes = scratch.store(signed_lines(rows))
+    labels = linked(classes, rows, percent, scratch)
     named = classes.join(labels.withColumnRenamed("id", "h1"), "h1", "left").where("copies > 1 OR component IS NOT NULL")
-    named = materialize(named.select("h1", "h2", "first_doc", F.coalesce("component", "h1").alias("component")))
+    named = scratch.store(named.select("h1", "h2", "first_doc", F.coalesce("component", "h1").alias("component")))
     home = named.groupBy("component").agg(F.min("first_doc").alias("home"))
-    named = materialize(named.join(home, "component").select("h1", "h2", "component", "home"))
-    places = materialize(
+    named = scratch.store(named.join(home, "component").select("h1", "h2", "component", "home"))
+    places = scratch.store(
         lines_of(rows).select("doc_id", "line_no", "h1", "h2").join(small(named, 32), ["h1", "h2"]).select("doc_id", "line_no", "component", "home")
     )
     first = places.where("doc_id = home").groupBy("component").agg(F.min("line_no").alias("first"))
     out = places.join(first, "component").where("doc_id <> home OR line_no <> first")
-    return materialize(out.groupBy("doc_id").agg(F.collect_set("line_no").alias("dropped")))
+    out = materialize(out.groupBy("doc_id").agg(F.collect_set("line_no").alias("dropped")))
+    scratch.drop()
+    return out
 
 
 def dedup_lines(
@@ -175,18 +209,18 @@ def dedup_lines(
     text_column: str = "text",
     lines_column: str = "lines",
     dropped_column: str = "dropped_lines",
-    every_place: bool = False,
 ) -> DataFrame:
     """``docs`` with the texts less their duplicate lines, and two counts: lines and dropped lines.
 
     Lines lie between line feeds; those without a word stay and are not counted. The
-    shingles of a line are the SHINGLE characters from each word start, which reads no more
-    than the start of a long word, or with ``every_place`` those from each character, which
-    read the whole line. Lines are linked
+    shingles of a line are the SHINGLE characters from every place in it. Lines are linked
     if they are equal, or if the Jaccard similarity of their distinct shingles is
     ``percent`` or more; of each connected component the first line (smallest id, then
-    smallest place) stays. Candidates come from BANDS bands of ROWS minima: a pair at the
-    threshold meets with a probability of 0.9997, and every link is verified exactly.
+    smallest place) stays. Candidates come from BANDS bands of ROWS minima, and every link
+    is verified exactly. A pair at the threshold misses all bands with a probability of
+    1.8e-4 and is ruled out by the low bits of its minima with one of 1.4e-4, in a bucket
+    of more than two; above the threshold both fall fast. Lines go by 64 bits of their hash
+    between those steps: among 1e12 distinct lines some thousand unrelated pairs share it.
 
     Line texts are not shuffled for candidates: shingle rows fold into one signature per
     distinct line in the task. A line copied any number of times is one row after that.
@@ -195,9 +229,11 @@ def dedup_lines(
     that share an id are one document. Very long texts and lines are read whole; an empty
     table stays empty. Columns of ``docs`` with the names of the counts are replaced.
     """
-    drops = dropped_lines(id_and_text(docs, id_column, text_column), percent, every_place)
+    drops = dropped_lines(id_and_text(docs, id_column, text_column), percent)
     key, gone, parts = fresh(docs, "key"), fresh(docs, "gone"), fresh(docs, "parts")
-    drops = small(drops.withColumnsRenamed({"doc_id": key, "dropped": gone}), 64)
+    held = drops.agg(F.sum(32 + 8 * F.size("dropped"))).first()[0] or 0
+    drops = drops.withColumnsRenamed({"doc_id": key, "dropped": gone})
+    drops = F.broadcast(drops) if held <= BROADCAST_BYTES else drops
     text = quoted(text_column)
     joined = docs.join(drops, quoted(id_column).cast("bigint") == F.col(key), "left").withColumn(parts, F.split(text, "\n"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)

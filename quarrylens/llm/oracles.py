@@ -55,14 +55,12 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed,
        sha256(unhex(head || substr(h, CAST(2 * stop + 1 AS BIGINT)))) AS kept_sha256 FROM k
 """
 
-SPACE = "(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
 LINES = f"""
 WITH RECURSIVE {TEXTS},
 a AS (SELECT doc_id, i - 1 AS no, string_split(text, chr(10))[i] AS line FROM t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
 v AS (SELECT *, regexp_matches(line, '{WORD}') AS worded FROM a),
 d AS (SELECT line, row_number() OVER (ORDER BY line) AS id FROM (SELECT DISTINCT line FROM v WHERE worded)),
-s AS (SELECT DISTINCT id, substr(line, i, 10) AS k FROM d, unnest(range(1, length(line) + 1)) AS u(i)
-      WHERE substr(line, i, 1) NOT IN {SPACE} AND (i = 1 OR substr(line, i - 1, 1) IN {SPACE})),
+s AS (SELECT DISTINCT id, substr(line, i, 10) AS k FROM d, unnest(range(1, greatest(length(line) - 9, 1) + 1)) AS u(i)),
 n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
 p AS (SELECT x.id AS a, y.id AS b, count(*) AS x FROM s x JOIN s y ON x.k = y.k AND x.id < y.id GROUP BY 1, 2),
 e AS (SELECT a, b FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE 100 * x >= 80 * (na.n + nb.n - x)),

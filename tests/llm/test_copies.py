@@ -77,14 +77,15 @@ def test_near_duplicates(spark, data, size, source):
 
 
 def plain_lines(rows):
-    mark = re.compile(r"(?s)(?=([^ \t\n\x0b\x0c\r].{0,9}))[^ \t\n\x0b\x0c\r]+")
+    mark = re.compile(r"[^ \t\n\x0b\x0c\r]")
+    shingles = lambda line: {line[i : i + 10] for i in range(max(1, len(line) - 9))}
     places = defaultdict(set)
     for i, text in rows:
         if i is not None:
             for k, line in enumerate((text or "").split("\n")):
                 if mark.search(line):
                     places[line].add((i, k))
-    found, union = {x: set(mark.findall(x)) for x in places}, Union()
+    found, union = {x: shingles(x) for x in places}, Union()
     for a, b in itertools.combinations(sorted(places), 2):
         x, y = found[a], found[b]
         if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 100 * len(x & y) >= 80 * len(x | y):
@@ -106,9 +107,16 @@ def plain_lines(rows):
     return judge
 
 
-@pytest.mark.parametrize("source", ["awkward", "copies", "data"])
+UNBROKEN = [
+    (1, "https://example.com/a/one\nhttps://example.org/b/two"), (2, "2024-01-01,ABC,5,12.50\n2024-01-01,XYZ,9,77.10"),
+    (3, "x" * 700 + "A" + "y" * 700), (4, "x" * 700 + "B" + "y" * 700), (5, "".join(f"{i:04}" for i in range(400))), (6, "".join(f"{i:04}" for i in range(400)) + "!"),
+    (7, "日本語の長い行です、最初の十文字は同じ。終わりだけ違う"), (8, "日本語の長い行です、最初の十文字は同じ。別の終わり方をする"), (9, "short"), (10, "shorT"), (11, "short"),
+]
+
+
+@pytest.mark.parametrize("source", ["awkward", "copies", "unbroken", "data"])
 def test_line_dedup(spark, data, source):
-    rows = {"awkward": awkward, "copies": lambda: copies_of(5, 50, 8), "data": lambda: documents(data)}[source]()
+    rows = {"awkward": awkward, "copies": lambda: copies_of(5, 50, 8), "unbroken": lambda: UNBROKEN, "data": lambda: documents(data)}[source]()
     df = frame(spark, rows)
     got = dedup_lines(df)
     assert got.columns == df.columns + ["lines", "dropped_lines"]

@@ -49,7 +49,7 @@ def test_line_dedup_of_every_place(spark, data, source):
     judge, want = plain_lines(rows), defaultdict(list)
     for i, t in rows:
         want[i].append((judge(i, t),))
-    got = dedup_lines(frame(spark, rows), every_place=True).collect()
+    got = dedup_lines(frame(spark, rows)).collect()
     assert by_id(got, "text") == {k: sorted(v, key=repr) for k, v in want.items()}
 
 
