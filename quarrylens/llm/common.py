@@ -12,7 +12,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.session import quoted
+from quarrylens.operators.ordering import join_keys, with_index
+from quarrylens.session import materialize, quoted
 
 SLICE_BYTES = 4 << 20
 
@@ -80,3 +81,25 @@ BROADCAST_BYTES = 16 << 20
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` (already written) marked for broadcast if its rows fit in ``limit``; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+def keyed(docs: DataFrame, nulls_first: bool = False, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, str]:
+    """``docs`` with a number that names each row, and the name of its column.
+
+    It is the id where all ids are there and differ. Else rows are numbered by id, then by
+    a hash of the text: rows that share an id have numbers of their own, in the order of
+    ids, with null ids before or after all others. Rows equal in id and text share one.
+    """
+    key = fresh(docs, "row_key")
+    given = docs.withColumn(key, quoted(id_column).cast("bigint"))
+    if given.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(key).isNull()).isEmpty():
+        return given, key
+    names = {c: fresh(given, c) for c in ("absent_id", "h1", "h2")}
+    absent = F.col(key).isNotNull() if nulls_first else F.col(key).isNull()
+    text = quoted(text_column)
+    given = given.withColumns({names["absent_id"]: absent, names["h1"]: F.xxhash64(text), names["h2"]: F.xxhash64(F.lit(1), text)})
+    own = [names["absent_id"], key, names["h1"], names["h2"]]
+    number = fresh(given, "row_number")
+    numbers = materialize(with_index(given.select(*own).distinct(), own, name=number))
+    numbered = join_keys(given, numbers, own).drop(*own)
+    return numbered.withColumnRenamed(number, key), key

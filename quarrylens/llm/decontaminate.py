@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import string
 import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.llm.common import id_and_text, per_worker, slices
-from quarrylens.session import quoted
+from quarrylens.operators.ordering import join_keys
+from quarrylens.session import materialize, quoted
 
 Q = 8
 #: A benchmark text is looked for in probes of this many characters, each starting half a probe after the last.
@@ -34,7 +36,7 @@ HITS = 1 << 18
 #: Regions that are aligned at a time.
 ALIGNED = 1 << 14
 FACTOR = 0xC2B2AE3D27D4EB4F
-SCHEMA = "doc_id bigint, item_id bigint, probes int, probes_found int, start bigint, stop bigint, edits int, matched string"
+SCHEMA = "doc_id bigint, h1 bigint, h2 bigint, item_id bigint, probes int, probes_found int, start bigint, stop bigint, edits int, matched string"
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -81,6 +83,11 @@ class Texts:
         return at[same], gram[same]
 
 
+def probe_starts(n: int, size: int, stride: int) -> list[int]:
+    starts = list(range(0, max(1, n - size + 1), stride))
+    return starts if starts[-1] + size >= n else [*starts, n - size]
+
+
 class Probes:
     """Probes of ``size`` characters that start every ``stride`` of a text; ``whole``: also the texts that are shorter."""
 
@@ -90,9 +97,7 @@ class Probes:
         for t, n in enumerate(texts.sizes.tolist()):
             if n <= size and not whole:
                 continue
-            of_text = list(range(0, max(1, n - size + 1), stride))
-            if of_text[-1] + size < n:
-                of_text.append(n - size)
+            of_text = probe_starts(n, size, stride)
             owners += [t] * len(of_text)
             starts += of_text
         self.owners, self.starts = np.array(owners, np.int64), np.array(starts, np.int64)
@@ -300,29 +305,62 @@ def find_leaks(
     probes (of the item), probes_found, start and stop (of the found probes, in characters
     of the compared text), edits (of the best probe), matched (the text from start to stop).
 
-    The benchmark is read in blocks of BLOCK_BYTES, each sent to all tasks and looked for
-    in one pass; documents are not shuffled and there is no bound on matches. A null or
-    empty text holds nothing, and a null or empty item is nowhere. Equal documents and equal items are
-    reported each; rows that share an item id are one item. Texts of any length are
-    searched whole; an empty table on either side gives no rows; null ids stay null.
+    The benchmark is read in blocks of BLOCK_BYTES, one after the other, each sent to all
+    tasks and looked for in one pass; documents are not shuffled and there is no bound on
+    matches. What is reported does not depend on the number of blocks. A null or empty text
+    holds nothing, and a null or empty item is nowhere. Equal documents are reported each,
+    as are documents that share an id, or have none; rows that share an item id (or have
+    none) are one item. Texts of any length are searched whole; an empty table on either
+    side gives no rows; null ids stay null.
     """
     items = benchmark.select(quoted(item_column).cast("bigint").alias("item_id"), quoted(item_text_column).alias("text"))
     total = items.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     rows = id_and_text(docs, id_column, text_column)
-    found = []
+    rows = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
+    found, probes = [], []
     for block in range(blocks):
-        chosen = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        found.append(rows.mapInArrow(_search([tuple(r) for r in chosen.collect()]), SCHEMA))
-    out = reduce(DataFrame.unionByName, found)
-    if blocks == 1:
-        return out
-    # rows of one item can lie in several blocks
-    return out.groupBy("doc_id", "item_id").agg(
-        F.sum("probes").cast("int").alias("probes"), F.sum("probes_found").cast("int").alias("probes_found"),
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("edits").alias("edits"),
-        F.min_by("matched", F.struct("edits", "start")).alias("matched"),
+        chosen = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]
+        part = rows.mapInArrow(_search(chosen), SCHEMA)
+        if blocks == 1:
+            return part.drop("h1", "h2")
+        found.append(materialize(part))
+        probes.append(probe_counts(docs.sparkSession, chosen))
+    return _joined(reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, probes), rows)
+
+
+def probe_counts(spark: SparkSession, items: list[tuple[int, str]]) -> DataFrame:
+    """(item_id, probes) of a block of benchmark texts."""
+    counts: dict[int, int] = {}
+    for item, text in items:
+        n = len(codes_of(text or ""))
+        long = len(probe_starts(n, PROBE, PROBE // 2)) if n >= MIN_CHARS else int(n > 0)
+        counts[item] = counts.get(item, 0) + long + (len(probe_starts(n, PART, STRIDE)) if n > max(PART, MIN_CHARS - 1) else 0)
+    return spark.createDataFrame(list(counts.items()), "item_id bigint, probes bigint")
+
+
+def _joined(found: DataFrame, probes: DataFrame, rows: DataFrame) -> DataFrame:
+    """What the blocks found, by document and item: rows of one item can lie in several blocks.
+
+    Equal documents have equal finds in every block, so they are counted and repeated. Where
+    two blocks hold parts of an item, the matched text is cut from the document again.
+    """
+    same = ["doc_id", "h1", "h2", "item_id"]
+    by_block = found.withColumn("copy", F.struct("probes_found", "start", "stop", "edits", "matched")).groupBy(*same, "copy").agg(F.count(F.lit(1)).alias("copies"))
+    merged = by_block.groupBy(*same).agg(
+        F.sum("copy.probes_found").cast("int").alias("probes_found"), F.min("copy.start").alias("start"), F.max("copy.stop").alias("stop"),
+        F.min("copy.edits").alias("edits"), F.first("copy.matched").alias("matched"), F.max("copies").alias("copies"), F.count(F.lit(1)).alias("blocks"),
     )
+    merged = materialize(merged)
+    whole = merged.where("blocks = 1")
+    texts = rows.join(merged.where("blocks > 1").select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    compared = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    compared = F.regexp_replace(F.regexp_replace(compared, "[ \\t\\n\\x0b\\f\\r]+", " "), "^ | $", "")
+    cut = F.substring(compared, (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int"))
+    several = merged.where("blocks > 1").join(texts, ["h1", "h2"]).withColumn("matched", cut).drop("text")
+    every = join_keys(whole.unionByName(several), probes.groupBy("item_id").agg(F.sum("probes").cast("int").alias("probes")), ["item_id"])
+    every = every.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return every.select("doc_id", "item_id", "probes", "probes_found", "start", "stop", "edits", "matched")
 
 
 def _search(items: list[tuple[int, str]]):
@@ -330,8 +368,8 @@ def _search(items: list[tuple[int, str]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searched = per_worker(key, lambda: Searched(items))
-        names = ["doc_id", "item_id", "probes", "probes_found", "start", "stop", "edits", "matched"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+        names = ["doc_id", "h1", "h2", "item_id", "probes", "probes_found", "start", "stop", "edits", "matched"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
         gap = np.full(2 * PROBE, GAP, np.uint32)
         for part in slices(batches, limit=SLICE):
             if not searched.per_item:
@@ -352,11 +390,11 @@ def _search(items: list[tuple[int, str]]):
                 row = best.setdefault((d, item), [set(), a, b, e])
                 row[0].add(p)
                 row[1:] = [min(row[1], a), max(row[2], b), min(row[3], e)]
-            ids = part.column("doc_id").to_pylist()
+            ids = list(zip(*[part.column(c).to_pylist() for c in ("doc_id", "h1", "h2")]))
             out = []
             for (d, item), (hit, a, b, e) in sorted(best.items(), key=lambda x: (x[0][0], x[1][1])):
                 text = codes[a:b].tobytes().decode("utf-32-le", "replace")
-                out.append((ids[d], item, searched.per_item[item], len(hit), a - int(starts[d]), b - int(starts[d]), e, text))
+                out.append((*ids[d], item, searched.per_item[item], len(hit), a - int(starts[d]), b - int(starts[d]), e, text))
             columns = list(zip(*out)) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 

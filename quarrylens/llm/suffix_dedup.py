@@ -1,7 +1,7 @@
-"""Repeated byte strings by distributed prefix doubling over the positions that can repeat.
+"""Repeated byte strings by fingerprints of anchors, of whole stretches and of the ends of repeats.
 
-Ranking all positions would sort one row per byte of the corpus. Three observations keep
-the doubling to a small part of them and the result exact:
+Prefix doubling would sort one row per byte of the corpus. Three observations leave one
+doubling step for a small part of the positions and keep the result exact:
 
 * A document equal to an earlier one is removed whole and adds no first occurrence.
 * Every string of LENGTH bytes holds an anchor: the half-length gram with the least name.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import id_and_text, per_worker, slices, small
+from quarrylens.llm.common import id_and_text, keyed, per_worker, slices, small
 from quarrylens.session import materialize
 
 LENGTH = 100
@@ -35,7 +35,6 @@ GROUP_GRAMS = 500_000
 TASK_GRAMS = 8_000_000
 BROADCAST = 64 << 20
 PLACE_BITS = 31
-FIRST = -(1 << 63)  # order of a null id: before all others
 BASE = 0xD6E8FEB86659FD93
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary"
@@ -262,11 +261,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_
     rows are shuffled only for positions that can repeat, and groups of equal strings are
     reduced to their smallest document before they meet their members again.
 
-    A null text is empty. A null id comes before all others. Rows that share an id are one
-    document, with the marks of both where their texts differ. Texts under ``length`` bytes
+    A null text is empty. A null id comes before all others. Rows that share an id are
+    documents of their own, in the order of a hash of their texts; rows equal in id and
+    text are one document, each with its marks. Texts under ``length`` bytes
     keep all; very long texts are read whole; an empty table gives no rows.
     """
-    rows = id_and_text(docs, id_column, text_column).withColumn("doc", F.coalesce("doc_id", F.lit(FIRST)))
+    rows, key = keyed(id_and_text(docs, id_column, text_column), nulls_first=True)
+    rows = rows.withColumnRenamed(key, "doc")
     named = rows.select(
         "doc", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"),
         F.octet_length("text").cast("bigint").alias("n"),

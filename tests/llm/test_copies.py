@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import pytest
 
+from quarrylens.llm import decontaminate
 from quarrylens.llm.components import components
 from quarrylens.llm.decontaminate import find_leaks
 from quarrylens.llm.line_dedup import dedup_lines
@@ -192,14 +193,23 @@ def test_leaks(spark):
 
 
 def test_leaks_in_blocks(spark, monkeypatch):
-    from quarrylens.llm import decontaminate
-
-    rows = [(i, prose(i, 60)) for i in range(40)]
-    bench = spark.createDataFrame([(i, t[:200]) for i, t in rows[:20]], "item_id bigint, text string")
-    whole = {(r["doc_id"], r["item_id"], r["start"], r["stop"]) for r in find_leaks(frame(spark, rows), bench).collect()}
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1000)
-    parts = {(r["doc_id"], r["item_id"], r["start"], r["stop"]) for r in find_leaks(frame(spark, rows), bench).collect()}
-    assert whole == parts and {(i, i) for i in range(20)} <= {x[:2] for x in whole}
+    """The same rows, however many blocks there are: equal, missing and repeated ids on both sides."""
+    rows = [(i if i % 5 else None, prose(i, 60)) for i in range(40)]
+    rows += [(7, rows[7][1]), (7, rows[7][1]), (8, rows[9][1]), (None, rows[9][1]), (50, rows[1][1] + " in between " + rows[12][1]), (51, None)]
+    items = [(i % 7 or None, rows[i][1][: 60 + 13 * i]) for i in range(20)] + [(3, rows[25][1]), (3, rows[25][1]), (99, "under"), (99, None)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    whole = sorted(map(tuple, find_leaks(frame(spark, rows), bench).collect()), key=repr)
+    assert len(whole) > 40
+    for size in (1500, 300):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        assert sorted(map(tuple, find_leaks(frame(spark, rows), bench).collect()), key=repr) == whole
+
+
+def test_suffix_dedup_of_rows_that_share_an_id(spark):
+    """A unique text stays, though another row of its id is a copy."""
+    a, b = prose(41, 60), prose(42, 60)
+    got = remove_repeats(frame(spark, [(1, a), (2, a), (2, b), (None, prose(43, 60)), (None, prose(44, 60))])).collect()
+    assert sorted((r["doc_id"] or 0, len(r["kept"]) == r["n_bytes"]) for r in got) == [(0, True), (0, True), (1, True), (2, False), (2, True)]
 
 
 def test_nothing(spark):

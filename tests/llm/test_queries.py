@@ -8,7 +8,7 @@ import corpus_pipeline
 from quarrylens.llm.queries import ORACLES, QUERIES
 from quarrylens.session import materialize
 
-from .fixtures import awkward, frame
+from .fixtures import awkward, frame, prose
 
 
 @pytest.fixture(scope="module")
@@ -68,4 +68,18 @@ def test_near_dedup_keeps_one_of_repeated_rows(spark, data):
     kept = corpus_pipeline.near_dedup(spark, docs, data).collect()
     ids = [r["doc_id"] for r in kept if r["doc_id"] is not None]
     assert sorted(ids) == sorted(set(ids)) and 16 in ids and 17 not in ids
-    assert sum(r["doc_id"] is None for r in kept) == 2
+    assert [r["text"] for r in kept if r["doc_id"] is None] == [None]  # the other one is a copy of document 1
+
+
+def test_stages_go_by_rows_and_not_by_ids(spark, data):
+    """Rows that share an id, or have none, are judged by their own texts."""
+    item = spark.read.parquet(f"{data}/benchmark.parquet").where("length(text) > 100").first()["text"]
+    leak, clean, copied = f"so it says {item} and more", prose(31, 90), prose(32, 90)
+    rows = [(1, clean), (1, leak), (None, leak), (None, prose(33, 90)), (2, copied), (3, copied), (3, prose(34, 90)), (None, copied), (4, None)]
+    docs = frame(spark, rows)
+    left = {(r["doc_id"], r["text"]) for r in corpus_pipeline.decontamination(spark, docs, data).collect()}
+    assert left == {r for r in rows if r[1] != leak}
+    left = {(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, data).collect()}
+    assert left == set(rows) - {(None, leak), (3, copied), (None, copied)}
+    left = {(r["doc_id"], r["text"]) for r in corpus_pipeline.line_dedup(spark, docs, data).collect()}
+    assert left == set(rows) - {(None, leak), (3, copied), (None, copied)}
