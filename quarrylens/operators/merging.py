@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylens.operators.profiling import distinct_counts, short_form
+from quarrylens.operators.sketches import Sketch, column_sketches
 from quarrylens.session import is_datetime, is_numeric, materialize, quoted
 
 
@@ -180,29 +181,50 @@ def _join(left: DataFrame, right: DataFrame, lk: str, rk: str, how: str, name: s
     return both.select(*out)
 
 
+def _reaching(sketches: Mapping[str, Mapping[str, Sketch]], threshold: float) -> set[tuple[str, str]]:
+    """(table, column) of both ends of the pairs that the sketches do not rule out."""
+    ends = [(name, c, s) for name, columns in sketches.items() for c, s in columns.items() if s.present]
+    out: set[tuple[str, str]] = set()
+    for parent in ends:
+        if parent[2].can_be_unique():
+            for child in ends:
+                if child[0] != parent[0] and child[2].can_lie_in(parent[2], threshold):
+                    out |= {parent[:2], child[:2]}
+    return out
+
+
 def relationships(
     tables: Mapping[str, DataFrame], threshold: float = 0.95, approx: bool = False
 ) -> DataFrame:
     """Child columns whose distinct values are contained in a unique column of another table.
 
     Only whole-number and text columns take part. All pairs above the threshold are
-    reported: small integer keys overlap by chance.
+    reported: small integer keys overlap by chance. Sketches of all columns come first, one
+    pass per table; values are shuffled only of columns in pairs that can reach the
+    threshold (:class:`Sketch`). ``approx`` estimates every pair from other sketches instead.
     """
-    parts, owners, unique = [], {}, set()
+    keys, sketches = {}, {}
     for name, df in tables.items():
-        fields = [
-            f for f in _scalar_fields(df) if isinstance(f.dataType, (T.IntegralType, T.StringType))
-        ]
-        keys = df.select(*[quoted(f.name) for f in fields])
-        parts.append(column_values(keys, name, approx))
-        total, distinct = _distinct_counts(keys)
-        for i, f in enumerate(fields):
-            owner = f"{name}:{i}"
-            owners[owner] = (name, f.name, distinct[f.name])
-            if total and distinct[f.name] == total:
-                unique.add(owner)
+        fields = [f for f in _scalar_fields(df) if isinstance(f.dataType, (T.IntegralType, T.StringType))]
+        keys[name] = df.select(*[quoted(f.name) for f in fields])
+        if not approx and fields:
+            # equal texts of two families never meet
+            values = {f.name: F.when(quoted(f.name).isNotNull(), F.concat(F.lit(f"{type_family(f)}:"), comparable(f))) for f in fields}
+            sketches[name] = column_sketches(keys[name], values)
+    if not approx:
+        needed = _reaching(sketches, threshold)
+        keys = {name: df.select(*[quoted(c) for c in df.columns if (name, c) in needed]) for name, df in keys.items()}
+        keys = {name: df for name, df in keys.items() if df.columns}
+    parts, owners, unique = [], {}, set()
+    for name, df in keys.items():
+        parts.append(column_values(df, name, approx))
+        total, distinct = _distinct_counts(df)
+        for i, c in enumerate(df.columns):
+            owners[f"{name}:{i}"] = (name, c, distinct[c])
+            if total and distinct[c] == total:
+                unique.add(f"{name}:{i}")
     found = []
-    for r in shared_values(parts, approx).collect():  # one row per column pair
+    for r in shared_values(parts, approx).collect() if parts else ():  # one row per column pair
         child, parent = owners[r["owner"]], owners[r["other"]]
         contained = min(r["shared"] / max(child[2], 1), 1.0)
         if r["other"] in unique and child[0] != parent[0] and contained >= threshold:
