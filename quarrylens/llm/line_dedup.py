@@ -1,24 +1,28 @@
-"""Fuzzy line dedup: MinHash, banding, exact Jaccard, union-find. DataFrame functions only."""
+"""Fuzzy line dedup: MinHash, banding, exact Jaccard, union-find.
+
+Signatures and sets of shingles come from arrays in Arrow tasks: one row per character made
+them cost more than the whole budget (README); all else is DataFrame functions.
+"""
 
 from __future__ import annotations
 
 import uuid
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import BROADCAST_BYTES, fresh, id_and_text, small
+from quarrylens.llm.common import BROADCAST_BYTES, fresh, id_and_text, slices, small
 from quarrylens.llm.components import components
+from quarrylens.llm.shingles import MULTIPLIER, mixed
 from quarrylens.session import materialize, quoted, scratch_folder
 
 #: Characters of a shingle, one from every place of a line; a shorter line is one shingle.
 SHINGLE = 10
-WINDOWS = f"(?s)(?=(.{{{SHINGLE}}}|^.{{1,{SHINGLE - 1}}}\\z))."
-#: Characters whose shingles are cut from one piece of a line, which reaches over its end.
-PIECE = 256
-PIECES = f"(?s)(?=(.{{1,{PIECE + SHINGLE - 1}}})).{{1,{PIECE}}}"
-BANDS, ROWS = 12, 3
+SLICE = 1 << 20
+BANDS, ROWS = 10, 3
 PERCENT = 80
 #: Minima whose low bits are kept, and the share of equal ones below which a pair of an unsettled bucket is not verified: four standard errors.
 KEPT, LEAST_EQUAL = 16, 0.4
@@ -44,8 +48,65 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def shingles(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(WINDOWS), F.lit(1))
+def gram_hashes(codes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the SHINGLE code points from every position that has so many."""
+    wide = {1: mixed(codes.astype(np.uint64) + MULTIPLIER)}
+    for width in (2, 4, 8):
+        half = wide[width // 2]
+        wide[width] = mixed(half[: len(half) - width // 2] * MULTIPLIER + half[width // 2 :])
+    n = max(0, len(codes) - SHINGLE + 1)
+    return mixed(wide[8][:n] * MULTIPLIER + wide[2][8 : 8 + n])
+
+
+class Signer:
+    """Minimum hashes of the shingles of the lines of many texts at a time."""
+
+    def __init__(self, second_seed: int, seed: int = 3):
+        random = np.random.default_rng(seed)
+        self.second_seed = second_seed  # of the second half of a line's name
+        self.offsets = random.integers(0, 2**63, BANDS * ROWS // 2, np.uint64)
+        self.salts = random.integers(0, 2**63, BANDS, np.uint64)
+
+    def names(self, lines: list[str]) -> tuple[list[int], list[int]]:
+        """Spark's xxhash64(line) and xxhash64(1, line) of every line."""
+        from xxhash import xxh64_intdigest
+
+        data = [line.encode("utf-8", "surrogatepass") for line in lines]
+        return tuple(np.array([xxh64_intdigest(d, seed) for d in data], np.uint64).view(np.int64) for seed in (42, self.second_seed))
+
+    def sign(self, texts: list[str]):
+        """Of every line with a word: its text's number, the line, band keys, low bits, and whether it has bands.
+
+        A line of fewer than SHINGLE characters is a single shingle that no other line has, so it needs no bands.
+        """
+        lines = [t.split("\n") for t in texts]
+        owner = np.repeat(np.arange(len(texts)), [len(x) for x in lines])
+        lines = [line for x in lines for line in x]
+        codes = np.frombuffer("\n".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+        start = np.cumsum(sizes + 1) - sizes - 1
+        black = np.r_[0, np.cumsum((codes != 32) & ((codes < 9) | (codes > 13)))]
+        worded = np.flatnonzero(black[start + sizes] > black[start])
+        many = sizes[worded] - SHINGLE + 1
+        long = many > 0
+        at, n = start[worded[long]], many[long]
+        first = np.cumsum(n) - n
+        h = gram_hashes(codes)[np.repeat(at - first, n) + np.arange(int(n.sum()))]
+        minima = np.empty((BANDS * ROWS, len(n)), np.uint64)
+        for i, offset in enumerate(self.offsets if len(n) else ()):
+            halves = mixed(h + offset).view(np.uint32).reshape(-1, 2)
+            for j in (0, 1):
+                minima[2 * i + j] = np.minimum.reduceat(halves[:, j], first)
+        keys = np.zeros((BANDS, len(worded)), np.uint64)
+        low = np.zeros(len(worded), np.uint64)
+        for b in range(BANDS):
+            key = np.full(len(n), self.salts[b])
+            for r in range(ROWS):
+                key = mixed(key * MULTIPLIER + minima[b * ROWS + r])
+            keys[b, long] = key
+        for i in range(KEPT):
+            low[long] |= (mixed(minima[i]) & np.uint64(15)) << np.uint64(4 * i)
+        return owner[worded], [lines[i] for i in worded.tolist()], keys.view(np.int64), low.view(np.int64), long
 
 
 def lines_of(rows: DataFrame) -> DataFrame:
@@ -56,38 +117,25 @@ def lines_of(rows: DataFrame) -> DataFrame:
     )
 
 
-def windows(i: int) -> list[Column]:
-    """Four 32-bit windows of the i-th hash of a shingle, from every sixteenth bit: each gives a minimum of its own."""
-    x = F.xxhash64(F.lit(i), "h")
-    turned = F.shiftleft(x, 48).bitwiseOR(F.shiftrightunsigned(x, 16))
-    return [F.shiftright(y, 32) for y in (x, F.shiftleft(x, 16), F.shiftleft(x, 32), turned)]
-
-
 def signed_lines(rows: DataFrame) -> DataFrame:
-    """Distinct lines: name, copies, smallest document, band keys and low bits of the minima of their shingles.
-
-    Shingles become rows inside the task and fold into one row per distinct line before
-    anything is shuffled. A long line is read piece by piece, so its cost grows with its length.
-    """
-    pieces = lines_of(rows).select("h1", "h2", "doc_id", F.posexplode(F.regexp_extract_all("line", F.lit(PIECES), F.lit(1))).alias("no", "piece"))
-    size = F.char_length("piece")
-    last = F.when(size >= SHINGLE, size - SHINGLE + 1).when(F.col("no") == 0, 1)  # the end of a line lies in the piece before
-    places = pieces.where(last.isNotNull()).withColumn("at", F.explode(F.sequence(F.lit(1), last)))
-    hashed = places.select("h1", "h2", "doc_id", ((F.col("no") == 0) & (F.col("at") == 1)).alias("first"), F.xxhash64(F.substring("piece", F.col("at"), F.lit(SHINGLE))).alias("h"))
-    values = [x for i in range(BANDS * ROWS // 4) for x in windows(i)]
-    folded = hashed.groupBy("h1", "h2").agg(
-        F.sum(F.col("first").cast("bigint")).alias("copies"), F.min("doc_id").alias("first_doc"), *[F.min(x).alias(f"x{i}") for i, x in enumerate(values)]
-    )
-    bands = F.array(*[F.xxhash64(F.lit(b), *[f"x{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
-    return folded.select("h1", "h2", "copies", "first_doc", bands.alias("bands"), low_bits().alias("minima"))
-
-
-def low_bits() -> Column:
-    """Four bits of each of the first KEPT minima, packed in one number."""
-    return reduce(
-        lambda packed, i: packed.bitwiseOR(F.shiftleft(F.xxhash64(f"x{i}").bitwiseAND(F.lit(15)), 4 * i)),
-        range(KEPT), F.lit(0).cast("bigint"),
-    )
+    """Distinct lines: name, copies, smallest document, band keys and low bits of the minima of their shingles."""
+    second_seed = rows.sparkSession.range(1).select(F.xxhash64(F.lit(1))).first()[0] % 2**64
+    bands = [f"b{i}" for i in range(BANDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(second_seed)
+        for part in slices(batches, limit=SLICE):
+            owner, lines, keys, low, long = signer.sign(part.column("text").to_pylist())
+            ids = part.column("doc_id").to_numpy()[owner]
+            yield pa.RecordBatch.from_arrays(
+                [*map(pa.array, signer.names(lines)), pa.array(ids), *map(pa.array, keys), pa.array(low), pa.array(long)],
+                ["h1", "h2", "doc_id", *bands, "minima", "long"],
+            )
+
+    kinds = ", ".join(f"{c} bigint" for c in ("h1", "h2", "doc_id", *bands, "minima"))
+    lines = rows.where("doc_id IS NOT NULL").mapInArrow(run, f"{kinds}, long boolean")
+    values = [F.max(c).alias(c) for c in (*bands, "minima")]  # equal lines have equal ones
+    return lines.groupBy("h1", "h2", "long").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"), *values)
 
 
 def shingle_sets(rows: DataFrame, needed: DataFrame) -> DataFrame:
@@ -98,8 +146,13 @@ def shingle_sets(rows: DataFrame, needed: DataFrame) -> DataFrame:
     lines = rows.where("doc_id IS NOT NULL").select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
     lines = lines.select("doc_id", "line", F.xxhash64("line").alias("h1"))
     chosen = lines.join(small(needed.withColumnRenamed("first_doc", "doc_id"), 16), ["h1", "doc_id"], "left_semi")
-    distinct = F.array_distinct(shingles(F.col("line")))
-    return chosen.select("h1", F.transform(distinct, lambda s: F.xxhash64(s)).alias("members")).toDF("id", "members")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "line", SLICE):
+            sets = [np.unique(gram_hashes(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32))).view(np.int64) for x in part.column("line").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("h1"), pa.array(sets, pa.list_(pa.int64()))], ["id", "members"])
+
+    return chosen.select("h1", "line").mapInArrow(run, "id bigint, members array<bigint>")
 
 
 def alike(a: Column, b: Column, percent: int) -> Column:
@@ -161,7 +214,7 @@ def linked(classes: DataFrame, rows: DataFrame, percent: int, scratch: Scratch)
     member that shares most buckets with others. Only buckets that still hold several
     components after that compare members across components.
     """
-    keys = classes.select(F.col("h1").alias("id"), F.explode("bands").alias("band"))
+    keys = classes.where("long").select(F.col("h1").alias("id"), F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band"))
     shared = scratch.store(keys.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
     members = scratch.store(keys.join(small(shared, 16), "band"))
     popular = members.groupBy("id").agg(F.sum("members").alias("popularity"))
@@ -218,12 +271,12 @@ def dedup_lines(
     ``percent`` or more; of each connected component the first line (smallest id, then
     smallest place) stays. Candidates come from BANDS bands of ROWS minima, and every link
     is verified exactly. A pair at the threshold misses all bands with a probability of
-    1.8e-4 and is ruled out by the low bits of its minima with one of 1.4e-4, in a bucket
+    7.7e-4 and is ruled out by the low bits of its minima with one of 1.4e-4, in a bucket
     of more than two; above the threshold both fall fast. Lines go by 64 bits of their hash
     between those steps: among 1e12 distinct lines some thousand unrelated pairs share it.
 
-    Line texts are not shuffled for candidates: shingle rows fold into one signature per
-    distinct line in the task. A line copied any number of times is one row after that.
+    Line texts are not shuffled for candidates: what is shuffled is one signature per line,
+    folded by line in the task. A line copied any number of times is one row after that.
 
     A null text stays null and has no lines; a row with a null id is left as it is. Rows
     that share an id are one document. Very long texts and lines are read whole; an empty

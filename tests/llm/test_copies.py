@@ -219,6 +219,15 @@ def test_nothing(spark):
     assert find_leaks(none, bench).count() == find_leaks(frame(spark, awkward()), bench).count() == 0
 
 
-def test_line_dedup_is_native(spark, data):
+def test_line_dedup_has_no_python_by_row(spark, data):
     plan = dedup_lines(spark.read.parquet(f"{data}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan.replace("ArrowConverters", "")
+
+
+def test_line_names_are_those_of_spark(spark):
+    from quarrylens.llm.line_dedup import Signer
+
+    lines = ["", "a", "été 日本 😀", "x" * 100, "\0"]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").selectExpr("line", "xxhash64(line) AS h1", "xxhash64(1, line) AS h2")
+    seed = spark.sql("SELECT xxhash64(1)").first()[0] % 2**64
+    assert {r["line"]: (r["h1"], r["h2"]) for r in rows.collect()} == {x: (int(a), int(b)) for x, a, b in zip(lines, *Signer(seed).names(lines))}
