@@ -3,21 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import PCA, Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylens.operators.clusters import fit_centres, nearest
 from quarrylens.operators.statistics import correlations
-from quarrylens.session import quoted
+from quarrylens.session import materialize, quoted
 
 
 def complete_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -48,35 +47,29 @@ def vectors(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> Dat
 # --- clusters ----------------------------------------------------------------------------
 
 
-def kmeans_elbow(
-    df: DataFrame, cols: Sequence[str], kmax: int = 10, seed: int = 42, parallel: int = 4
-) -> DataFrame:
-    """Inertia for k = 2 .. min(kmax, n / 5). Fits are independent jobs over one cached table."""
-    data = vectors(df, cols).select("features").persist()
-    sizes = range(2, min(kmax, data.count() // 5) + 1)
-    inertia = lambda k: float(KMeans(k=k, seed=seed).fit(data).summary.trainingCost)
-    with ThreadPoolExecutor(parallel) as pool:
-        rows = list(zip(sizes, pool.map(inertia, sizes)))
-    data.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double")
+def kmeans_elbow(df: DataFrame, cols: Sequence[str], kmax: int = 10, seed: int = 42) -> DataFrame:
+    """Inertia for k = 2 .. min(kmax, n / 5), all fitted in the same scans of one stored table."""
+    scaled = standardize(complete_rows(df.select(*[quoted(c) for c in cols]), cols), cols)
+    points = materialize(scaled.select(*[quoted(c) for c in cols]))
+    fitted = fit_centres(points, range(2, min(kmax, points.count() // 5) + 1), seed)
+    return df.sparkSession.createDataFrame([(k, float(cost)) for k, (_, cost) in fitted.items()], "k int, inertia double")
 
 
 def kmeans(df: DataFrame, cols: Sequence[str], k: int = 4, seed: int = 42, key: Sequence[str] = ()) -> DataFrame:
     """Rows with their cluster (``prediction``), clustered on standardised columns."""
     names = list(dict.fromkeys([*key, *cols]))
     raw = complete_rows(df.select(*[quoted(c) for c in names]), cols)
-    scaled = standardize(raw.withColumns({f"_z_{c}": quoted(c) for c in cols}), [f"_z_{c}" for c in cols])
-    data = VectorAssembler(inputCols=[f"_z_{c}" for c in cols], outputCol="features").transform(scaled)
-    points = data.select("features").persist()
-    model = KMeans(k=k, seed=seed).fit(points)
-    points.unpersist()
-    return model.transform(data).select(*names, "prediction")
+    z = [f"_z_{c}" for c in cols]
+    data = materialize(standardize(raw.withColumns({f"_z_{c}": quoted(c) for c in cols}), z))
+    fitted = fit_centres(data.select(*[quoted(c) for c in z]), [k], seed)
+    if k not in fitted:
+        raise ValueError(f"fewer than {k} complete rows")
+    return data.select(*[quoted(c) for c in names], nearest([quoted(c) for c in z], fitted[k][0]).alias("prediction"))
 
 
 def cluster_sizes(labelled: DataFrame) -> DataFrame:
     sizes = labelled.groupBy("prediction").agg(F.count(F.lit(1)).alias("samples"))
-    total = labelled.agg(F.count(F.lit(1))).scalar()
-    return sizes.withColumn("share", F.col("samples") / total)
+    return sizes.withColumn("share", F.col("samples") / F.sum("samples").over(Window.partitionBy()))  # a row per cluster
 
 
 def cluster_profiles(labelled: DataFrame, cols: Sequence[str]) -> DataFrame:
