@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrylens.operators import finance, series
+from quarrylens.operators import finance, series, smoothing
 from quarrylens.queries.registry import query
 
 DAILY = "SELECT o_orderdate AS day, sum(o_totalprice) AS total FROM {orders} GROUP BY o_orderdate"
@@ -117,6 +117,38 @@ def holt(t):
     return series.holt(t.sql(MONTHLY, "orders"), "total", ["month"], ["priority"])
 
 
+# Sums of squared one-step errors of every pair of parameters, walked month by month.
+WALK = """
+SELECT g.priority, g.alpha, g.beta, a.pos + 1 AS pos, a.x AS level, b.x - a.x AS trend, CAST(0 AS DOUBLE) AS sse
+FROM {grid} g JOIN i a ON a.priority = g.priority AND a.pos = 0 JOIN i b ON b.priority = g.priority AND b.pos = 1
+UNION ALL
+SELECT s.priority, s.alpha, s.beta, s.pos + 1, s.level + s.trend + s.alpha * (i.x - s.level - s.trend),
+       s.trend + s.alpha * s.beta * (i.x - s.level - s.trend), s.sse + (i.x - s.level - s.trend) * (i.x - s.level - s.trend)
+FROM {name} s JOIN i ON i.priority = s.priority AND i.pos = s.pos
+"""
+
+
+@query("q6_holt_fitted", f"""
+WITH RECURSIVE {MONTHLY_SQL},
+i AS (SELECT priority, CAST(total AS DOUBLE) AS x, CAST(row_number() OVER (PARTITION BY priority ORDER BY month) - 1 AS BIGINT) AS pos,
+             count(*) OVER (PARTITION BY priority) AS n FROM m),
+d AS (SELECT DISTINCT priority, n FROM i),
+v AS (SELECT CAST(round(0.05 + 0.1 * k, 2) AS DOUBLE) AS v FROM (SELECT unnest(range(0, 10)) AS k)),
+g1 AS (SELECT priority, a.v AS alpha, b.v AS beta FROM d, v a, v b),
+s1 AS ({WALK.format(grid="g1", name="s1")}),
+b1 AS (SELECT s1.priority, arg_min(alpha, sse) AS alpha, arg_min(beta, sse) AS beta FROM s1 JOIN d ON d.priority = s1.priority AND d.n = s1.pos GROUP BY 1),
+w AS (SELECT 0.02 * k AS w FROM (SELECT unnest(range(-4, 5)) AS k)),
+g2 AS (SELECT DISTINCT priority, CAST(least(0.99, greatest(0.01, round(alpha + a.w, 2))) AS DOUBLE) AS alpha,
+              CAST(least(0.99, greatest(0.01, round(beta + b.w, 2))) AS DOUBLE) AS beta FROM b1, w a, w b),
+s2 AS ({WALK.format(grid="g2", name="s2")}),
+e AS (SELECT s2.*, d.n FROM s2 JOIN d ON d.priority = s2.priority AND d.n = s2.pos QUALIFY row_number() OVER (PARTITION BY s2.priority ORDER BY sse) = 1)
+SELECT priority, alpha, beta, sse, CAST(h.step AS INTEGER) AS step, level + h.step * trend AS forecast
+FROM e, (SELECT unnest(range(1, 13)) AS step) h WHERE h.step <= n // 5
+""", approx="sse forecast", digits=7)
+def holt_fitted(t):
+    return smoothing.fitted_holt(t.sql(MONTHLY, "orders"), "total", ["month"], ["priority"])
+
+
 @query("q6_trend_forecast", f"""
 WITH {MONTHLY_SQL}, i AS (SELECT priority, total, row_number() OVER (PARTITION BY priority ORDER BY month) - 1 AS x FROM m),
 f AS (SELECT priority, count(*) AS n, regr_slope(total, x) AS b, regr_intercept(total, x) AS a FROM i GROUP BY 1)
@@ -159,17 +191,17 @@ def dominant_frequency(t):
 
 
 # The mean price of each order day: one series of over two thousand points.
-DAILY = "SELECT o_orderdate AS day, avg(o_totalprice) AS total FROM {orders} GROUP BY 1"
+DAY_MEANS = "SELECT o_orderdate AS day, avg(o_totalprice) AS total FROM {orders} GROUP BY 1"
 
 
-@query("q7_full_spectrum", "WITH i AS (SELECT total AS x, row_number() OVER (ORDER BY day) - 1 AS pos, count(*) OVER () AS n FROM (" + DAILY.replace("{orders}", "orders") + """)),
+@query("q7_full_spectrum", "WITH i AS (SELECT total AS x, row_number() OVER (ORDER BY day) - 1 AS pos, count(*) OVER () AS n FROM (" + DAY_MEANS.replace("{orders}", "orders") + """)),
 p AS (SELECT k.bin, n, sum(x * cos(2 * pi() * ((k.bin * pos) % n) / n)) AS re, sum(x * sin(2 * pi() * ((k.bin * pos) % n) / n)) AS im
       FROM i, (SELECT unnest(range(0, (SELECT max(n) // 2 FROM i))) AS bin) k GROUP BY 1, 2)
 SELECT CAST(bin AS INTEGER) AS bin, bin / n AS frequency, re * re + im * im AS power FROM p
 """, approx="frequency power", digits=5)
 def full_spectrum(t):
     """Every bin of one long series, in tasks that hold few of its points; a prime length goes through the chirp."""
-    return series.periodogram(t.sql(DAILY, "orders"), "total", ["day"], points=256)
+    return series.periodogram(t.sql(DAY_MEANS, "orders"), "total", ["day"], points=256)
 
 
 # A customer is a project, the order year its period; the first year is the outlay.
