@@ -35,6 +35,15 @@ def normal_sf(z):
     return (0.5 * _erfc(np.asarray(z, float) / math.sqrt(2.0)))[()]
 
 
+def log_normal_cdf(z):
+    """ln of the normal distribution function, also where it is too small for a double."""
+    z = np.asarray(z, float)
+    low = np.minimum(z, -30.0)
+    far = -low * low / 2 - np.log(-low) - 0.5 * math.log(2 * math.pi) + np.log1p(-1 / (low * low) + 3 / low**4)
+    near = np.log(0.5 * _erfc(-np.maximum(z, -30.0) / math.sqrt(2.0)))
+    return np.where(z < -30.0, far, near)[()]
+
+
 def _stirling(x):
     """ln Gamma(x) less Stirling's main terms, for x of 10 and more."""
     y = 1.0 / (x * x)

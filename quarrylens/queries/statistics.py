@@ -168,6 +168,24 @@ def normality(t):
     return st.normality(t.lineitem, ["l_quantity", "l_extendedprice", "l_tax"]).drop("p")
 
 
+# The normal distribution function by its power series: every term is positive.
+CDF = """0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 80),
+  lambda k: exp((2 * k + 1) * ln(greatest(abs(z), 1e-300)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1))))"""
+
+
+@query("e8_order_test", "WITH v AS (" + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS x FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_tax")
+) + f"""),
+f AS (SELECT "column", count(*) AS n, avg(x) AS m, stddev_samp(x) AS s FROM v GROUP BY 1),
+g AS (SELECT v."column", x, count(*) AS c, sum(count(*)) OVER (PARTITION BY v."column" ORDER BY x) AS upto FROM v GROUP BY 1, 2),
+z AS (SELECT g."column", n, c, 2 * upto - c AS r, (x - m) / s AS z FROM g JOIN f ON f."column" = g."column"),
+p AS (SELECT *, {CDF} AS p FROM z)
+SELECT "column", n, -n - sum(c * (r * ln(p) + (2 * n - r) * ln(1 - p))) / n AS a2 FROM p GROUP BY "column", n
+""", approx="a2", digits=5)
+def order_test(t):
+    return st.order_normality(t.lineitem, ["l_quantity", "l_extendedprice", "l_tax"]).drop("p")
+
+
 @query("e9_density", """
 WITH a AS (SELECT min(o_totalprice) AS lo, (max(o_totalprice) - min(o_totalprice)) / 30 AS w, count(*) AS n,
                   avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders),
