@@ -348,15 +348,15 @@ FINGERPRINT_FIELDS = (
 
 
 def fingerprint(df: DataFrame, sample_size: int = 5, exact_distinct: bool = True) -> DataFrame:
-    """The semantic schema as a DataFrame; ``sample`` holds the smallest few values."""
+    """The semantic schema as a DataFrame; ``sample`` holds the smallest few values as text, a long one by its first LONG_TEXT characters."""
     samples: dict[str, list[str]] = {}
     profile = semantic_profile(df, exact_distinct)
     if sample_size:
         cells = [
-            F.struct(F.lit(p["position"]).alias("i"), quoted(p["column"]).cast("string").alias("v")) for p in profile
+            F.struct(F.lit(p["position"]).alias("i"), F.left(quoted(p["column"]).cast("string"), F.lit(LONG_TEXT)).alias("v")) for p in profile
         ]
         values = df.select(F.inline(F.array(*cells))).where(F.col("v").isNotNull())
-        # the smallest distinct texts: a top-k per column, cut in every task before the shuffle
+        # short texts, deduplicated in every task before they are shuffled; then a top-k per column
         found = values.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("v")))
         for r in found.where(F.col("rank") <= sample_size).orderBy("i", "rank").collect():
             samples.setdefault(profile[r["i"]]["column"], []).append(r["v"])

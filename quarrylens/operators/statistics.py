@@ -286,7 +286,7 @@ def order_normality(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     found = scored.groupBy("column").agg(F.max("n").alias("n"), F.sum(part).alias("s"))
     a2 = F.when(F.col("n") >= 8, -F.col("n") - F.col("s") / F.col("n"))
     a = F.col("a2") * (1 + 0.75 / F.col("n") + 2.25 / (F.col("n") * F.col("n")))
-    known = found.withColumn("a2", a2).withColumn("a", F.least(a, F.lit(150.0)))
+    known = found.withColumn("a2", a2).withColumn("a", F.when(a < 150, a).when(a >= 150, 150.0))
     # Coefficients of the p-value by size of the statistic.
     p = (
         F.when(F.col("a") >= 0.6, F.exp(1.2937 - 5.709 * F.col("a") + 0.0186 * F.col("a") * F.col("a")))

@@ -407,7 +407,7 @@ def dashboard_values(t):
 @query("d26_dashboard", """
 WITH n AS (SELECT count(DISTINCT l_shipdate) AS days, count(DISTINCT l_returnflag) AS flags, count(DISTINCT l_linestatus) AS states FROM lineitem),
 h AS (""" + "\nUNION ALL ".join(
-    HISTOGRAM_SQL.replace("{c}", c).replace("{bins}", "25") for c in ("l_orderkey", "l_partkey", "l_suppkey")
+    HISTOGRAM_SQL.replace("{c}", c).replace("{bins}", "25") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 ) + """)
 SELECT 'records' AS chart, CAST(1 AS BIGINT) AS rows UNION ALL SELECT 'kpi', 4 UNION ALL SELECT 'kpi_trend', 4
 UNION ALL SELECT 'target_over_time', days FROM n UNION ALL SELECT 'target_by', least(flags, 15) FROM n
@@ -418,6 +418,6 @@ UNION ALL SELECT 'histograms', (SELECT count(*) FROM h)
 """)
 def full_dashboard(t):
     """Names and row counts of every chart of the whole dashboard of lineitem."""
-    made = dashboard(t.lineitem, ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], max_histograms=3)
+    made = dashboard(t.lineitem, ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"])
     parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("chart"), "rows") for n, df in made.items()]
     return reduce(lambda a, b: a.unionByName(b), parts)

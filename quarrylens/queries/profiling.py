@@ -78,6 +78,21 @@ def fingerprint(t):
     return profiling.fingerprint(t.lineitem, sample_size=0).drop("sample", "dtype")
 
 
+def _sample_sql(column: str, source: str) -> str:
+    texts = f"SELECT DISTINCT left(CAST({column} AS VARCHAR), 64) AS v FROM {source} WHERE {column} IS NOT NULL ORDER BY v LIMIT 3"
+    return f"(SELECT string_agg(v, '|' ORDER BY v) FROM ({texts}))"
+
+
+@query("c4_fingerprint_sample", "\nUNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", '{kind}' AS dtype, {_sample_sql(c, 'documents')} AS sample"
+    for c, kind in (("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"))
+))
+def fingerprint_sample(t):
+    """Types and the smallest few values of every column; whole texts are not shuffled."""
+    found = profiling.fingerprint(t.documents, sample_size=3)
+    return found.select("column", "dtype", F.array_join("sample", "|").alias("sample"))
+
+
 @query("c5_agg_type", """
 WITH r AS (SELECT min(p_size) AS lo, max(p_size) AS hi, avg(p_size) AS m FROM part)
 SELECT 'p_partkey' AS "column", 'sum' AS agg UNION ALL SELECT 'p_retailprice', 'mean'
