@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,9 +167,9 @@ def unsettled_links(members: DataFrame, labels: DataFrame, sets: DataFrame, clas
     """Links between components in the buckets that still hold several.
 
     The lines of these buckets are dealt into parts of about PART lines by their largest
-    bucket. Every two parts that meet in a bucket are one row, in which lines of different
-    components are compared, first by low bits of their minima, then on their sets. Only
-    links leave it.
+    bucket. Every two parts that meet in a bucket are one group, in which lines of different
+    components are compared, likeliest first by low bits of their minima, then on their
+    sets; a link joins their components for the rest of the group. Only links leave it.
     """
     labelled = (
         members.where("members > 2")  # a bucket of two is settled by its one pair
@@ -189,22 +190,42 @@ def unsettled_links(members: DataFrame, labels: DataFrame, sets: DataFrame, clas
     # two parts of one and the same component have nothing to compare
     tiles = meeting.join(other, "band").where("part <= other AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)")
     tiles = scratch.store(tiles.select(F.col("part").alias("i"), F.col("other").alias("j")).distinct())
-    needed = tiles.select(F.explode(F.array("i", "j")).alias("part")).distinct()
-    full = placed.join(needed, "part", "left_semi").groupBy("part").agg(F.collect_list(F.struct("id", "label", "minima", "set")).alias("lines"))  # about PART lines
-    rows = tiles.join(full.toDF("i", "left"), "i").join(full.toDF("j", "right"), "j")
-
-    def link(a: Column, b: Column) -> Column:
-        bits = a["minima"].bitwiseXOR(b["minima"])
-        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
-        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2)).bitwiseAND(F.lit(LOWEST))
-        close = F.bit_count(bits) <= (1 - LEAST_EQUAL) * KEPT
-        return (a["label"] != b["label"]) & close & alike(a["set"], b["set"], percent)
-
-    def partners(a: Column) -> Column:
-        ends = lambda b: F.struct(F.least(a["id"], b["id"]).alias("a"), F.greatest(a["id"], b["id"]).alias("b"))
-        return F.transform(F.filter("right", lambda b: link(a, b)), ends)
-
-    return scratch.store(rows.select(F.inline(F.flatten(F.transform("left", partners)))).distinct())
+    columns = ["i", "j", "side", "id", "label", "minima", "set"]
+    sides = [
+        tiles.join(placed, F.col(end) == F.col("part")).withColumn("side", F.lit(side)).select(*columns)
+        for side, end in ((0, "i"), (1, "j"))
+    ]
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids, names, bits, sets = [], [], [], []
+        for side in (0, 1):
+            rows = group.filter(pa.compute.equal(group["side"], side)).combine_chunks()
+            ids.append(rows["id"].to_numpy())
+            names.append(rows["label"].to_numpy().copy())
+            bits.append(rows["minima"].to_numpy().view(np.uint64))
+            sets.append([x.values.to_numpy() for x in rows["set"]])
+        counts = np.array([len(x) for x in sets[1]])
+        left, right = [], []
+        for i, mine in enumerate(sets[0]):
+            differing = bits[1] ^ bits[0][i]
+            differing |= differing >> np.uint64(1)
+            differing = np.bitwise_count((differing | differing >> np.uint64(2)) & np.uint64(LOWEST))
+            fits = 100 * np.minimum(counts, len(mine)) >= percent * np.maximum(counts, len(mine))
+            at = np.flatnonzero(fits & (names[1] != names[0][i]) & (differing <= (1 - LEAST_EQUAL) * KEPT))
+            for j in at[np.argsort(differing[at], kind="stable")].tolist():
+                a, b = names[0][i], names[1][j]
+                if a == b:
+                    continue  # joined by a link of this comparison
+                shared = len(np.intersect1d(mine, sets[1][j], assume_unique=True))
+                if 100 * shared >= percent * (len(mine) + counts[j] - shared):
+                    left.append(ids[0][i])
+                    right.append(ids[1][j])
+                    for side in names:
+                        side[side == b] = a
+        lo, hi = np.minimum(left, right), np.maximum(left, right)
+        return pa.table({"a": pa.array(lo, pa.int64()), "b": pa.array(hi, pa.int64())})
+
+    return scratch.store(sides[0].unionByName(sides[1]).groupBy("i", "j").applyInArrow(compare, "a bigint, b bigint").distinct())
 
 
 def linked(classes: DataFrame, rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
