@@ -22,7 +22,7 @@ def _distance(x: float | timedelta, whole: bool) -> int | float:
     return int(x) if whole else float(x)
 
 
-def _block_ranges(nodes: DataFrame, ranges: DataFrame, keys: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
+def block_ranges(nodes: DataFrame, ranges: DataFrame, keys: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
     """Totals of whole blocks x to y of a key: each range is a few nodes of a binary tree over the blocks."""
     top = nodes.agg(F.max("_i")).first()[0] or 0
     level, levels = nodes, [nodes.withColumn("_j", F.lit(0))]
@@ -114,7 +114,7 @@ def range_frames(
     ranges = left.select(*keys, "_v", (F.col("_end") + 1).alias("_x"), (F.col("_home") - 1).alias("_y"))
     ranges = ranges.unionByName(right.select(*keys, "_v", (F.col("_home") + 1).alias("_x"), (F.col("_end") - 1).alias("_y"))).where("_x <= _y")
     nodes = placed.select(*keys, F.col("_home").alias("_i"), "_self.*").groupBy(*keys, "_i").agg(*[e.alias(c) for c, e in totals.items()])
-    between = _block_ranges(materialize(nodes), ranges, keys, totals)
+    between = block_ranges(materialize(nodes), ranges, keys, totals)
     parts += [right.select(*keys, "_v", "_part.*"), left.select(*keys, "_v", "_part.*")]
     parts.append(join_keys(ranges, between, [*keys, "_x", "_y"]).drop("_x", "_y"))
     parts.append(lone)

@@ -1,5 +1,6 @@
 """Ordered and quantile operators against brute force, with blocks small enough to matter."""
 
+import math
 import random
 
 import numpy as np
@@ -135,6 +136,20 @@ def test_range_join_equals_nested_loop(spark, table, skewed):
     assert pairs == want and got.count() == len(want)
 
 
+def test_range_totals_make_no_pairs(spark):
+    """A sum that is small beside those around it stays exact; equal, empty and missing bands and values."""
+    values = [1e15, -1e15 + 0.5, 0.25, 0.25, 0.5, None, 3.0, -4.0, 0.0, 7.5] + [float(i) for i in range(100, 160)]
+    bands = [(1, 0.25, 3.0), (1, 0.25, 3.0), (2, 0.5, 3.5), (3, -1e16, 1e16), (4, 8.0, 9.0), (5, 3.0, 3.0), (6, None, 1.0), (None, 100.0, 130.5)]
+    left, right = spark.createDataFrame([(v,) for v in values], "x double"), spark.createDataFrame(bands, "band int, low double, high double")
+    got = relational.range_join(left, right, "x", "low", "high", 1e-9, totals={"n": ("count", "x"), "s": ("sum", "x")})
+    want = []
+    for band, low, high in bands:
+        hit = [v for v in values if v is not None and low is not None and low <= v < high]
+        if hit:
+            want.append((band, low, high, len(hit), math.fsum(hit)))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
 def test_asof_join(spark, table, skewed):
     right = skewed[skewed["id"] % 7 == 0][["key", "at", "id", "x"]].drop_duplicates(["key", "at"])
     left = skewed[skewed["id"] % 7 != 0][["key", "at", "id"]]
