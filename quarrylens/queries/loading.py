@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarrylens.operators.profiling import quality
@@ -18,6 +20,16 @@ def fresh_path(spark, name: str) -> str:
     return f"{scratch_folder(spark)}/{uuid.uuid4().hex}/{name}"
 
 
+def write_lines(rows, path: str, header: str) -> None:
+    """Write the text column ``value`` as lines; every task writes a file of its own, which begins with the header."""
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([header])], ["value"])
+        yield from batches
+
+    rows.select("value").mapInArrow(headed, "value string").write.text(path)
+
+
 @query("a1_csv_scan", """
 SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part
 """, approx="p_retailprice")
@@ -47,8 +59,7 @@ def csv_quoted_breaks_malformed(t):
     """Records over several lines, some with a field too many: those are left out whole and listed whole."""
     path = fresh_path(t.spark, "documents.csv")
     record = F.concat(F.col("doc_id"), F.lit(';"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'), F.when(F.col("doc_id") % 7 == 0, ";x").otherwise(""))
-    header = t.spark.createDataFrame([("key;words",)], "value string")
-    header.unionByName(t.documents.where("text <> ''").select(record.alias("value"))).coalesce(1).write.text(path)
+    write_lines(t.documents.where("text <> ''").select(record.alias("value")), path, "key;words")
     good = load(t.spark, path, "csv", sep="auto").agg(
         F.lit("whole").alias("kind"), F.count(F.lit(1)).alias("rows"), F.sum(F.char_length("words")).alias("chars")
     )
@@ -105,9 +116,7 @@ def csv_malformed(t):
     line = F.concat_ws(";", "o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")))
     line = F.when(F.col("o_orderkey") % 7 == 0, F.concat_ws(";", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderstatus")).otherwise(line)
     path = fresh_path(t.spark, "orders.csv")
-    rows = t.orders.select(line.alias("value"))
-    header = t.spark.createDataFrame([("key;custkey;priority",)], "value string")
-    header.unionByName(rows).coalesce(1).write.text(path)
+    write_lines(t.orders.select(line.alias("value")), path, "key;custkey;priority")
     good = load(t.spark, path, "csv", sep="auto")
     kind = F.when(F.col("priority").isNull(), "short").otherwise("whole")
     counted = good.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("rows"), F.sum("custkey").cast("bigint").alias("custkeys"))
@@ -133,7 +142,7 @@ def csv_late_encoding(t):
     path = fresh_path(t.spark, "names.csv")
     last = t.orders.agg(F.max("o_orderkey")).scalar()
     name = F.when(F.col("o_orderkey") == last, "Müller").otherwise(F.col("o_orderpriority"))
-    rows = t.orders.select("o_orderkey", name.alias("name")).orderBy("o_orderkey").coalesce(1)
+    rows = t.orders.select("o_orderkey", name.alias("name")).orderBy("o_orderkey")
     rows.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
     return load(t.spark, path, "csv").withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
 
