@@ -53,3 +53,21 @@ def test_few_missing_and_equal_rows(spark):
     assert {r["prediction"] for r in learning.kmeans(df, ["x", "y"], 2).collect()} == {0}
     with pytest.raises(ValueError):
         learning.kmeans(df, ["x", "y"], 3)
+
+
+def test_points_move_in_blocks(spark, monkeypatch):
+    """A scan gets blocks of many points; ties, and blocks and chunks that do not come out even, change nothing."""
+    _, df = planted(spark, 700)
+    monkeypatch.setattr(clusters, "BLOCK_BYTES", 16 * 9)
+    blocks = clusters.packed(df.select("x", "y"))
+    assert blocks.count() <= 700 // 9 + 5
+    points = np.array([[1.0, 0.0], [-1.0, 0.0], [0.0, 0.0], [5.0, 5.0]])
+    centres = {1: np.array([[0.0, 0.0]]), 3: np.array([[1.0, 0.0], [-1.0, 0.0], [5.0, 5.0]])}
+    got = clusters.nearest_sums(points, np.vstack(list(centres.values())), list(centres))
+    assert got.tolist() == [[52, 4, 5, 5], [1, 2, 1, 0], [0, 1, -1, 0], [0, 1, 5, 5]]
+    every = {k: np.array([[0.0, 0.0], [9.0, 9.0], [9.0, 0.0]])[:k] for k in (2, 3)}
+    rows = np.array(df.select("x", "y").collect())
+    for k, (counts, sums, cost) in clusters.step(blocks, every).items():
+        nearest, own = assigned(rows, every[k])
+        assert counts.tolist() == np.bincount(nearest, minlength=k).tolist() and cost == pytest.approx(own.sum())
+        assert sums == pytest.approx(np.array([rows[nearest == c].sum(axis=0) for c in range(k)]))
