@@ -144,28 +144,37 @@ def _pearson(df: DataFrame, pairs: Sequence[tuple[str, str]], names: Sequence[tu
     return row.select(F.inline(F.array(*cells)))
 
 
+RANKS_SENT = 500_000  # ranks of a column, 16 bytes each, that are broadcast; more are joined by a shuffle of slim rows
+
+
 def _spearman(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Rank correlation of column pairs over rows that have all of ``cols``.
 
-    Equal value pairs are one weighted row before ranks are joined to them, so a value
-    that a third of the rows share meets its rank once per partner and not once per row.
+    Rows go through the columns one by one and each value gives way to its rank, so a row is
+    shuffled once per column at most and not once per pair; the products of all pairs come
+    from the rows of ranks. Columns of few values, whose values many rows share, are not
+    shuffled at all.
     """
-    out = df.select(*[quoted(c).cast("double").alias(c) for c in cols])
-    ranks = materialize(average_ranks(out, cols))
+    values = [f"_v{i}" for i in range(len(cols))]
+    out = df.select(*[quoted(c).cast("double").alias(v) for c, v in zip(cols, values)])
+    ranks = materialize(average_ranks(out, values))
+    sizes = {r["column"]: r["count"] for r in ranks.groupBy("column").count().collect()}  # one row per column
+    # the mean rank of n rows is (n + 1) / 2 in every column
+    middle = (out.count() + 1) / 2.0
+    ranked = out
+    for v in sorted(values, key=lambda v: sizes.get(v, 0)):
+        mine = ranks.where(F.col("column") == v).select(F.col("value").alias(v), (F.col("rank") - middle).alias("_rank"))
+        joined = ranked.join(F.broadcast(mine) if sizes.get(v, 0) <= RANKS_SENT else mine, v)
+        ranked = joined.select(*[F.col("_rank").alias(v) if v == u else F.col(u) for u in values])
+    at = {c: F.col(v) for c, v in zip(cols, values)}
+    squares = [F.sum(at[c] * at[c]).alias(f"s{i}") for i, c in enumerate(cols)]
+    row = ranked.agg(*squares, *[F.sum(at[a] * at[b]).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    size = {c: F.col(f"s{i}") for i, c in enumerate(cols)}
     cells = [
-        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), quoted(a).alias("vx"), quoted(b).alias("vy")) for a, b in pairs
+        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), ratio(F.col(f"p{i}"), F.sqrt(size[a] * size[b])).alias("r"))
+        for i, (a, b) in enumerate(pairs)
     ]
-    counted = out.select(F.inline(F.array(*cells))).groupBy("x", "y", "vx", "vy").agg(F.count(F.lit(1)).alias("w"))
-    for side in ("x", "y"):
-        mine = ranks.select(F.col("column").alias(side), F.col("value").alias(f"v{side}"), F.col("rank").alias(f"r{side}"))
-        counted = counted.join(mine, [side, f"v{side}"])
-    # the mean rank of n rows is (n + 1) / 2 in every column
-    total = out.agg(F.count(F.lit(1))).scalar()
-    dx, dy, w = F.col("rx") - (F.col("_n") + 1) / 2.0, F.col("ry") - (F.col("_n") + 1) / 2.0, F.col("w")
-    sums = counted.withColumn("_n", total).groupBy("x", "y").agg(
-        F.sum(w * dx * dy).alias("xy"), F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy")
-    )
-    return sums.select("x", "y", ratio("xy", F.sqrt(F.col("xx") * F.col("yy"))).alias("r"))
+    return row.select(F.inline(F.array(*cells)))
 
 
 def correlations(

@@ -216,6 +216,19 @@ def test_spearman_uses_complete_pairs(spark):
         assert r["r"] == pytest.approx(want.loc[r["x"], r["y"]])
 
 
+@pytest.mark.parametrize("sent", [0, 500_000])
+def test_spearman_shuffles_rows_once_per_column(spark, monkeypatch, sent):
+    """Ties, a constant column and names with dots; no shuffle holds value pairs, whether ranks are broadcast or not."""
+    monkeypatch.setattr(statistics, "RANKS_SENT", sent)
+    rows = [(float(i % 7), float(i * i % 50), 0.0 if i % 3 else float(-i), 5.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "`a.b` double, c double, d double, e double").repartition(4)
+    want = df.toPandas().corr(method="spearman")
+    got = statistics.correlations(df, ["a.b", "c", "d", "e"], "spearman", None)
+    for r in got.collect():
+        assert (r["r"] is None) if "e" in (r["x"], r["y"]) else r["r"] == pytest.approx(want.loc[r["x"], r["y"]])
+    assert "vx" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_control_chart_full_last_group(spark):
     df = spark.createDataFrame([(i, float(i % 3)) for i in range(40)], "i int, v double")
     assert series.xbar_chart(df, "v", ["i"]).count() == 20
