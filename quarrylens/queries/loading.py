@@ -25,7 +25,8 @@ def write_lines(rows, path: str, header: str) -> None:
 
     def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([header])], ["value"])
-        yield from batches
+        for batch in batches:  # the same fields as above, whatever may be null
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
 
     rows.select("value").mapInArrow(headed, "value string").write.text(path)
 

@@ -6,6 +6,9 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from quarrylens.queries.loading import write_lines
 from quarrylens.sources.files import load, malformed_lines, sniff
 from quarrylens.sources.records import Quotes, csv_records
 
@@ -103,3 +106,14 @@ def test_state_after_a_line(line, opened, stayed):
 
     quotes = Quotes(",")
     assert (quotes.opens(line), quotes.stays(line)) == (walk(False), walk(True))
+
+
+@pytest.mark.parametrize("line", ["concat(id, ';x')", "concat_ws(';', id, if(id % 2 = 0, 'x', null))"])
+def test_lines_are_written_by_all_tasks(spark, tmp_path, line):
+    """No task writes the whole table; each file has the header, and none of them is read as a row."""
+    path = str(tmp_path / "t.csv")
+    write_lines(spark.range(0, 400, 1, 4).select(F.expr(line).alias("value")), path, "k;v")
+    files = [p.read_text().splitlines() for p in (tmp_path / "t.csv").glob("part-*")]
+    assert len(files) == 4 and all(lines[0] == "k;v" and len(lines) == 101 for lines in files)
+    df = load(spark, path, "csv", sep="auto")
+    assert df.columns == ["k", "v"] and sorted(r["k"] for r in df.collect()) == list(range(400))
