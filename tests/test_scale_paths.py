@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylens.operators import cleaning, ordering, quantiles, relational, series
-from quarrylens.operators.statistics import auc, kaplan_meier
+from quarrylens.operators.statistics import auc, kaplan_meier, mutual_information
 
 
 @pytest.fixture(scope="module")
@@ -221,3 +221,12 @@ def test_kaplan_meier_extremes(spark):
     assert {r["survival"] for r in kaplan_meier(censored, "t", "e").collect()} == {1.0}
     dead = spark.createDataFrame([(3, 1)] * 4, "t long, e int")
     assert [(r["at_risk"], r["survival"]) for r in kaplan_meier(dead, "t", "e").collect()] == [(4, 0.0)]
+
+
+def test_joint_bins_are_counted_once(spark, table):
+    """Marginals come from the stored counts: the plan reads those and not the table four times."""
+    found = mutual_information(table.withColumn("y", F.col("at") * 2.0), ["x", "y", "at"])
+    plan = found._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    assert {leaves.apply(i).nodeName() for i in range(leaves.size())} == {"LogicalRelation"} and "InMemoryRelation" not in plan.toString()
+    assert found.count() == 3
