@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import defaultdict
 
 import pytest
@@ -231,3 +232,31 @@ def test_line_names_are_those_of_spark(spark):
     rows = spark.createDataFrame([(x,) for x in lines], "line string").selectExpr("line", "xxhash64(line) AS h1", "xxhash64(1, line) AS h2")
     seed = spark.sql("SELECT xxhash64(1)").first()[0] % 2**64
     assert {r["line"]: (r["h1"], r["h2"]) for r in rows.collect()} == {x: (int(a), int(b)) for x, a, b in zip(lines, *Signer(seed).names(lines))}
+
+
+def test_line_dedup_holds_little_between_its_steps(spark, monkeypatch):
+    """No shuffle file outlives the step that reads it, and lines to compare are held as texts, not as their many shingles."""
+    from pathlib import Path
+
+    from quarrylens.llm import line_dedup
+
+    rows = [(i, f"{i} " + prose(60 + i % 90, 600)) for i in range(360)]
+    held, drop = [], line_dedup.Scratch.drop
+    blocks = [Path(d.toString()) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {p for d in blocks for p in d.rglob("shuffle_*.data")}
+    before = shuffled()
+
+    def measured(scratch):
+        held.append(sum(p.stat().st_size for p in Path(scratch.folder).rglob("*.parquet")))
+        drop(scratch)
+
+    monkeypatch.setattr(line_dedup.Scratch, "drop", measured)
+    got = dedup_lines(frame(spark, rows, clashes=False))
+    assert held[0] < 2 * sum(len(t) for _, t in rows)
+    for _ in range(50):  # they are removed in the background
+        if shuffled() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffled() <= before
+    assert spark.conf.get(line_dedup.CLEANUP) == "false"
+    assert sum(r["lines"] - r["dropped_lines"] for r in got.collect()) == 90
