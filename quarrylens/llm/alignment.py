@@ -6,6 +6,7 @@ import hashlib
 import os
 from array import array
 from collections.abc import Iterator
+from itertools import compress
 from typing import NamedTuple
 
 import numpy as np
@@ -63,6 +64,17 @@ def gallop(keys: np.ndarray, into: np.ndarray, at: np.ndarray) -> np.ndarray:
     return high
 
 
+def runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, one run after the other."""
+    stop = np.cumsum(size)
+    return np.repeat(start - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)
+
+
+def flat_ids(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words or texts in one array, and how many each has."""
+    return np.frombuffer(b"".join(ids), "<u4").astype(np.int64), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+
 class Aligned(NamedTuple):
     """Tokens of the texts of a slice, one after the other, and the groups that their common ends cut.
 
@@ -99,6 +111,7 @@ class Aligner:
             for i in range(lib.get_piece_size())
         ]
         self.a_sizes, self.b_sizes = (np.fromiter(map(len, t), np.int64, len(t)) for t in (self.a_bytes, self.b_bytes))
+        self.data = [np.frombuffer(b"".join(t), np.uint8) for t in (self.a_bytes, self.b_bytes)]  # of all tokens of a side
         model = sentencepiece_model_pb2.ModelProto()
         with open(b_path, "rb") as file:
             model.ParseFromString(file.read())
@@ -125,29 +138,40 @@ class Aligner:
 
     def _words(self, words: list[str]) -> list[bytes]:
         out = list(map(self.known.get, words))
-        holes = [i for i, ids in enumerate(out) if ids is None]
-        new = self._pieces([words[i] for i in holes])
-        for i, ids in zip(holes, new):
-            out[i] = ids
+        missing = [word for word, ids in zip(words, out) if ids is None]
+        new = self._pieces(missing)
+        filling = iter(new)
+        out = [next(filling) if ids is None else ids for ids in out] if new else out
         if len(self.known) + len(new) > KEPT_WORDS:
-            self.known, kept = {}, zip(words, out)  # start again from this slice, which has the frequent ones
-        else:
-            kept = ((words[i], ids) for i, ids in zip(holes, new))
-        self.known.update((w, ids) for w, ids in kept if len(w) <= LONG_WORD)
+            self.known, missing, new = {}, words, out  # start again from this slice, which has the frequent ones
+        self.known.update(compress(zip(missing, new), map(LONG_WORD.__ge__, map(len, missing))))
         return out
 
     def _same(self, ids: bytes, table: list[bytes], text: str) -> bool:
         return b"".join(map(table.__getitem__, array("I", ids))) == b" " + text.encode("utf-8", "surrogatepass")
 
-    def _encoded(self, texts: pa.Array) -> tuple[list[bytes], list[bytes]]:
-        """Ids of every text on both sides; none on either side of a text that one of them does not give back."""
+    def _fitting(self, side: int, ids: np.ndarray, many: np.ndarray, expected: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which words their tokens give back; ``many`` tokens and ``sizes`` bytes of each, one after the other."""
+        of = (self.a_sizes, self.b_sizes)[side]
+        word = np.repeat(np.arange(len(many)), many)
+        fits = np.bincount(word, of[ids], len(many)).astype(np.int64) == sizes
+        ids = ids[fits[word]]
+        found = self.data[side][runs((np.cumsum(of) - of)[ids], of[ids])]
+        fitting = np.flatnonzero(fits)
+        differing = np.flatnonzero(found != expected[np.repeat(fits, sizes)])
+        fits[np.repeat(fitting, sizes[fitting])[differing]] = False
+        return fits
+
+    def _encoded(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per side the ids of all texts and how many each has; none on either side of a text that one of them does not give back."""
         pc = pa.compute
-        out: tuple[list[bytes], list[bytes]] = ([b""] * len(texts), [b""] * len(texts))
         whole = np.ones(len(texts), bool)
+        #: per side: the ids of some texts, one after the other, how many each has, and which texts they are
+        parts: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[], []]
         if self.by_word:
-            parts = pc.split_pattern(texts, " ")
-            ends = parts.offsets.to_numpy().astype(np.int64)
-            coded = parts.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+            split = pc.split_pattern(texts, " ")
+            ends = split.offsets.to_numpy().astype(np.int64)
+            coded = split.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
             ends = ends - ends[0]
             words, index = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
             # white space next to a space: both sides read the text whole
@@ -156,22 +180,40 @@ class Aligner:
             odd = odd.to_numpy(zero_copy_only=False)
             whole = np.logical_or.reduceat(odd[index], ends[:-1])
             needed = np.unique(index[np.repeat(~whole, np.diff(ends))])
-            names = words.take(pa.array(needed)).to_pylist()
-            found = self.left._chunks(names) if names else [], self._words(names)
-            fits = np.array([all(self._same(ids, t, w) for ids, t in ((x, self.a_bytes), (y, self.b_bytes))) for x, y, w in zip(*found, names)], bool)
+            names = words.take(pa.array(needed))
+            sizes = pc.binary_length(names).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            names = names.to_pylist()
+            expected = np.frombuffer("".join([" " + name for name in names]).encode("utf-8", "surrogatepass"), np.uint8)
+            found = [flat_ids(ids) for ids in (self.left._chunks(names) if names else [], self._words(names))]
+            good = np.ones(len(words), bool)
+            for side, (ids, many) in enumerate(found):
+                good[needed] &= self._fitting(side, ids, many, expected, sizes)
+            plain = ~whole & np.logical_and.reduceat(good[index], ends[:-1])
             place = np.zeros(len(words), np.int64)
             place[needed] = np.arange(len(needed))
-            good = np.ones(len(words), bool)
-            good[needed] = fits
-            for i in np.flatnonzero(~whole & np.logical_and.reduceat(good[index], ends[:-1])).tolist():
-                mine = place[index[ends[i] : ends[i + 1]]].tolist()
-                for side in (0, 1):
-                    out[side][i] = b"".join(map(found[side].__getitem__, mine))
-        rest = np.flatnonzero(whole & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)).tolist()
-        plain = [texts[i].as_py() for i in rest]
-        for i, text, x, y in zip(rest, plain, self.left._library([" " + t for t in plain]) if plain else [], self._pieces(plain)):
-            if self._same(x, self.a_bytes, text) and self._same(y, self.b_bytes, text):
-                out[0][i], out[1][i] = x, y
+            chosen = place[index[np.repeat(plain, np.diff(ends))]]
+            first = np.r_[0, np.cumsum(np.diff(ends)[plain])]
+            for side, (ids, many) in enumerate(found):
+                before = np.r_[0, np.cumsum(many[chosen])][first]
+                parts[side].append((ids[runs((np.cumsum(many) - many)[chosen], many[chosen])], np.diff(before), np.flatnonzero(plain)))
+        rest = np.flatnonzero(whole & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0))
+        if len(rest):
+            plain = [texts[i].as_py() for i in rest.tolist()]
+            pairs = [
+                (x, y) if self._same(x, self.a_bytes, text) and self._same(y, self.b_bytes, text) else (b"", b"")
+                for text, x, y in zip(plain, self.left._library([" " + t for t in plain]), self._pieces(plain))
+            ]
+            for side in (0, 1):
+                parts[side].append((*flat_ids([pair[side] for pair in pairs]), rest))
+        out = []
+        for found in parts:
+            many, start = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+            ids, before = [np.zeros(0, np.int64)], 0
+            for flat, counts, which in found:
+                many[which], start[which] = counts, before + np.cumsum(counts) - counts
+                ids.append(flat)
+                before += len(flat)
+            out.append((np.concatenate(ids)[runs(start, many)], many))
         return out
 
     def align(self, texts: pa.Array) -> Aligned:
@@ -180,10 +222,9 @@ class Aligner:
             none = np.zeros(0, np.int64)
             return Aligned(none, none[:1], none, none[:1], none, none, none[:1])
         flat, of, ends = [], [], []
-        sides = self._encoded(texts)
-        for ids, sizes in zip(sides, (self.a_sizes, self.b_sizes)):
-            flat.append(np.frombuffer(b"".join(ids), "<u4").astype(np.int64))
-            of.append(np.r_[0, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)])
+        for (ids, many), sizes in zip(self._encoded(texts), (self.a_sizes, self.b_sizes)):
+            flat.append(ids)
+            of.append(np.r_[0, np.cumsum(many)])
             ends.append(np.cumsum(sizes[flat[-1]]))  # over all texts: both sides give back the same bytes
         if any(len(e) and np.diff(e, prepend=0).min() < 1 for e in ends):
             raise ValueError("a token without bytes has no place of its own")

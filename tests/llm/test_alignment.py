@@ -86,3 +86,18 @@ def test_pairs_are_bounded_by_the_vocabularies():
     a, b = Counter(tool.a_bytes), Counter(tool.b_bytes)
     pairs = sum(n * b[t[i:]] for t, n in a.items() for i in range(len(t))) + sum(n * a[t[i:]] for t, n in b.items() for i in range(1, len(t)))
     assert pairs <= 2 * int(tool.a_sizes.sum() + tool.b_sizes.sum()) and pairs * 16 < 16 << 20
+
+
+def test_words_are_checked_by_their_bytes_all_at_once():
+    """A word that its tokens do not give back is found, by length or by bytes, and those next to it still fit."""
+    tool = Aligner(tokenizer_path(A), tokenizer_path(B))
+    words = ["plain", "a▁b", "words", "日本", "x", "😀"]
+    expected = np.frombuffer("".join(" " + w for w in words).encode(), np.uint8)
+    sizes = np.array([len(w.encode()) + 1 for w in words])
+    for side, coded in enumerate((tool.left._chunks(words), tool._words(words))):
+        given = [np.frombuffer(ids, "<u4").astype(np.int64) for ids in coded]
+        given[2] = given[0]  # as long as its word, other bytes
+        want = [tool._same(ids.astype("<u4").tobytes(), (tool.a_bytes, tool.b_bytes)[side], w) for ids, w in zip(given, words)]
+        assert want == [True, side == 0, False, True, True, True]
+        got = tool._fitting(side, np.concatenate(given), np.array([len(ids) for ids in given]), expected, sizes)
+        assert got.tolist() == want
