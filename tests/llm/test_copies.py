@@ -260,3 +260,20 @@ def test_line_dedup_holds_little_between_its_steps(spark, monkeypatch):
     assert shuffled() <= before
     assert spark.conf.get(line_dedup.CLEANUP) == "false"
     assert sum(r["lines"] - r["dropped_lines"] for r in got.collect()) == 90
+
+
+def test_line_dedup_has_no_python_in_any_step(spark, monkeypatch):
+    """Every table written between the steps comes from DataFrame functions; copies, near copies and short lines are linked."""
+    from quarrylens.llm import line_dedup
+
+    plans, store = [], line_dedup.Scratch.store
+
+    def seen(scratch, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(scratch, df)
+
+    monkeypatch.setattr(line_dedup.Scratch, "store", seen)
+    rows = copies_of(8, 30, 6) + [(1, "-" * 40), (2, "-" * 300), (3, "0123456789"), (4, "0123456789"), (5, "012345678"), (6, "😀" * 12 + "é")]
+    got = {r["doc_id"]: r["dropped_lines"] for r in dedup_lines(frame(spark, rows, clashes=False)).collect()}
+    assert len(plans) > 10 and not [p for p in plans if "MapInArrow" in p or "GroupsInArrow" in p or "Python" in p]
+    assert got == {i: plain_lines(rows)(i, t)[1] for i, t in rows} and (got[1], got[2], got[4]) == (0, 1, 1)
