@@ -277,3 +277,42 @@ def test_line_dedup_has_no_python_in_any_step(spark, monkeypatch):
     got = {r["doc_id"]: r["dropped_lines"] for r in dedup_lines(frame(spark, rows, clashes=False)).collect()}
     assert len(plans) > 10 and not [p for p in plans if "MapInArrow" in p or "GroupsInArrow" in p or "Python" in p]
     assert got == {i: plain_lines(rows)(i, t)[1] for i, t in rows} and (got[1], got[2], got[4]) == (0, 1, 1)
+
+
+def test_long_lines_are_signed_by_a_sample_and_unlike_ones_ruled_out_by_sketch(spark, monkeypatch):
+    """Only lines with few spaces are hashed at every place for signatures, and pairs below the threshold are seldom verified."""
+    from quarrylens.llm import line_dedup
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 8)))
+    base = [word() for _ in range(120)]
+
+    def variant(changes):
+        out = list(base)
+        for i in rng.sample(range(len(out)), changes):
+            out[i] = word()
+        return " ".join(out)
+
+    rows = [(i, variant(8)) for i in range(60)] + [(100, " ".join(base)), (101, "x" * 300), (102, " ".join(base[:5])), (103, "x" * 299 + "y")]
+    rows += [(104, " ".join(base[:20])), (105, " ".join(base[:21]))]  # one of many spaces, one of few
+    seen, check = [], line_dedup.verified
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return check(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "verified", counted)
+    df = frame(spark, rows, clashes=False)
+    signed = {r["doc_id"]: (r["s0"] is not None, r["p0"] is not None) for r in line_dedup.signed(line_dedup.lines_of(df)).collect()}
+    assert signed[100] == signed[0] == (True, False) and signed[101] == signed[102] == (False, True) and signed[104] == (True, True)
+    judge = plain_lines(rows)
+    assert {r["doc_id"]: r["dropped_lines"] for r in dedup_lines(df).collect()} == {i: judge(i, t)[1] for i, t in rows}
+    assert sum(seen[1:]) < 60  # of 1,770 pairs of variants, all of which are alike by over 0.6
+
+    texts = spark.createDataFrame(rows, "id long, line string")
+    sets = {i: {t[k : k + 10] for k in range(max(1, len(t) - 9))} for i, t in rows}
+    found = {r["id"]: r for r in line_dedup.sketches(texts).collect()}
+    assert {i: r["shingles"] for i, r in found.items()} == {i: len(x) for i, x in sets.items()}
+    bits = lambda r: sum((r[f"t{i}"] % (1 << 64)) << 64 * i for i in range(line_dedup.LONGS))
+    for a, b in [(0, 1), (2, 100), (3, 102), (101, 103)]:
+        assert 0 < (bits(found[a]) ^ bits(found[b])).bit_count() <= len(sets[a] ^ sets[b])
