@@ -230,3 +230,39 @@ def test_joint_bins_are_counted_once(spark, table):
     leaves = plan.collectLeaves()
     assert {leaves.apply(i).nodeName() for i in range(leaves.size())} == {"LogicalRelation"} and "InMemoryRelation" not in plan.toString()
     assert found.count() == 3
+
+
+def test_quantiles_of_many_columns_run_in_compiled_code(spark, monkeypatch):
+    """Java compiles no method of over 8,000 bytes: brackets and pairs of columns are counted by short code, whatever their number."""
+    from quarrylens.operators import statistics
+    from quarrylens.session import materialize
+
+    seen = []
+
+    def kept(df):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        found = df.sparkSession._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenStringSeq(
+            df.select("*")._jdf.queryExecution().executedPlan()
+        )
+        seen.extend(found.apply(i)._3().maxMethodCodeSize() for i in range(found.size()))
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        return materialize(df)
+
+    monkeypatch.setattr(quantiles, "materialize", kept)
+    monkeypatch.setattr(statistics, "materialize", kept)
+    cols = [f"c{i}" for i in range(8)]
+    df = spark.range(2000).selectExpr(*[f"IF(id % {50 + i} = 0, NULL, (id * {7 + i}) % {97 + i} / 4) AS {c}" for i, c in enumerate(cols)])
+    pdf = df.toPandas()
+    got = {(r["column"], r["prob"]): r["value"] for r in quantiles.exact_quantiles(df, cols, [k / 10 for k in range(11)]).collect()}
+    assert got == pytest.approx({(c, k / 10): pdf[c].quantile(k / 10) for c in cols for k in range(11)})
+    pairs = statistics.mutual_information(df, cols).collect()
+    assert len(pairs) == 28 and len(seen) > 4 and max(seen) < 8000
+
+    def plain(x, y):
+        both = pdf[[x, y]].dropna()
+        bins = lambda c: sum((both[c] > pdf[c].quantile(k / 10)).astype(int) for k in range(1, 10))
+        n = both.assign(a=bins(x), b=bins(y)).groupby(["a", "b"]).size() / len(both)
+        a, b = n.groupby("a").sum(), n.groupby("b").sum()
+        return sum(p * math.log(p / (a[i] * b[j])) for (i, j), p in n.items())
+
+    assert {(r["x"], r["y"]): r["mutual_information"] for r in pairs[:5]} == pytest.approx({(r["x"], r["y"]): plain(r["x"], r["y"]) for r in pairs[:5]})
