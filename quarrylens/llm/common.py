@@ -53,6 +53,15 @@ def per_worker(key: tuple, make: Callable):
     return kept[key[0]][1]
 
 
+def keep_only(kind: str) -> None:
+    """Drop what other operators have built in this Python worker, which takes their memory with it from stage to stage."""
+    kept = sys.__dict__.get("_quarrylens_kept", {})
+    if others := [k for k in kept if k != kind]:
+        for k in others:
+            del kept[k]
+        release()
+
+
 def release() -> None:
     """Give freed memory back: a Python worker stays while stages without Python run."""
     pa.default_memory_pool().release_unused()

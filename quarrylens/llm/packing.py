@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarrylens.llm.common import id_and_text, slices
+from quarrylens.llm.common import id_and_text, keep_only, slices
 from quarrylens.llm.encoding import encoder
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -19,6 +19,7 @@ ARROW = pa.schema(
 )
 GROUP_TOKENS = 1 << 20
 KEPT_CHUNKS = 800_000  # beside them a worker holds a group of tokens
+CODED_BYTES = 2 << 20  # of text, encoded at once: a worker holds many times as much meanwhile
 #: monotonically_increasing_id(): partition number above, sequence number below.
 SLOT_BITS = 33
 
@@ -97,6 +98,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        keep_only("encoder")
         encode = encoder(tokenizer, KEPT_CHUNKS).encode
         end = np.array([end_id], "<u4").tobytes()
         first = TaskContext.get().partitionId() << SLOT_BITS
@@ -117,7 +119,7 @@ def pack(
         ids, texts, held = [], [], 0
         for part in slices(batches):
             ids += part.column("doc_id").to_pylist()
-            new = [t + end for t in encode(part.column("text"))]
+            new = [t + end for few in slices([part], limit=CODED_BYTES) for t in encode(few.column("text"))]
             texts += new
             held += sum(map(len, new)) // 4
             if held >= group_tokens:

@@ -118,3 +118,39 @@ def test_packing_balances_cost():
 
 def test_packing_nothing(spark):
     assert pack(frame(spark, [])).count() == 0
+
+
+def test_packing_takes_no_memory_of_other_operators_along(spark):
+    """A Python worker is used by one stage after another; what an earlier one has built goes before packing builds its own."""
+    import sys
+
+    from quarrylens.llm.packing import ARROW, pack
+
+    ran = []
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            ran.append(run)
+
+    kept = sys.__dict__.setdefault("_quarrylens_kept", {})
+    before = dict(kept)
+    kept.update(probes=("a", object()), aligner=("b", object()))
+    pack(Rows())
+
+    class Context:
+        partitionId = staticmethod(lambda: 0)
+
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    get, TaskContext.get = TaskContext.get, classmethod(lambda cls: Context)
+    try:
+        out = list(ran[0]([pa.RecordBatch.from_pydict({"doc_id": pa.array([1]), "text": pa.array(["one two"])})]))
+        assert out[0].schema == ARROW and set(kept) == {"encoder"}
+    finally:
+        TaskContext.get = get
+        kept.clear()
+        kept.update(before)
